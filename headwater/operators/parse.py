@@ -60,10 +60,13 @@ def _field_specs(output_table: Column, attribute: Column, input_fields: Column,
 
     def per_input(field: Column) -> Column:
         source = canonical_name(field["name"]) if canonical else field["name"]
-        objects = F.filter(field["transformations"], lambda t: F.startswith(t, F.lit("{")))
+        # Parsed in a pass of its own: inside one lambda the JSON would be read once per use.
+        objects = F.transform(
+            F.filter(field["transformations"], lambda t: F.startswith(t, F.lit("{"))),
+            lambda t: F.from_json(t, TRANSFORMATION_JSON),
+        )
 
-        def per_transformation(text: Column) -> Column:
-            t = F.from_json(text, TRANSFORMATION_JSON)
+        def per_transformation(t: Column) -> Column:
             return F.struct(
                 F.lit(0).alias("spec_no"),
                 output_table.alias("output_table"),
