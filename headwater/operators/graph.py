@@ -144,7 +144,7 @@ def influence(graph: TableGraph) -> DataFrame:
 
 
 def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
-    """(id, lost, pairs): connected pairs lost when a table's outgoing edges are removed.
+    """(id, lost, connectivity_loss): connected pairs lost when a table's outgoing edges are removed.
 
     A pair (s, t) is lost exactly when the table lies on every path from s to t. Such a table
     lies on the stored shortest path, so only those are candidates; a candidate is struck out
@@ -180,13 +180,13 @@ def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
         candidates.join(struck, ["source", "node", "via"], "left_anti").groupBy(F.col("via").alias("id"))
     ).agg(F.count(F.lit(1)).alias("n"))
     own = pairs.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    lost = on_every_path.unionByName(own).groupBy("id").agg(F.sum("n").alias("lost"))
-    total = reachable_pairs(pairs)  # one row
+    counted = on_every_path.unionByName(own).groupBy("id").agg(F.sum("n").alias("lost"))
+    total = reachable_pairs(pairs).scalar()
+    lost = F.coalesce("lost", F.lit(0))
     return (
         graph.current()
-        .join(lost, "id", "left")
-        .select("id", F.coalesce("lost", F.lit(0)).alias("lost"))
-        .join(total, how="cross")
+        .join(counted, "id", "left")
+        .select("id", lost.alias("lost"), F.when(total > 0, lost / total).otherwise(0.0).alias("connectivity_loss"))
     )
 
 

@@ -230,10 +230,10 @@ def event_sql(parsed: DataFrame) -> DataFrame:
 
 def dataset_observations(parsed: DataFrame) -> DataFrame:
     """One row per dataset mention, in event order: inputs first, then outputs."""
-    sides = [
-        F.transform(side, lambda d, i, role=role: F.struct(F.lit(role).alias("role"), i.alias("pos"), d.alias("d")))
-        for role, side in (("input", "inputs"), ("output", "outputs"))
-    ]
+    def side(role: str):
+        return lambda d, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), d.alias("d"))
+
+    sides = [F.transform("inputs", side("input")), F.transform("outputs", side("output"))]
     return (
         good_events(parsed)
         .select("seq", "ts", F.explode(F.concat(*sides)).alias("o"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from headwater.operators import graph as g
 from headwater.operators.runs import table_usage
 from headwater.plans.model import LineageModel
+from headwater.storage import materialize
 
 # Weights of influence, connectivity and usage; length of the short list.
 ALPHA, BETA, GAMMA = 0.5, 0.3, 0.2
@@ -27,11 +28,11 @@ def critical_tables(
     graph = model_graph(model)
     pairs = g.reachable(graph)
     influence = g.influence(graph).withColumnRenamed("source", "id")
-    loss = g.connectivity_loss(graph, pairs).select(
-        "id", F.when(F.col("pairs") > 0, F.col("lost") / F.col("pairs")).otherwise(0.0).alias("connectivity_loss")
-    )
+    loss = g.connectivity_loss(graph, pairs)
     usage = table_usage(model.links, model.job_tables(), model.current_tables())
-    parts = (
+    names = ["influence", "connectivity_loss", "usage"]
+    # Written once: the maxima and the scores both read it.
+    parts = materialize(
         graph.current()
         .join(influence, "id", "left")
         .join(loss, "id", "left")
@@ -41,17 +42,17 @@ def critical_tables(
             F.coalesce("influence", F.lit(0.0)).alias("influence"),
             F.coalesce("connectivity_loss", F.lit(0.0)).alias("connectivity_loss"),
             F.coalesce(F.col("usage"), F.lit(0)).cast("double").alias("usage"),
-        )
+        ),
+        "critical-parts",
     )
-    names = ["influence", "connectivity_loss", "usage"]
-    peaks = parts.agg(*[F.max(n).alias(f"max_{n}") for n in names])  # one row
+    score = sum((w * normalized(parts, n) for w, n in zip((alpha, beta, gamma), names)), F.lit(0.0))
+    return parts.select("tbl", *names, score.alias("score"))
 
-    def normal(name: str) -> Column:
-        peak = F.col(f"max_{name}")
-        return F.when(peak == 0, F.lit(0.0)).otherwise(F.col(name) / peak)
 
-    score = sum((w * normal(n) for w, n in zip((alpha, beta, gamma), names)), F.lit(0.0))
-    return parts.join(peaks, how="cross").select("tbl", *names, score.alias("score"))
+def normalized(df: DataFrame, name: str) -> Column:
+    """The column divided by its maximum; 0 everywhere when the maximum is 0."""
+    peak = df.agg(F.max(name)).scalar()
+    return F.when(peak == 0, F.lit(0.0)).otherwise(F.col(name) / peak)
 
 
 def top_critical(scores: DataFrame, limit: int = TOP) -> DataFrame:
@@ -60,5 +61,6 @@ def top_critical(scores: DataFrame, limit: int = TOP) -> DataFrame:
 
 def highlighted(scores: DataFrame, quantile: float = HIGHLIGHT_QUANTILE) -> DataFrame:
     """Tables whose score reaches the nearest-rank quantile."""
-    threshold = scores.agg(F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY score)").alias("threshold"))
-    return scores.join(threshold, how="cross").filter(F.col("score") >= F.col("threshold"))
+    nearest_rank = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY score)")
+    scores = materialize(scores, "scores")
+    return scores.filter(F.col("score") >= scores.agg(nearest_rank).scalar())

@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions.chunks import SPAN, latest_state
 from headwater.operators import versions as v
 from headwater.operators.parse import good_events, parse_events
+from headwater.operators.sync import sync_removed
 from headwater.storage import new_path, write_table
 
-LOGS = ["events", "tables", "closings", "jobs", "links", "sets", "transformations"]
-STATES = ["table_state", "job_state", "set_state"]
 
-
-@dataclass
+@dataclass(frozen=True)
 class LineageModel:
-    """Logs written by :func:`advance`; every property is a lazy view over them."""
+    """Logs written by :func:`advance`; everything else is a lazy view over them.
+
+    ``parsed`` is the event store, ``logs`` the append-only change logs, ``steps`` the version of
+    every observed table at every observation.
+    """
 
-    spark: SparkSession
     parsed: DataFrame
     logs: dict[str, DataFrame]
-    states: dict[str, DataFrame] = field(default_factory=dict)
-    schemas: DataFrame | None = None
+    steps: DataFrame
 
     # -- events ---------------------------------------------------------------------------
 
@@ -235,69 +234,72 @@ class LineageModel:
         return {"tables": held(self.table_versions()), "jobs": held(self.job_versions())}
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def advance(
     parsed: DataFrame,
     write,
-    *,
     prior: dict[str, DataFrame] | None = None,
-    extra_observations: DataFrame | None = None,
     span: int = SPAN,
-) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """Apply a batch of parsed events to the model.
 
-    ``write(name, df)`` stores a DataFrame and returns it read back. ``prior`` holds the
-    states of earlier batches (see ``STATES``) plus ``current_attributes`` (tbl, version, attr).
-    ``extra_observations`` are table observations from schema snapshots. Returns (rows to
-    append per log, new states).
+    ``write(name, df)`` stores a DataFrame and returns it read back. ``prior`` holds what earlier
+    batches left (see :func:`next_states`). Returns the rows to append per log and the table steps.
     """
     prior = prior or {}
-    events = parsed.filter(F.col("error").isNull())
+    events = good_events(parsed)
     observations = v.table_observations(events)
-    if extra_observations is not None:
-        observations = observations.unionByName(extra_observations)
-
-    tables = write("table_steps", v.table_steps(observations, prior.get("table_state"), span))
-    starts = write("tables", v.table_starts(tables, v.schema_dictionary(observations)))
-    closings = write("closings", v.table_closings(tables))
-
-    event_tables = v.event_tables(tables.filter(F.col("side") <= 2) if extra_observations is None else
-                                  tables.join(events.select("seq"), "seq", "left_semi"))
-    jobs = write(
-        "links", v.job_steps(v.job_observations(events, event_tables), prior.get("job_state"), span)
-    )
-    job_starts = write("jobs", v.job_starts(jobs, v.sql_dictionary(events)))
-
-    attributes = starts.select("tbl", "version", F.explode("fields.name").alias("attr"))
-    if "current_attributes" in prior:
-        attributes = attributes.unionByName(prior["current_attributes"].select("tbl", "version", "attr"))
-    resolved = write("resolved", v.resolved_payloads(jobs, v.spec_dictionary(events), attributes))
-    set_rows = v.set_observations(jobs, v.payload_signatures(resolved))
+    steps = write("table_steps", v.table_steps(observations, prior.get("table_state"), span))
+    starts = write("tables", v.table_starts(steps, v.schema_dictionary(observations)))
+    closings = write("closings", v.table_closings(steps))
+
+    job_rows = v.job_observations(events, v.event_tables(steps))
+    links = write("links", v.job_steps(job_rows, prior.get("job_state"), span))
+    jobs = write("jobs", v.job_starts(links, v.sql_dictionary(events)))
+
+    schemas = starts.select("tbl", "version", "fields")
+    if "schema_state" in prior:
+        schemas = schemas.unionByName(prior["schema_state"])
+    attributes = schemas.select("tbl", "version", F.explode("fields.name").alias("attr"))
+    resolved = write("resolved", v.resolved_payloads(links, v.spec_dictionary(events), attributes))
+    set_rows = v.set_observations(links, v.payload_signatures(resolved))
     sets = write("sets", v.set_steps(set_rows, prior.get("set_state"), span))
     transformations = write("transformations", v.transformation_starts(sets, resolved))
 
     logs = {
         "tables": starts,
         "closings": closings,
-        "jobs": job_starts,
-        "links": jobs,
+        "jobs": jobs,
+        "links": links,
         "sets": sets,
         "transformations": transformations,
         "resolved": resolved,
     }
-    return logs, {"table_steps": tables}
+    return logs, steps
 
 
-def next_states(logs: dict[str, DataFrame], steps: DataFrame, prior: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """States to carry into the next batch."""
-    sets = logs["sets"].withColumnRenamed("set_no", "version")
+def next_states(
+    logs: dict[str, DataFrame], steps: DataFrame, prior: dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """What the next batch must know: one row per table, schema, job and open transformation set."""
+    prior = prior or {}
+    job_state = latest_state(logs["links"], ["job"], v.JOB_ORDER, prior.get("job_state"))
+    sets = latest_state(
+        logs["sets"].withColumnRenamed("set_no", "version"),
+        ["job", "job_version"],
+        v.JOB_ORDER,
+        prior.get("set_state"),
+    )
+    open_jobs = job_state.select("job", F.col("version").alias("job_version"))
+    newest = logs["tables"].select("tbl", "version", "fields")
+    if "schema_state" in prior:
+        newest = newest.unionByName(prior["schema_state"])
     return {
         "table_state": latest_state(steps, ["tbl"], v.TABLE_ORDER, prior.get("table_state")),
-        "job_state": latest_state(logs["links"], ["job"], v.JOB_ORDER, prior.get("job_state")),
-        "set_state": latest_state(sets, ["job", "job_version"], v.JOB_ORDER, prior.get("set_state")),
+        "schema_state": newest.groupBy("tbl")
+        .agg(F.max(F.struct("version", "fields")).alias("s"))
+        .select("tbl", "s.version", "s.fields"),
+        "job_state": job_state,
+        "set_state": sets.join(open_jobs, ["job", "job_version"], "left_semi"),
     }
 
 
@@ -310,9 +312,27 @@ def build_model(
     path: str | None = None,
 ) -> LineageModel:
     """Build the whole model from ``events(seq, ts, raw)`` in one batch."""
-    spark = events.sparkSession
-    root = path or new_path(spark, "model")
+    root = path or new_path(events.sparkSession, "model")
     write = lambda name, df: write_table(df, f"{root}/{name}")
     parsed = write("events", parse_events(events, sql_fallback=sql_fallback, canonicalize=canonicalize))
-    logs, _ = advance(parsed, write, span=span)
-    return LineageModel(spark, parsed, logs)
+    logs, steps = advance(parsed, write, span=span)
+    return LineageModel(parsed, logs, steps)
+
+
+def apply_snapshot(model: LineageModel, specs: DataFrame, scopes: DataFrame, seq: int, ts) -> LineageModel:
+    """Sync the model with a warehouse snapshot that arrived at ``seq``.
+
+    Listed tables are upserted and tables of the synced scopes that are not listed are closed, as
+    one more batch of observations. A table that comes back later continues its numbering.
+    """
+    removed = sync_removed(specs, model.current_tables(), scopes)
+    observations = v.snapshot_observations(specs, removed, seq, ts)
+    root = new_path(model.parsed.sparkSession, "sync")
+    state = latest_state(model.steps, ["tbl"], v.TABLE_ORDER)
+    steps = write_table(v.table_steps(observations, state), f"{root}/table_steps")
+    starts = write_table(v.table_starts(steps, v.schema_dictionary(observations)), f"{root}/tables")
+    closings = write_table(v.table_closings(steps), f"{root}/closings")
+    logs = dict(model.logs)
+    logs["tables"] = logs["tables"].unionByName(starts)
+    logs["closings"] = logs["closings"].unionByName(closings)
+    return LineageModel(model.parsed, logs, model.steps.unionByName(steps))
