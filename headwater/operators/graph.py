@@ -140,7 +140,13 @@ def influence(graph: TableGraph) -> DataFrame:
 
     walked = grow(seed, step, "influence", graph.node_count)
     best = walked.groupBy("source", "node").agg(F.max("w").alias("w"))
-    return best.groupBy("source").agg(F.sum("w").alias("influence"))
+    sums = best.groupBy("source").agg(F.sum("w").alias("influence"))
+    return (
+        graph.current()
+        .select(F.col("id").alias("source"))
+        .join(sums, "source", "left")
+        .select("source", F.coalesce("influence", F.lit(0.0)).alias("influence"))
+    )
 
 
 def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
