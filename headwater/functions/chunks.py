@@ -8,6 +8,10 @@ holds a third of all rows is spread over as many tasks as it has pieces.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,7 @@ PROBE = "P"  # only asks which version holds
 _CLOSED = F.unhex(F.lit(""))
 
 
+@contextmanager
 def change_history(
     rows: DataFrame,
     keys: list[str],
@@ -50,7 +55,7 @@ def change_history(
     prior: DataFrame | None = None,
     initial: Column | None = None,
     span: int = SPAN,
-) -> DataFrame:
+) -> Iterator[DataFrame]:
     """Number the states each key goes through.
 
     ``rows`` has ``keys``, ``order`` (starting with ``seq``), ``kind`` and ``sig``. Added
@@ -58,6 +63,11 @@ def change_history(
     far), ``live`` (the key has an open version after this row), ``closed`` (this row ends
     an open version). ``prior`` holds the state before the first row as (keys, ``last_sig``,
     ``last_kind``, ``version``); ``initial`` is the signature of a key never seen before.
+
+    The rows, shuffled by (key, piece), are read twice: for the summaries and for the result. They
+    are kept on executor disks while the context is open, so what leads to them runs once and
+    the join with the summaries finds them already in place. They keep their lineage: a lost
+    executor costs its partitions again and nothing else.
     """
     kind, sig = F.col("kind"), F.col("sig")
     position = F.struct(*order)
@@ -71,6 +81,7 @@ def change_history(
     local = chunked.withColumn("_prev_def", F.last("_def", True).over(before)).withColumn(
         "_prev_kind", F.last(F.when(is_event, kind), True).over(before)
     )
+    local = local.persist(StorageLevel.DISK_ONLY)
 
     # What is already decided inside the piece; the first rows wait for the carry.
     settled = ((kind == STATE) & F.col("_prev_def").isNotNull() & (F.col("_prev_def") != sig)) | (
@@ -118,7 +129,7 @@ def change_history(
     prev_kind = F.coalesce("_prev_kind", "_carry_kind")
     was_live = F.coalesce(prev_kind.isin(STATE, INHERIT), F.lit(False))
     changed = F.when(kind == STATE, ~prev_def.eqNullSafe(sig)).when(kind == INHERIT, ~was_live).otherwise(False)
-    return (
+    result = (
         local.join(carry, [*keys, "_chunk"])
         .withColumn("changed", changed)
         .withColumn("closed", (kind == CLOSE) & was_live)
@@ -134,6 +145,10 @@ def change_history(
         )
         .drop("_chunk", "_def", "_prev_def", "_prev_kind", "_carry_def", "_carry_kind", "_base")
     )
+    try:
+        yield result
+    finally:
+        local.unpersist()
 
 
 def latest_state(steps: DataFrame, keys: list[str], order: list[str], prior: DataFrame | None = None) -> DataFrame:

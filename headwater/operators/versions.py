@@ -6,6 +6,8 @@ to append, so one batch over everything and many micro-batches run the same plan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from headwater.functions.chunks import CLOSE, INHERIT, PROBE, SPAN, STATE, chang
 from headwater.functions.names import signature
 from headwater.schemas import FIELDS
 
+# Stores a DataFrame under a name and returns it read back.
+Write = Callable[[str, DataFrame], DataFrame]
+
 TABLE_ORDER = ["seq", "side", "pos"]
 JOB_ORDER = ["seq"]
 
@@ -90,9 +95,10 @@ def schema_dictionary(observations: DataFrame) -> DataFrame:
     return observations.filter(F.col("kind") == STATE).select("sig", "fields").distinct()
 
 
-def table_steps(observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def table_steps(write: Write, observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
     """Version of every observed table at every observation."""
-    return change_history(observations.drop("fields"), ["tbl"], TABLE_ORDER, prior=prior, span=span)
+    with change_history(observations.drop("fields"), ["tbl"], TABLE_ORDER, prior=prior, span=span) as steps:
+        return write("table_steps", steps)
 
 
 def table_starts(steps: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -169,8 +175,10 @@ def sql_dictionary(events: DataFrame) -> DataFrame:
     )
 
 
-def job_steps(observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
-    return change_history(observations, ["job"], JOB_ORDER, prior=prior, span=span).drop("live", "closed")
+def job_steps(write: Write, observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """Version of the job at every model-updating event."""
+    with change_history(observations, ["job"], JOB_ORDER, prior=prior, span=span) as steps:
+        return write("links", steps.drop("live", "closed"))
 
 
 def job_starts(steps: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -252,14 +260,11 @@ def set_observations(steps: DataFrame, signatures: DataFrame) -> DataFrame:
     )
 
 
-def set_steps(observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
-    return (
-        change_history(
-            observations, ["job", "job_version"], JOB_ORDER, prior=prior, initial=empty_set_signature(), span=span
-        )
-        .withColumnRenamed("version", "set_no")
-        .drop("live", "closed")
-    )
+def set_steps(write: Write, observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """Number of the transformation set in force within the job version at every such event."""
+    keys, initial = ["job", "job_version"], empty_set_signature()
+    with change_history(observations, keys, JOB_ORDER, prior=prior, initial=initial, span=span) as steps:
+        return write("sets", steps.withColumnRenamed("version", "set_no").drop("live", "closed"))
 
 
 def transformation_starts(steps: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -236,7 +236,7 @@ class LineageModel:
 
 def advance(
     parsed: DataFrame,
-    write,
+    write: v.Write,
     prior: dict[str, DataFrame] | None = None,
     span: int = SPAN,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -248,12 +248,12 @@ def advance(
     prior = prior or {}
     events = good_events(parsed)
     observations = v.table_observations(events)
-    steps = write("table_steps", v.table_steps(observations, prior.get("table_state"), span))
+    steps = v.table_steps(write, observations, prior.get("table_state"), span)
     starts = write("tables", v.table_starts(steps, v.schema_dictionary(observations)))
     closings = write("closings", v.table_closings(steps))
 
     job_rows = v.job_observations(events, v.event_tables(steps))
-    links = write("links", v.job_steps(job_rows, prior.get("job_state"), span))
+    links = v.job_steps(write, job_rows, prior.get("job_state"), span)
     jobs = write("jobs", v.job_starts(links, v.sql_dictionary(events)))
 
     schemas = starts.select("tbl", "version", "fields")
@@ -262,7 +262,7 @@ def advance(
     attributes = schemas.select("tbl", "version", F.explode("fields.name").alias("attr"))
     resolved = write("resolved", v.resolved_payloads(links, v.spec_dictionary(events), attributes))
     set_rows = v.set_observations(links, v.payload_signatures(resolved))
-    sets = write("sets", v.set_steps(set_rows, prior.get("set_state"), span))
+    sets = v.set_steps(write, set_rows, prior.get("set_state"), span)
     transformations = write("transformations", v.transformation_starts(sets, resolved))
 
     logs = {
@@ -329,9 +329,10 @@ def apply_snapshot(model: LineageModel, specs: DataFrame, scopes: DataFrame, seq
     observations = v.snapshot_observations(specs, removed, seq, ts)
     root = new_path(model.parsed.sparkSession, "sync")
     state = latest_state(model.steps, ["tbl"], v.TABLE_ORDER)
-    steps = write_table(v.table_steps(observations, state), f"{root}/table_steps")
-    starts = write_table(v.table_starts(steps, v.schema_dictionary(observations)), f"{root}/tables")
-    closings = write_table(v.table_closings(steps), f"{root}/closings")
+    write = lambda name, df: write_table(df, f"{root}/{name}")
+    steps = v.table_steps(write, observations, state)
+    starts = write("tables", v.table_starts(steps, v.schema_dictionary(observations)))
+    closings = write("closings", v.table_closings(steps))
     logs = dict(model.logs)
     logs["tables"] = logs["tables"].unionByName(starts)
     logs["closings"] = logs["closings"].unionByName(closings)
