@@ -43,7 +43,7 @@ INHERIT = "E"  # no signature: keeps the current state, or opens an empty one
 CLOSE = "T"  # ends the current state
 PROBE = "P"  # only asks which version holds
 
-_CLOSED = F.unhex(F.lit(""))
+_CLOSED = ""  # hex digits of the signature that stands for "closed"
 
 
 @contextmanager
@@ -74,7 +74,7 @@ def change_history(
     is_event = kind != PROBE
 
     chunked = rows.withColumn("_chunk", chunk_of(F.col("seq"), span)).withColumn(
-        "_def", F.when(kind == STATE, sig).when(kind == CLOSE, _CLOSED)
+        "_def", F.when(kind == STATE, sig).when(kind == CLOSE, F.unhex(F.lit(_CLOSED)))
     )
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +155,7 @@ def latest_state(steps: DataFrame, keys: list[str], order: list[str], prior: Dat
     """State of each key after ``steps``, in the shape ``change_history`` takes as ``prior``."""
     kind = F.col("kind")
     position = F.struct(*order)
-    definer = F.when(kind == STATE, F.col("sig")).when(kind == CLOSE, _CLOSED)
+    definer = F.when(kind == STATE, F.col("sig")).when(kind == CLOSE, F.unhex(F.lit(_CLOSED)))
     now = steps.groupBy(*keys).agg(
         F.max_by(definer, F.when(definer.isNotNull(), position)).alias("last_sig"),
         F.max_by("kind", F.when(kind != PROBE, position)).alias("last_kind"),
