@@ -11,6 +11,7 @@ from headwater.functions.names import canonical_name, mask_credentials
 from headwater.functions.sqltext import is_readable_dialect, is_unsupported
 from headwater.operators import parse
 from headwater.sources.events import append_events, read_event_lines, read_events
+from headwater.storage import materialize
 
 
 def event(**changes):
@@ -21,6 +22,11 @@ def event(**changes):
     return {k: v for k, v in {**base, **changes}.items() if v is not None}
 
 
+def parsed_events(rows, **options):
+    """Written once, as the model does it; every check then reads the typed rows."""
+    return materialize(parse.parse_events(rows, **options), "parsed")
+
+
 def test_dataset_names(spark):
     names = {
         "t": "t.public.t", "ns.t": "ns.public.t", "ns.s.t": "ns.s.t", "a.b.c.d": "a.b.d",
@@ -46,7 +52,7 @@ def test_envelope_and_quarantine(events):
         event(eventType="START", outputs=[{"name": "o", "facets": twice}]),
         event(eventTime="10:00:00"),
     ]
-    parsed = parse.parse_events(events(payloads))
+    parsed = parsed_events(events(payloads))
     good = {r.seq: r for r in parse.envelopes(parsed).collect()}
     assert set(good) == {0, 1, 2, 10}
     assert good[0].run_id == "b" and str(good[0].event_time) == "2024-01-01 00:00:00"
@@ -68,7 +74,7 @@ def test_job_and_sql_choice(events):
             job={"name": "j", "facets": {"sql": {"query": "low", "dialect": "x"}}},
         ),
     ]
-    parsed = parse.parse_events(events(payloads))
+    parsed = parsed_events(events(payloads))
     jobs = {r.seq: (r.job_namespace, r.job, r.sql, r.dialect) for r in parse.job_specs(parsed).collect()}
     assert jobs == {0: ("", "unknown_job", None, None), 1: ("n", "j", "select 1", "Hive"), 2: ("", "j", "low", "x")}
     texts = {r.seq: (r.sql, r.dialect, r.supported) for r in parse.event_sql(parsed).collect()}
@@ -84,7 +90,7 @@ def test_lineage_facet(events):
         },
         "dataset": [{"name": "i.s.t", "field": "k", "transformations": [{}]}],
     }
-    parsed = parse.parse_events(events([event(outputs=[{"name": "plain", "facets": {"columnLineage": facet}}])]))
+    parsed = parsed_events(events([event(outputs=[{"name": "plain", "facets": {"columnLineage": facet}}])]))
     rows = parse.lineage_rows(parsed).orderBy("pos").collect()
     assert [(r.output_table, r.output_attribute, r.lineage_type, r.lineage_subtype, r.lineage_masking, r.lineage_scope) for r in rows] == [
         ("plain", "b", "D", None, None, "FIELD"),
@@ -92,7 +98,7 @@ def test_lineage_facet(events):
         ("plain", "__dataset__", None, None, None, "DATASET"),
     ]
     assert parsed.first().spec_count == 3
-    canonical = parse.parse_events(events([event(outputs=[{"name": "plain", "facets": {"columnLineage": facet}}])]), canonicalize=True)
+    canonical = parsed_events(events([event(outputs=[{"name": "plain", "facets": {"columnLineage": facet}}])]), canonicalize=True)
     assert {r.output_table for r in parse.lineage_rows(canonical).collect()} == {"plain.public.plain"}
 
 
@@ -133,7 +139,7 @@ def test_sql_text_lineage(events):
         )
         for text, want in SQL_CASES.items()
     ]
-    parsed = parse.parse_events(events(payloads))
+    parsed = parsed_events(events(payloads))
     rows = parse.lineage_rows(parsed).orderBy("seq", "pos").collect()
     flags = {r.seq: r.outside_subset for r in parse.event_sql(parsed).collect()}
     for seq, (text, want) in enumerate(SQL_CASES.items()):
@@ -155,12 +161,12 @@ def test_sql_text_lineage(events):
 def test_sql_expression_text(events):
     text = "SELECT a.x + b.y AS s FROM one a LEFT OUTER JOIN two b ON a.i = b.i INNER JOIN one c ON c.i = b.i WHERE a.x > 1"
     job = {"name": "j", "facets": {"sql": {"query": text, "dialect": "hive"}}}
-    parsed = parse.parse_events(events([event(job=job, inputs=[{"name": "w.s.one"}, {"name": "w.s.two"}])]))
+    parsed = parsed_events(events([event(job=job, inputs=[{"name": "w.s.one"}, {"name": "w.s.two"}])]))
     assert [(r.spec_no, r.expression) for r in parse.lineage_rows(parsed).orderBy("pos").collect()] == [
         (0, "a.x + b.y AS s"), (0, "a.x + b.y AS s"), (1, "JOIN two b ON a.i = b.i"), (2, "JOIN two b ON a.i = b.i"),
         (3, "JOIN one c ON c.i = b.i"), (4, "JOIN one c ON c.i = b.i"),
     ]
-    off = parse.parse_events(events([event(job=job)]), sql_fallback=False)
+    off = parsed_events(events([event(job=job)]), sql_fallback=False)
     assert parse.lineage_rows(off).count() == 0
 
 
