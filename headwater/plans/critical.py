@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headwater.operators import graph as g
 from headwater.operators.runs import table_usage
 from headwater.plans.model import LineageModel
-from headwater.storage import materialize
+from headwater.storage import materialize, together
 
 # Weights of influence, connectivity and usage; length of the short list.
 ALPHA, BETA, GAMMA = 0.5, 0.3, 0.2
@@ -26,9 +26,11 @@ def critical_tables(
 ) -> DataFrame:
     """(tbl, influence, connectivity_loss, usage, score) of every current table."""
     graph = model_graph(model)
-    pairs = g.reachable(graph)
-    influence = g.influence(graph).withColumnRenamed("source", "id")
-    loss = g.connectivity_loss(graph, pairs)
+    influence, loss = together(
+        graph.nodes.sparkSession,
+        lambda: g.influence(graph).withColumnRenamed("source", "id"),
+        lambda: g.connectivity_loss(graph, g.reachable(graph)),
+    )
     usage = table_usage(model.links, model.job_tables(), model.current_tables())
     names = ["influence", "connectivity_loss", "usage"]
     # Written once: the maxima and the scores both read it.

@@ -11,7 +11,7 @@ from headwater.functions.chunks import SPAN, latest_state
 from headwater.operators import versions as v
 from headwater.operators.parse import good_events, parse_events
 from headwater.operators.sync import sync_removed
-from headwater.storage import new_path, write_table
+from headwater.storage import new_path, together, write_table
 
 
 @dataclass(frozen=True)
@@ -249,18 +249,23 @@ def advance(
     events = good_events(parsed)
     observations = v.table_observations(events)
     steps = v.table_steps(write, observations, prior.get("table_state"), span)
-    starts = write("tables", v.table_starts(steps, v.schema_dictionary(observations)))
-    closings = write("closings", v.table_closings(steps))
-
     job_rows = v.job_observations(events, v.event_tables(steps))
-    links = v.job_steps(write, job_rows, prior.get("job_state"), span)
-    jobs = write("jobs", v.job_starts(links, v.sql_dictionary(events)))
+    starts, closings, links = together(
+        parsed.sparkSession,
+        lambda: write("tables", v.table_starts(steps, v.schema_dictionary(observations))),
+        lambda: write("closings", v.table_closings(steps)),
+        lambda: v.job_steps(write, job_rows, prior.get("job_state"), span),
+    )
 
     schemas = starts.select("tbl", "version", "fields")
     if "schema_state" in prior:
         schemas = schemas.unionByName(prior["schema_state"])
     attributes = schemas.select("tbl", "version", F.explode("fields.name").alias("attr"))
-    resolved = write("resolved", v.resolved_payloads(links, v.spec_dictionary(events), attributes))
+    jobs, resolved = together(
+        parsed.sparkSession,
+        lambda: write("jobs", v.job_starts(links, v.sql_dictionary(events))),
+        lambda: write("resolved", v.resolved_payloads(links, v.spec_dictionary(events), attributes)),
+    )
     set_rows = v.set_observations(links, v.payload_signatures(resolved))
     sets = v.set_steps(write, set_rows, prior.get("set_state"), span)
     transformations = write("transformations", v.transformation_starts(sets, resolved))

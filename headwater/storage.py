@@ -10,7 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,13 @@ def write_counted(df: DataFrame, path: str) -> int:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     return int(seen.get["n"])
+
+
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """Run independent actions at the same time, so that small ones share the cluster.
+
+    Threads keep the caller's job group, and with it cancellation by a streaming query.
+    """
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [job.result() for job in started]

@@ -10,7 +10,7 @@ from headwater.functions.chunks import SPAN
 from headwater.operators.parse import good_events, parse_events
 from headwater.operators.runs import run_aggregates
 from headwater.plans.model import LineageModel, advance, next_states
-from headwater.storage import write_table
+from headwater.storage import together, write_table
 
 STATES = ["table_state", "schema_state", "job_state", "set_state"]
 LOGS = ["tables", "closings", "jobs", "links", "sets", "transformations", "resolved"]
@@ -32,21 +32,25 @@ class ModelStream:
             return None
         return {name: self.spark.read.parquet(f"{self.root}/{name}/batch-{batch}") for name in STATES}
 
-    def apply(self, events: DataFrame, batch: int) -> None:
+    def apply(self, parsed: DataFrame, batch: int) -> None:
+        """Add one batch of parsed events."""
         write = lambda name, df: write_table(df, f"{self.root}/{name}/batch-{batch}")
         prior = self._states(batch - 1)
-        parsed = write("events", parse_events(events, sql_fallback=self.sql_fallback))
-        logs, steps = advance(parsed, write, prior, self.span)
-        for name, state in next_states(logs, steps, prior).items():
-            write(name, state)
+        logs, steps = advance(write("events", parsed), write, prior, self.span)
+        states = next_states(logs, steps, prior)
+        together(self.spark, *[lambda n=name, s=state: write(n, s) for name, state in states.items()])
         self.spark.createDataFrame([(batch,)], "batch bigint").write.mode("overwrite").parquet(
             f"{self.root}/done/batch-{batch}"
         )
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
-        """``events`` is a streaming (seq, ts, raw); ``trigger`` goes to ``writeStream.trigger``."""
+        """``events`` is a streaming (seq, ts, raw); ``trigger`` goes to ``writeStream.trigger``.
+
+        Parsing is part of the stream's own plan, which is analysed once and not per batch.
+        """
         return (
-            events.writeStream.foreachBatch(self.apply)
+            parse_events(events, sql_fallback=self.sql_fallback)
+            .writeStream.foreachBatch(self.apply)
             .option("checkpointLocation", f"{self.root}/stream")
             .trigger(**trigger)
             .start()

@@ -8,6 +8,7 @@ import pytest
 from test_model import random_events
 
 from headwater import build_model
+from headwater.operators.parse import parse_events
 from headwater.sources.events import stream_events
 from headwater.streaming.ingest import ModelStream, RunStream, running_job_runs
 
@@ -36,7 +37,7 @@ def test_stream_equals_batch(spark, events, tmp_path, cuts):
     assert content(stream.model()) == content(batch)
     # A replayed batch overwrites itself.
     last = len(cuts)
-    stream.apply(rows.filter(f"seq >= {cuts[-1]}"), last)
+    stream.apply(parse_events(rows.filter(f"seq >= {cuts[-1]}")), last)
     assert content(stream.model()) == content(batch)
 
 
