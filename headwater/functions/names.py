@@ -16,19 +16,22 @@ def non_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def dataset_parts(name: Column) -> tuple[Column, Column, Column]:
-    """(namespace, schema, table) of a dotted dataset name.
+def name_parts(name: Column) -> Column:
+    return F.split(F.coalesce(non_empty(name), F.lit(NO_DATASET)), r"\.")
+
+
+def dataset_parts(parts: Column) -> tuple[Column, Column, Column]:
+    """(namespace, schema, table) of a dotted dataset name already split by :func:`name_parts`.
 
     The schema is the second part only when there are three or more; parts between the
     second and the last are dropped.
     """
-    parts = F.split(F.coalesce(non_empty(name), F.lit(NO_DATASET)), r"\.")
     schema = F.when(F.size(parts) > 2, parts[1]).otherwise(F.lit(DEFAULT_SCHEMA))
     return parts[0], schema, F.element_at(parts, -1)
 
 
 def canonical_name(name: Column) -> Column:
-    return F.concat_ws(".", *dataset_parts(name))
+    return F.concat_ws(".", *dataset_parts(name_parts(name)))
 
 
 def normalize_type(text: Column) -> Column:

@@ -49,9 +49,13 @@ def _without_literals(text: Column) -> Column:
 
 def is_unsupported(sql: Column) -> Column:
     """True for text outside the supported subset."""
-    flat = _without_literals(_flat(sql))
-    nested = flat.rlike(r"(?i)^.+\b(?:select|union|intersect|except|with|over)\b")
-    return ~(flat.rlike(r"(?i)^select\s.+\sfrom\s.+$") & ~nested) | ~_balanced(_projection_text(_flat(sql)))
+    return _outside(_flat(sql))
+
+
+def _outside(flat: Column) -> Column:
+    code = _without_literals(flat)
+    nested = code.rlike(r"(?i)^.+\b(?:select|union|intersect|except|with|over)\b")
+    return ~(code.rlike(r"(?i)^select\s.+\sfrom\s.+$") & ~nested) | ~_balanced(_projection_text(flat))
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -214,7 +218,7 @@ def with_sql_specs(df: DataFrame, name: str, sql: Column, inputs: Column, output
     return (
         df.withColumn("_flat", _flat(sql))
         .withColumn("_aliases", table_aliases(flat, inputs))
-        .withColumn("_groups", F.when(flat.isNotNull() & ~is_unsupported(flat), groups))
+        .withColumn("_groups", F.when(flat.isNotNull() & ~_outside(flat), groups))
         .withColumn(name, F.when(flat.isNotNull(), F.coalesce(numbered, none)))
         .drop("_flat", "_aliases", "_groups")
     )

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.functions.names import canonical_name, dataset_parts, non_empty, signature
+from headwater.functions.names import canonical_name, dataset_parts, name_parts, non_empty
 from headwater.functions.sqltext import (
     DATASET_ATTRIBUTE,
     is_readable_dialect,
     is_unsupported,
     with_sql_specs,
 )
-from headwater.schemas import CORRUPT, EVENT_JSON, FIELDS, SPEC, TRANSFORMATION_JSON
+from headwater.schemas import CORRUPT, DATASETS, EVENT_JSON, FIELDS, SPEC, TRANSFORMATION_JSON
 
 # The event types of a run, and those that end it.
 EVENT_TYPES = ["START", "COMPLETE", "FAIL", "FAILED", "ABORT", "ABORTED", "OTHER"]
@@ -28,28 +28,29 @@ def _first_struct(*facets: Column) -> Column:
 
 
 def _datasets(items: Column) -> Column:
-    def one(item: Column) -> Column:
-        namespace, schema, table = dataset_parts(item["name"])
+    """Named datasets with their fields. Names are split in a pass of their own, once each."""
+
+    def split(item: Column) -> Column:
         named = F.filter(item["facets"]["schema"]["fields"], lambda f: non_empty(f["name"]).isNotNull())
+        return F.struct(name_parts(item["name"]).alias("parts"), named.alias("fields"))
+
+    def typed(item: Column) -> Column:
+        namespace, schema, table = dataset_parts(item["parts"])
         fields = F.transform(
-            named,
+            item["fields"],
             lambda f: F.struct(
                 f["name"].alias("name"), F.coalesce(non_empty(f["type"]), F.lit("unknown")).alias("data_type")
             ),
         )
         return F.struct(
-            canonical_name(item["name"]).alias("tbl"),
+            F.concat_ws(".", namespace, schema, table).alias("tbl"),
             namespace.alias("namespace"),
             schema.alias("schema_name"),
             table.alias("table_name"),
             F.coalesce(fields, F.array().cast(FIELDS)).alias("fields"),
         )
 
-    return F.transform(F.coalesce(items, F.array().cast(items_type(items))), one)
-
-
-def items_type(_: Column) -> str:
-    return "array<struct<name: string, facets: struct<schema: struct<fields: array<struct<name: string, type: string>>>>>>"
+    return F.coalesce(F.transform(F.transform(items, split), typed), F.array().cast(DATASETS))
 
 
 def _field_specs(output_table: Column, attribute: Column, input_fields: Column, scope: str, canonical: bool) -> Column:
@@ -130,8 +131,12 @@ def parse_events(events: DataFrame, *, sql_fallback: bool = True, canonicalize:
     dated = F.when(time_text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(time_text))
     event_type = F.when(j["eventType"].isin(EVENT_TYPES), j["eventType"]).otherwise(F.lit("OTHER"))
     job = j["job"]
-    job_sql = _first_struct(job["facets"]["sql"], job["facets"]["sqlQuery"])
-    event_sql = F.coalesce(*_sql_candidates(j["facets"]), *_sql_candidates(job["facets"]))
+    job_sql, event_sql = F.col("_job_sql"), F.col("_event_sql")
+    # SQL facets are picked in columns of their own, so the choice is made once per event.
+    opened = opened.withColumn("_job_sql", _first_struct(job["facets"]["sql"], job["facets"]["sqlQuery"]))
+    opened = opened.withColumn(
+        "_event_sql", F.coalesce(*_sql_candidates(j["facets"]), *_sql_candidates(job["facets"]))
+    )
 
     typed = opened.select(
         "seq",
@@ -147,14 +152,7 @@ def parse_events(events: DataFrame, *, sql_fallback: bool = True, canonicalize:
         event_sql["sql"].alias("event_sql"),
         event_sql["dialect"].alias("event_dialect"),
         _datasets(j["inputs"]).alias("inputs"),
-        _datasets(
-            F.transform(
-                j["outputs"],
-                lambda o: F.struct(
-                    o["name"].alias("name"), F.struct(o["facets"]["schema"].alias("schema")).alias("facets")
-                ),
-            )
-        ).alias("outputs"),
+        _datasets(j["outputs"]).alias("outputs"),
         j["outputs"].alias("_outputs"),
         (F.col("raw").isNull() | j.isNull() | j[CORRUPT].isNotNull()).alias("_malformed"),
     )
@@ -256,6 +254,3 @@ def lineage_rows(parsed: DataFrame, *, source: str | None = None, scope: str | N
         rows = rows.filter(F.col("lineage_scope") == scope)
     return rows
 
-
-def spec_signature() -> Column:
-    return signature(F.col("specs"))

@@ -29,6 +29,8 @@ TRANSFORMATION_JSON = "type string, subtype string, description string, masking
 
 FIELDS = "array<struct<name: string, data_type: string>>"
 
+DATASETS = f"array<struct<tbl: string, namespace: string, schema_name: string, table_name: string, fields: {FIELDS}>>"
+
 # One element per (specification, input attribute) pair of an event.
 SPEC = (
     "struct<spec_no: int, output_table: string, output_attribute: string, input_table: string, "

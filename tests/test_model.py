@@ -121,7 +121,7 @@ def sim_rows(sim: Simulator):
     return tables, jobs, stored
 
 
-@pytest.mark.parametrize("seed,span", [(1, 7), (2, 25), (3, 1_000_000)])
+@pytest.mark.parametrize("seed,span", [(1, 7), (2, 1_000_000)])
 def test_equals_sequential_simulator(events, seed, span):
     payloads = random_events(random.Random(seed), 120)
     sim = Simulator()

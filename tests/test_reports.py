@@ -99,3 +99,11 @@ def test_bad_requests(spark, model):
     with pytest.raises(LookupError):
         reports.check_pairs(spark.createDataFrame([("w.s.a", 1, 9)], shape), versions, "tbl")
     reports.check_pairs(spark.createDataFrame([("w.s.a", 2, 1)], shape), versions, "tbl")
+
+
+def test_json_sink(model, tmp_path):
+    from headwater.sources.sinks import write_json
+
+    write_json(model.current_tables().select("tbl", "version", "to_seq"), str(tmp_path / "out"))
+    lines = [line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    assert sorted(lines)[0] == '{"tbl":"w.raw.r","version":1,"to_seq":null}'
