@@ -11,7 +11,7 @@ from headwater.functions.chunks import SPAN, latest_state
 from headwater.operators import versions as v
 from headwater.operators.parse import good_events, parse_events
 from headwater.operators.sync import sync_removed
-from headwater.storage import new_path, together, write_table
+from headwater.storage import jit_sized_methods, new_path, together, write_table
 
 
 @dataclass(frozen=True)
@@ -319,7 +319,8 @@ def build_model(
     """Build the whole model from ``events(seq, ts, raw)`` in one batch."""
     root = path or new_path(events.sparkSession, "model")
     write = lambda name, df: write_table(df, f"{root}/{name}")
-    parsed = write("events", parse_events(events, sql_fallback=sql_fallback, canonicalize=canonicalize))
+    with jit_sized_methods(events.sparkSession):
+        parsed = write("events", parse_events(events, sql_fallback=sql_fallback, canonicalize=canonicalize))
     logs, steps = advance(parsed, write, span=span)
     return LineageModel(parsed, logs, steps)
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -63,3 +64,19 @@ def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
     with ThreadPoolExecutor(len(jobs)) as pool:
         started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
         return [job.result() for job in started]
+
+
+@contextmanager
+def jit_sized_methods(spark: SparkSession) -> Iterator[None]:
+    """Keep generated methods below the size the JVM compiles.
+
+    Parsing is one wide projection. Fused into a single method it passes 8000 bytes of bytecode, which
+    HotSpot then interprets for ever; with this limit Spark runs it as separate smaller operators.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

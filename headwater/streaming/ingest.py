@@ -10,7 +10,7 @@ from headwater.functions.chunks import SPAN
 from headwater.operators.parse import good_events, parse_events
 from headwater.operators.runs import run_aggregates
 from headwater.plans.model import LineageModel, advance, next_states
-from headwater.storage import together, write_table
+from headwater.storage import jit_sized_methods, together, write_table
 
 STATES = ["table_state", "schema_state", "job_state", "set_state"]
 LOGS = ["tables", "closings", "jobs", "links", "sets", "transformations", "resolved"]
@@ -33,8 +33,17 @@ class ModelStream:
         return {name: self.spark.read.parquet(f"{self.root}/{name}/batch-{batch}") for name in STATES}
 
     def apply(self, parsed: DataFrame, batch: int) -> None:
-        """Add one batch of parsed events."""
-        write = lambda name, df: write_table(df, f"{self.root}/{name}/batch-{batch}")
+        """Add one batch of parsed events.
+
+        The stream hands over its own session, in which adaptive execution is off. Everything is read
+        back through ours, so the versioning joins are planned adaptively.
+        """
+
+        def write(name: str, df: DataFrame) -> DataFrame:
+            path = f"{self.root}/{name}/batch-{batch}"
+            write_table(df, path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
         prior = self._states(batch - 1)
         logs, steps = advance(write("events", parsed), write, prior, self.span)
         states = next_states(logs, steps, prior)
@@ -48,13 +57,14 @@ class ModelStream:
 
         Parsing is part of the stream's own plan, which is analysed once and not per batch.
         """
-        return (
-            parse_events(events, sql_fallback=self.sql_fallback)
-            .writeStream.foreachBatch(self.apply)
-            .option("checkpointLocation", f"{self.root}/stream")
-            .trigger(**trigger)
-            .start()
-        )
+        with jit_sized_methods(self.spark):  # a stream keeps the settings it was started with
+            return (
+                parse_events(events, sql_fallback=self.sql_fallback)
+                .writeStream.foreachBatch(self.apply)
+                .option("checkpointLocation", f"{self.root}/stream")
+                .trigger(**trigger)
+                .start()
+            )
 
     def model(self) -> LineageModel:
         """The model after the latest finished batch."""
