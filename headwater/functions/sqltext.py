@@ -103,7 +103,10 @@ def table_aliases(flat: Column, inputs: Column) -> Column:
     A table in the text is the first input whose name equals it or ends with it after a dot;
     otherwise the text itself.
     """
-    items = F.split(_from_text(flat), r"(?i)\s*(?:\s(?:natural|left|right|full|inner|outer|cross)\b\s*)*\sjoin\s|\s*,\s*")
+    tables = _from_text(flat)
+    for _ in range(4):  # commas inside call arguments do not separate tables
+        tables = F.regexp_replace(tables, r"\([^()]*\)", "")
+    items = F.split(tables, r"(?i)\s*(?:\s(?:natural|left|right|full|inner|outer|cross)\b\s*)*\sjoin\s|\s*,\s*")
     shape = rf"(?i)^\s*((?:{_WORD}\.)*{_WORD})(?:\s+(?:as\s+)?(?!on\b|using\b)({_WORD}))?"
 
     def entry(item: Column) -> Column:

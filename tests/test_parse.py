@@ -119,6 +119,9 @@ SQL_CASES = {
         2, {("v", "DERIVED", ("other.v",)), ("c", "DERIVED", ("w.s.two.c",))}, [],
     ),
     "SELECT zz.v AS v, name FROM one a": (2, set(), []),
+    "SELECT a.x AS x FROM one a JOIN two b ON coalesce(b.i, f(b.j, b.a)) = a.i": (
+        2, {("x", "DERIVED", ("w.s.one.x",))}, ["w.s.two.i", "w.s.two.j", "w.s.two.a", "w.s.one.i"],
+    ),
     "SELECT CASE WHEN a.x > 0 THEN a.y ELSE 0 END AS f, CAST(a.t AS date) AS d FROM one a": (
         1, {("f", "DERIVED", ("w.s.one.x", "w.s.one.y")), ("d", "DERIVED", ("w.s.one.t",))}, [],
     ),
