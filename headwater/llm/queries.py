@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headwater.llm import packing, simhash
+from headwater.llm import packing, secrets, simhash, urlfilter, warc
 from headwater.llm.common import read, text_of
 
 
@@ -16,19 +17,41 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages, pages["page_id"], pages["url"], pages["html"])
+    return warc.parse_records(warc.read_records(archive))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return packing.pack_documents(docs, docs["doc_id"], text_of(docs), word_tokenizer)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table names one holder, its source: it is the owner, and its part in one language a repository."""
+    docs = read(spark, sf_dir, "documents")
+    repository = F.concat_ws("/", docs["source"], docs["lang"])
+    return secrets.scan_secrets(docs, docs["doc_id"], text_of(docs), repository, docs["source"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return simhash.simhash_components(docs, docs["doc_id"], text_of(docs), words=3)
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    rules = [urlfilter.site_rule(*r) for r in urlfilter.SITE_RULES] + urlfilter.method_rules()
+    return urlfilter.filter_urls(pages, pages["page_id"], pages["url"], urlfilter.rules_table(spark, rules))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_secrets": op5_secrets,
     "op7_simhash": op7_simhash,
+    "op10_urls": op10_urls,
 }
 
 ORACLE: dict[str, str] = {}
