@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import packing, secrets, simhash, urlfilter, warc
+from headwater.llm import linededup, packing, secrets, simhash, urlfilter, warc, winnow
 from headwater.llm.common import read, text_of
 
 
@@ -40,6 +40,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs, docs["doc_id"], text_of(docs), words=3)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return winnow.winnow_documents(docs, docs["doc_id"], text_of(docs))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return linededup.dedup_lines(docs, docs["doc_id"], text_of(docs), docs["source"])
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     rules = [urlfilter.site_rule(*r) for r in urlfilter.SITE_RULES] + urlfilter.method_rules()
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op7_simhash": op7_simhash,
+    "op8_winnowing": op8_winnowing,
+    "op9_lines": op9_lines,
     "op10_urls": op10_urls,
 }
 
