@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import linededup, packing, secrets, simhash, urlfilter, warc, winnow
+from headwater.llm import decontam, linededup, packing, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
 from headwater.llm.common import read, text_of
 
 
@@ -17,6 +17,17 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = pseudolikelihood.fit_windows(docs, docs["doc_id"], text_of(docs))
+    return pseudolikelihood.score_documents(docs, docs["doc_id"], text_of(docs), model)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return decontam.find_leaks(docs, docs["doc_id"], text_of(docs), read(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     archive = warc.write_archive(pages, pages["page_id"], pages["url"], pages["html"])
@@ -35,6 +46,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs, docs["doc_id"], text_of(docs), repository, docs["source"])
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    labels = read(spark, sf_dir, "labels").where(~held_out)
+    model = quality.fit_quality(docs, docs["doc_id"], text_of(docs), labels)
+    scored = quality.score_documents(docs, docs["doc_id"], text_of(docs), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return simhash.simhash_components(docs, docs["doc_id"], text_of(docs), words=3)
@@ -57,9 +77,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudolikelihood": op1_pseudolikelihood,
+    "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_winnowing": op8_winnowing,
     "op9_lines": op9_lines,
