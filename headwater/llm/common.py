@@ -38,3 +38,26 @@ def map_texts(
             yield pa.RecordBatch.from_pydict(out, schema=target)
 
     return df.select(*[c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text: str, decide: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text passes. ``decide`` is called once a task for a function
+    from texts (null as empty) to one boolean each."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = decide()
+        for b in batches:
+            yield b.filter(pa.array(passes([t or "" for t in b.column(at).to_pylist()]), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, also names with dots."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
+def same_document(a: DataFrame, b: DataFrame, text: str = "text") -> Column:
+    """Rows of ``a`` are those that ``b(doc_id, text_hash)`` names: by id, null like null, and by a hash of the text."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (F.xxhash64(text_of(a, text)) == b["text_hash"])

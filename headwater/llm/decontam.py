@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import map_texts
+from headwater.llm.common import columns_of, map_texts, text_of
+from headwater.storage import materialize
 
 #: Words of a part of an item, and of a passage.
 PART = 32
@@ -235,3 +236,14 @@ def find_leaks(
         part = map_texts(docs, {"doc_id": doc_id, "text": text}, rows, HITS)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], HITS) if out is None else out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no item of ``items`` (``find_leaks``).
+
+    Rows are told apart by a hash of their text, which decides the matter alone, so shared or null ids do no harm.
+    """
+    whole = text_of(docs, text)
+    found = find_leaks(docs, F.xxhash64(whole), whole, items)
+    leaks = materialize(found.select(F.col("doc_id").alias("text_hash")).distinct(), "leaks")
+    return docs.join(leaks, F.xxhash64(whole) == leaks["text_hash"], "left_anti").select(*columns_of(docs))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headwater.llm.common import same_document, text_of
 from headwater.storage import materialize
 
 #: Lines on so many sites are boilerplate.
@@ -67,10 +68,10 @@ def clean_lines(
     )
 
 
-def without_lines(text: str, drop: str) -> str:
-    """SQL for a text without the numbered lines."""
-    kept = f"filter(transform(split({text}, '\\n', -1), (x, i) -> if(array_contains({drop}, i), null, x)), x -> x is not null)"
-    return f"if(size({drop}) > 0, array_join({kept}, '\\n'), {text})"
+def without_lines(text: Column, drop: Column) -> Column:
+    """A text without the numbered lines."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~F.array_contains(drop, i), x))
+    return F.when(F.size(drop) > 0, F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")).otherwise(text)
 
 
 def dedup_lines(
@@ -80,11 +81,32 @@ def dedup_lines(
 
     Null and empty texts have one blank line, which stays. No rows give no rows.
     """
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"))
     drops = clean_lines(docs, doc_id, text, site, min_sites, lg_k)
-    joined = rows.join(
-        drops, rows["doc_id"].eqNullSafe(drops["doc_id"]) & (rows["text_hash"] == drops["text_hash"]), "left"
-    ).select(rows["doc_id"], rows["text"], F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
-    return joined.selectExpr(
-        "doc_id", f"{without_lines('text', 'drop')} text", "size(split(text, '\\n', -1)) n_lines", "size(drop) n_removed"
+    drop = F.coalesce(drops["drop"], F.array().cast("array<int>"))
+    return rows.join(drops, same_document(rows, drops), "left").select(
+        rows["doc_id"],
+        without_lines(rows["text"], drop).alias("text"),
+        F.size(F.split(rows["text"], "\n", -1)).alias("n_lines"),
+        F.size(drop).alias("n_removed"),
     )
+
+
+def with_clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs(doc_id, text, n_chars, ...)`` with boilerplate lines out of the text, and ``n_chars`` that of the new one.
+
+    Every row stays, also one whose lines all stand elsewhere. Null texts stay null.
+    """
+    text = text_of(docs)
+    drops = clean_lines(docs, docs["doc_id"], text, docs[site], min_sites)
+    joined = docs.join(drops, same_document(docs, drops), "left")
+    new = F.when(drops["drop"].isNotNull(), without_lines(text, drops["drop"])).otherwise(docs["text"])
+    columns = []
+    for c in docs.columns:
+        column = docs[f"`{c}`"]
+        if c == "text":
+            column = new.alias(c)
+        elif c == "n_chars":
+            column = F.when(drops["drop"].isNotNull(), F.length(new)).otherwise(column).cast(docs.schema[c].dataType).alias(c)
+        columns.append(column)
+    return joined.select(*columns)

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import map_texts
+from headwater.llm.common import keep_rows, map_texts
 
 #: Characters of a block. Blocks are compressed for themselves, so a long text cannot become its own dictionary.
 BLOCK = 200
@@ -163,3 +163,13 @@ def score_documents(
             yield {"doc_id": b["doc_id"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
     return map_texts(docs, {"doc_id": doc_id, "text": text}, rows, "doc_id bigint, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores ``threshold`` or more."""
+
+    def decide():
+        sizes = Sizes(model.good, model.bad) if model.constant is None else None
+        return lambda texts: [score_of(model, sizes.difference(t) if sizes else 0.0) >= threshold for t in texts]
+
+    return keep_rows(docs, text, decide)

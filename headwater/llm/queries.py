@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.llm import decontam, linededup, packing, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
@@ -46,13 +46,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs, docs["doc_id"], text_of(docs), repository, docs["source"])
 
 
+def held_out() -> Column:
+    """The fold that no label is learned from."""
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    return F.coalesce(fold == 2, F.lit(False))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    labels = read(spark, sf_dir, "labels").where(~held_out)
+    labels = read(spark, sf_dir, "labels").where(~held_out())
     model = quality.fit_quality(docs, docs["doc_id"], text_of(docs), labels)
     scored = quality.score_documents(docs, docs["doc_id"], text_of(docs), model)
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

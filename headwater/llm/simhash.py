@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import map_texts
+from headwater.llm.common import columns_of, map_texts, same_document
 from headwater.llm.components import components
 from headwater.storage import materialize
 
@@ -124,3 +124,105 @@ def simhash_components(docs: DataFrame, doc_id: Column, text: Column, words: int
     return fps.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Near copies: words of a shingle, and the share of shingles two texts have in common.
+NEAR_WORDS, NEAR = 5, 0.8
+#: Pieces of a text: shingles between those whose hash is divisible by PIECE, and not shorter than LEAST. Each text is
+#: found under the KEYS least of its pieces' sums.
+PIECE, LEAST, KEYS = 16, 8, 8
+
+
+def piece_keys(hashes: np.ndarray) -> list[int]:
+    """Sums of the shingle hashes of stretches that the content itself bounds: an edit changes only those it is in."""
+    cuts = [0]
+    for i in (np.flatnonzero(hashes % np.uint64(PIECE) == 0) + 1).tolist():
+        if i - cuts[-1] >= LEAST and i < len(hashes):
+            cuts.append(i)
+    sums = np.add.reduceat(hashes, cuts) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(sums)[:KEYS].astype(np.int64).tolist()
+
+
+def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR_WORDS, similarity: float = NEAR) -> DataFrame:
+    """``(doc_id, text_hash, root)`` per row: texts whose sets of ``words``-word shingles are ``similarity`` alike, and
+    all they lead to, share a root. ``text_hash`` is Spark's hash of the text as it is.
+
+    Texts that read alike are one from the start, so a group of exact copies costs one text. Pairs to look at come
+    from SimHash fingerprints within two bits (``links``). At a similarity of 0.8 fingerprints differ in eight bits or so,
+    where no grid of counts is selective; so texts that share a content-bounded piece are looked at too, each with
+    two of those that hold the piece, chosen by a hash. Every pair is verified on the whole shingle sets.
+    Texts without words are one group.
+    """
+
+    def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            out: dict[str, list] = {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": [], "fp": [], "pieces": []}
+            for t in b["text"]:
+                data = t.encode("utf-8", "replace").lower()
+                found = shingle_hashes(data, words, 42)
+                out["node"].append(int(np.uint64(xxhash.xxh64_intdigest(b" ".join(data.split()))).astype(np.int64)))
+                out["fp"].append(fingerprint(found))
+                out["pieces"].append(piece_keys(found) if len(found) else [])
+            yield out
+
+    read = map_texts(
+        docs, {"doc_id": doc_id, "text_hash": F.xxhash64(text), "text": text}, rows,
+        "doc_id bigint, text_hash bigint, node bigint, fp bigint, pieces array<bigint>",
+    )
+    table = materialize(read, "near")
+    nodes = table.select("node", "fp", "pieces").dropDuplicates(["node"])
+    nodes = materialize(nodes, "near-nodes")
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("b")), "near-fps")
+    far = links(first.select("fp")).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b")
+    far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a")), "dst").select("a", "b")
+    alike = nodes.join(first, "fp").select(F.col("node").alias("a"), "b")
+    held = nodes.select(F.explode("pieces").alias("piece"), "node")
+    held = held.withColumn("rank", F.struct(F.xxhash64("piece", "node").alias("r"), "node"))
+    chosen = held.groupBy("piece").agg(F.min("rank").alias("x"), F.max("rank").alias("y"))
+    chosen = chosen.where("x <> y").select("piece", F.explode(F.array("x.node", "y.node")).alias("b"))
+    shared = held.join(chosen, "piece").select(F.col("node").alias("a"), "b")
+    pairs = far.union(alike).union(shared).where("a <> b")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+
+    asked = pairs.select("a").union(pairs.select("b")).distinct()
+    # One row for each text that is in a pair.
+    whose = table.join(asked, table["node"] == asked["a"], "left_semi").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("row")
+    )
+    whose = materialize(whose.select("node", "row.doc_id", "row.text_hash"), "near-asked")
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    texts = own.join(whose, same_document(own, whose)).select("node", "text")
+
+    def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t.encode("utf-8", "replace").lower(), words, 42)) for t in b["text"]]
+            yield {"node": b["node"], "shingles": [x.astype(np.int64).tolist() for x in found]}
+
+    shingles = map_texts(texts, {"node": texts["node"], "text": texts["text"]}, sets, "node bigint, shingles array<bigint>")
+    shingles = materialize(shingles, "near-shingles")
+    left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.where(common >= similarity * (F.size("x") + F.size("y") - common))
+    roots = components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("root", "group")
+    return table.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("group", "node").alias("root"))
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``: the one of the smallest id (null last), then text hash.
+
+    Rows repeating both leave one. All columns stay.
+    """
+    groups = materialize(near_copies(docs, docs[doc_id], F.coalesce(docs[text].cast("string"), F.lit(""))), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = groups.groupBy("root").agg(F.min(rank).alias("kept")).select("kept.doc_id", "kept.text_hash")
+    kept = materialize(kept, "kept")
+    rows = docs.join(kept, same_document(docs, kept, text), "left_semi").select(*columns_of(docs))
+    if rows_repeat(groups):
+        rows = rows.dropDuplicates([doc_id, text])
+    return rows
+
+
+def rows_repeat(groups: DataFrame) -> bool:
+    """Whether any row has another's id and text."""
+    return not groups.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
