@@ -50,7 +50,8 @@ def keep_rows(df: DataFrame, text: str, decide: Callable[[], Callable[[list], li
         for b in batches:
             yield b.filter(pa.array(passes([t or "" for t in b.column(at).to_pylist()]), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots do not resolve there
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
 
 
 def columns_of(df: DataFrame) -> list[Column]:

@@ -20,7 +20,8 @@ CLASSES, BUCKETS = CLUSTERS * INNER, 128
 REACH, VECTOR, HIDDEN = 2, 16, 32
 #: One word in so many is masked for training, in every document, and the passes over them.
 MASKED, ROUNDS = 16, 3
-BATCH, RATE = 4096, 0.01
+#: Windows in a block, steps of descent a block, and their rate.
+BLOCK, STEPS, RATE = 32_768, 16, 0.01
 
 
 @dataclass(frozen=True)
@@ -122,8 +123,9 @@ def train(flat: np.ndarray, windows: Iterator[np.ndarray]) -> tuple[np.ndarray,
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     step = seen = 0
     for block in windows:
-        for at in range(0, len(block), BATCH):
-            part = block[at : at + BATCH].astype(np.int64)
+        size = max(64, len(block) // STEPS)
+        for at in range(0, len(block), size):
+            part = block[at : at + size].astype(np.int64)
             g = np.zeros_like(flat)
             log_chances(flat, part[:, 1:], part[:, 0], g)
             step, seen = step + 1, seen + len(part)
@@ -178,7 +180,7 @@ def fit_windows(docs: DataFrame, doc_id: Column, text: Column, rounds: int = ROU
                     held.append(np.concatenate([ids[at, None], _contexts(ids, at)], axis=1).astype("<i2"))
             if held:
                 rows = np.concatenate(held)
-                yield {"windows": [rows[i : i + 8 * BATCH].tobytes() for i in range(0, len(rows), 8 * BATCH)]}
+                yield {"windows": [rows[i : i + BLOCK].tobytes() for i in range(0, len(rows), BLOCK)]}
 
     windows = materialize(map_texts(docs, {"text": text}, cut, "windows binary"), "windows")
     flat = initial()
@@ -223,9 +225,9 @@ def score_documents(docs: DataFrame, doc_id: Column, text: Column, model: Window
                 line = np.concatenate([x for h in held for x in (gap, h)] + [gap])
                 at = np.arange(ends[-1]) + REACH * (np.repeat(np.arange(len(held)), [len(h) for h in held]) + 1)
                 chance = np.empty(len(at), dtype=np.float64)
-                for i in range(0, len(at), 8 * BATCH):
-                    part = at[i : i + 8 * BATCH]
-                    chance[i : i + 8 * BATCH] = log_chances(flat, line[part[:, None] + np.array(_OFFSETS)], line[part])
+                for i in range(0, len(at), BLOCK):
+                    part = at[i : i + BLOCK]
+                    chance[i : i + BLOCK] = log_chances(flat, line[part[:, None] + np.array(_OFFSETS)], line[part])
                 sums = np.concatenate([[0.0], np.cumsum(chance)])[np.concatenate([[0], ends])]
                 totals.extend(np.diff(sums).tolist())
                 held, waiting = [], 0
@@ -235,7 +237,7 @@ def score_documents(docs: DataFrame, doc_id: Column, text: Column, model: Window
                 sizes.append(len(ids))
                 held.append(ids)
                 waiting += len(ids)
-                if waiting >= 8 * BATCH:
+                if waiting >= BLOCK:
                     flush()
             flush()
             means = [s / n if n else None for s, n in zip(totals, sizes)]

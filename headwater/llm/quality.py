@@ -90,8 +90,8 @@ def fit_quality(
     Of each class the ``documents`` labels with the least hash of their id are looked up, and of their text at most
     ``blocks`` blocks of lines for the dictionaries, and one difference a document for the curve, are used: a bound for
     the driver, which builds the dictionaries. Blocks that both classes hold say nothing and are left out. Labels that are null, or neither 0 nor 1, are passed over, repeated ones count
-    once, and an id labelled both ways counts as bad. Where one class has no text, every score is 1 if there are good
-    labels or none at all, else 0.
+    once, and an id labelled both ways counts as bad. Where one class has no text to learn from, every score is 1, or 0 if
+    all labels are bad.
     """
     order = F.xxhash64(F.lit("quality"), "doc_id")
     clean = (
@@ -119,7 +119,7 @@ def fit_quality(
     both = set(samples[0]) & set(samples[1])
     samples = [[b for b in s if b not in both] for s in samples]
     if not all(samples):
-        return QualityModel(b"", b"", 0.0, 0.0, 0.0 if samples[1] else 1.0)
+        return QualityModel(b"", b"", 0.0, 0.0, 0.0 if set(picked["quality"]) == {0} else 1.0)
     good, bad = (_dictionary(s) for s in samples)
 
     def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from headwater.llm import decontam, linededup, packing, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
 from headwater.llm.common import read, text_of
+from headwater.llm.oracle import ORACLE as ORACLE
 
 
 def word_tokenizer() -> str:
@@ -31,7 +32,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     archive = warc.write_archive(pages, pages["page_id"], pages["url"], pages["html"])
-    return warc.parse_records(warc.read_records(archive))
+    return warc.parse_records(warc.read_records(archive)).drop("record_bytes")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     rules = [urlfilter.site_rule(*r) for r in urlfilter.SITE_RULES] + urlfilter.method_rules()
-    return urlfilter.filter_urls(pages, pages["page_id"], pages["url"], urlfilter.rules_table(spark, rules))
+    return urlfilter.filter_urls(pages, pages["page_id"], pages["url"], urlfilter.rules_table(spark, rules)).drop("pattern")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -92,6 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_lines": op9_lines,
     "op10_urls": op10_urls,
-}
-
-ORACLE: dict[str, str] = {}
+}
\ No newline at end of file
