@@ -18,13 +18,23 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+#: Rows of a batch that are Python objects at the same time.
+SLICE = 512
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def map_texts(
     df: DataFrame,
     columns: dict[str, Column],
     rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],
     schema: str,
 ) -> DataFrame:
-    """Run ``rows`` over the batches of each partition, as lists by column name, keeping no more than a batch.
+    """Run ``rows`` over each partition, as lists by column name of at most ``SLICE`` rows at a time.
 
     ``columns`` names what is read, so a table's other columns never reach Python and their names cannot clash.
     """
@@ -34,7 +44,7 @@ def map_texts(
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches):
+        for out in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in _sliced(batches)):
             yield pa.RecordBatch.from_pydict(out, schema=target)
 
     return df.select(*[c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
@@ -47,7 +57,7 @@ def keep_rows(df: DataFrame, text: str, decide: Callable[[], Callable[[list], li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = decide()
-        for b in batches:
+        for b in _sliced(batches):
             yield b.filter(pa.array(passes([t or "" for t in b.column(at).to_pylist()]), type=pa.bool_()))
 
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots do not resolve there

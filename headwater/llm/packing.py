@@ -20,7 +20,7 @@ END_ID = 1
 #: Documents of so many tokens are packed together: a bound for memory, far above one sequence.
 POOL_TOKENS = 1 << 22
 #: Distinct words that a worker remembers in each of two generations.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
