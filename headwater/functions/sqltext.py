@@ -1,126 +1,236 @@
 """Column lineage from the text of a single-block ``SELECT``.
 
 Everything here is a column expression over one event's SQL text: no shuffle, no Python.
-Supported: one ``SELECT ... FROM ... [JOIN ...]`` block. Nested queries, set operations,
-common table expressions, ``OVER`` and statements that do not start with ``SELECT`` give
-no rows and are reported by :func:`is_unsupported`.
+One quote-aware scan cuts comments, literals and quoted names out and leaves numbered marks; a second one folds
+every parenthesised group of the outermost level into a mark, at any depth. Clauses, joins and commas are looked for in
+that outline only, so nothing inside a literal, a name or a call is taken for one.
+
+Supported: one ``SELECT ... FROM ... [JOIN ...]`` block over named tables. Nested queries, set operations, common table
+expressions, table functions and all that is not understood give no rows and are reported by :func:`is_unsupported`.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.schemas import SPEC
 
-# Dialects whose text is read.
+# Dialects whose text is read; those where a backslash escapes in a literal; those where double quotes
+# hold a literal and not a name; those with # comments.
 DIALECTS = ["postgres", "postgresql", "mysql", "sqlite", "bigquery", "snowflake", "hive", "clickhouse"]
+_BACKSLASH = ["mysql", "bigquery", "hive", "clickhouse", "snowflake"]
+_QUOTE_IS_LITERAL = ["mysql", "bigquery", "hive"]
+_HASH_COMMENT = ["mysql", "bigquery"]
 
 DATASET_ATTRIBUTE = "__dataset__"
 
+# Aggregate functions of the dialects. ClickHouse adds endings to any of them.
 _AGGREGATES = (
-    "sum|count|avg|min|max|stddev|stddev_pop|stddev_samp|variance|var_pop|var_samp|median|"
-    "array_agg|string_agg|group_concat|listagg|any_value|approx_distinct|approx_count_distinct|"
-    "quantile|corr|covar_pop|covar_samp|first|last|bool_and|bool_or|mode"
+    "sum|sum0|sumkahan|total|count|avg|avgweighted|min|max|median|mode|product|"
+    "std|stddev|stddev_pop|stddev_samp|stddevpop|stddevsamp|variance|var_pop|var_samp|varpop|varsamp|"
+    "corr|covar_pop|covar_samp|covarpop|covarsamp|regr_[a-z0-9]+|skewness|kurtosis|skew[a-z]+|kurt[a-z]+|entropy|"
+    "array_agg|array_concat_agg|array_union_agg|array_unique_agg|string_agg|group_concat|listagg|collect_list|collect_set|"
+    "any|anylast|anyheavy|any_value|some|every|first|last|first_value|last_value|nth_value|lag|lead|"
+    "max_by|min_by|argmin|argmax|arg_min|arg_max|count_if|countif|count_distinct|"
+    "approx_distinct|approx_count_distinct|approx_quantile|approx_quantiles|approx_percentile|approx_top_k|approx_top_count|"
+    "approx_top_sum|hll|uniq|uniqexact|uniqcombined|uniqcombined64|uniqhll12|uniqthetasketch|topk|topkweighted|"
+    "quantile|quantiles|quantile[a-z0-9]+|quantiles[a-z0-9]+|percentile|percentile_cont|percentile_disc|percentile_approx|"
+    "bool_and|bool_or|booland_agg|boolor_agg|logical_and|logical_or|bit_and|bit_or|bit_xor|bit_and_agg|bit_or_agg|bit_xor_agg|"
+    "groupbitand|groupbitor|groupbitxor|grouparray|groupuniqarray|grouparray[a-z0-9]+|sum_if|avg_if|min_if|max_if|"
+    "json_agg|jsonb_agg|json_object_agg|jsonb_object_agg|json_arrayagg|json_objectagg|json_group_array|json_group_object|"
+    "object_agg|map_agg|summap|minmap|maxmap|sumwithoverflow|grouping"
 )
+_ENDINGS = "(?:if|array|map|distinct|ordefault|ornull|foreach|resample|state|simplestate|merge|mergestate)*"
 _NOT_COLUMNS = [
-    "select", "distinct", "case", "when", "then", "else", "end", "and", "or", "not", "null", "is", "in", "like",
-    "ilike", "between", "true", "false", "interval", "as", "from", "current_date", "current_timestamp", "asc", "desc",
+    "select", "distinct", "all", "case", "when", "then", "else", "end", "and", "or", "xor", "not", "null", "is", "in",
+    "like", "ilike", "rlike", "regexp", "similar", "to", "escape", "between", "true", "false", "unknown", "interval", "as",
+    "from", "for", "div", "mod", "collate", "current_date", "current_time", "current_timestamp", "localtime",
+    "localtimestamp", "current_user", "session_user", "asc", "desc", "nulls", "over", "partition", "order", "by", "rows",
+    "range", "groups", "unbounded", "preceding", "following", "current", "row", "ties", "others", "exclude", "within",
+    "group", "filter", "where", "separator", "both", "leading", "trailing", "at", "zone",
 ]
 
 _WORD = r"[A-Za-z_][A-Za-z0-9_$]*"
-_QUALIFIED = rf"(?<![A-Za-z0-9_$.])(?:{_WORD}\.)+(?:{_WORD}|\*)(?![A-Za-z0-9_$]|\s*\()"
+_QUALIFIED = rf"(?<![A-Za-z0-9_$.])(?:{_WORD}\s?\.\s?)+(?:{_WORD}|\*)(?![A-Za-z0-9_$]|\s*\()"
 _BARE = rf"(?<![A-Za-z0-9_$.'])({_WORD})(?![A-Za-z0-9_$.]|\s*\()"
-_TAIL = r"(?i)\s(?:where|group by|having|order by|limit|offset|window|qualify|fetch)\s.*$"
+_TAIL = r"(?i)\s(?:where|group by|having|order by|limit|offset|window|qualify|fetch)\b.*$"
+_JOIN = r"(?i)\s*(?:\s(?:natural|left|right|full|inner|outer|cross)\b\s*)*\sjoin\s"
+_NAME = rf"(?:{_WORD}\s?\.\s?)*{_WORD}"
+_ITEM = rf"(?i)^({_NAME})(?:\s+(?:as\s+)?(?!on\b|using\b|natural\b|left\b|right\b|full\b|inner\b|outer\b|cross\b|lateral\b|final\b|sample\b|tablesample\b)({_WORD}))?\s*(?:\bon\b\s*(.+)|using\s*\([^)]*\))?$"
 
 
 def is_readable_dialect(dialect: Column) -> Column:
     return F.coalesce(F.lower(dialect).isin(DIALECTS), F.lit(False))
 
 
-def _flat(sql: Column) -> Column:
-    spaced = F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*(\n|$)", " "), r"(?s)/\*.*?\*/", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"\s+", " "), r"[;\s]+$", ""))
+def _pattern(backslash: bool, hash_comment: bool) -> str:
+    inner = (lambda q: rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}") if backslash else (lambda q: f"{q}[^{q}]*{q}")
+    comment = r"--[^\n]*|/\*.*?\*/" + (r"|#[^\n]*" if hash_comment else "")
+    return f"(?s){comment}|{inner(chr(39))}|{inner(chr(34))}|`[^`]*`|[^'\"`#/-]+|."
 
 
-def _without_literals(text: Column) -> Column:
-    return F.regexp_replace(text, r"'[^']*'", "''")
+@dataclass(frozen=True)
+class Text:
+    """Columns made from one text: its tokens, the text with marks, its outline, and the groups folded there."""
 
+    tokens: Column
+    code: Column
+    outline: Column
+    groups: Column
+    quote_is_literal: Column
 
-def is_unsupported(sql: Column) -> Column:
-    """True for text outside the supported subset."""
-    return _outside(_flat(sql))
+    def unfolded(self, text: Column) -> Column:
+        """Groups put back."""
+        return F.aggregate(self.groups, text, lambda acc, g: F.replace(acc, g["mark"], g["text"]))
 
+    def _kept(self) -> Column:
+        quoted = F.transform(self.tokens, lambda t, i: F.struct(t.alias("text"), i.alias("i")))
+        return F.filter(quoted, lambda q: q["text"].rlike("^['\"`]"))
 
-def _outside(flat: Column) -> Column:
-    code = _without_literals(flat)
-    nested = code.rlike(r"(?i)^.+\b(?:select|union|intersect|except|with|over)\b")
-    return ~(code.rlike(r"(?i)^select\s.+\sfrom\s.+$") & ~nested) | ~_balanced(_projection_text(flat))
+    def original(self, text: Column) -> Column:
+        """Groups, names and literals put back as they were written."""
+        names = F.aggregate(
+            self._kept(), self.unfolded(text), lambda acc, q: F.replace(acc, _name_mark(q["i"]), q["text"])
+        )
+        return F.aggregate(self._kept(), names, lambda acc, q: F.replace(acc, _literal_mark(q["i"]), q["text"]))
 
+    def name(self, word: Column) -> Column:
+        """What a word or the mark of a quoted name or literal stands for."""
+        number = F.nullif(F.regexp_extract(word, r"^(?:_\$q|'\x02)(\d+)(?:\$|\x02')$", 1), F.lit(""))
+        token = F.get(self.tokens, number.cast("int"))
+        return F.when(number.isNull(), word).otherwise(_inside(token))
 
-def _count(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
+def _inside(token: Column) -> Column:
+    return F.substring(token, F.lit(2), F.length(token) - 2)
 
-def _balanced(text: Column) -> Column:
-    return (_count(text, "(") == _count(text, ")")) & (_count(text, "'") % 2 == 0)
 
+def _name_mark(i: Column) -> Column:
+    return F.concat(F.lit("_$q"), i, F.lit("$"))
 
-def _projection_text(flat: Column) -> Column:
-    return F.regexp_extract(flat, r"(?i)^select (?:distinct |all )?(.*?) from ", 1)
 
+def _literal_mark(i: Column) -> Column:
+    return F.concat(F.lit("'\x02"), i, F.lit("\x02'"))
+
+
+def _tokens(sql: Column, dialect: Column) -> Column:
+    named = F.coalesce(F.lower(dialect), F.lit(""))
+    patterns = F.when(named.isin(_HASH_COMMENT), _pattern(True, True)).when(named.isin(_BACKSLASH), _pattern(True, False))
+    return F.regexp_extract_all(sql, patterns.otherwise(_pattern(False, False)), F.lit(0))
 
-def _from_text(flat: Column) -> Column:
-    rest = F.regexp_extract(flat, r"(?i)^select .*? from (.*)$", 1)
-    return F.trim(F.regexp_replace(rest, _TAIL, ""))
 
+def _code(tokens: Column, quote_is_literal: Column) -> Column:
+    def mark(t: Column, i: Column) -> Column:
+        closed = F.length(t) > 1
+        return (
+            F.when(t.startswith("--") | t.startswith("/*") | (t.startswith("#") & closed), F.lit(" "))
+            .when(closed & (t.startswith("'") | (t.startswith('"') & quote_is_literal)), _literal_mark(i))
+            .when(closed & t.rlike('^["`]'), _name_mark(i))
+            .otherwise(t)
+        )
+
+    text = F.array_join(F.transform(tokens, mark), "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[;\s]+$", ""))
 
-def _split_commas(text: Column) -> Column:
-    """Split on commas outside parentheses and literals, at any depth."""
-    pieces = F.split(text, ",")
-    empty = F.array().cast("array<string>")
 
-    def add(acc: Column, piece: Column) -> Column:
-        joined = F.when(acc["open"].isNull(), piece).otherwise(F.concat(acc["open"], F.lit(","), piece))
-        whole = _balanced(joined)
+def _folded(code: Column) -> Column:
+    """``struct(depth, low, open, outline, groups)`` after the last sign."""
+    none = F.array().cast("array<struct<mark:string,text:string>>")
+
+    def add(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        closes = (t == ")") & (depth == 0)
+        mark = F.concat(F.lit("\x01"), F.size(acc["groups"]), F.lit("\x01"))
         return F.struct(
-            F.when(whole, F.concat(acc["done"], F.array(F.trim(joined)))).otherwise(acc["done"]).alias("done"),
-            F.when(~whole, joined).alias("open"),
+            depth.alias("depth"),
+            F.least(acc["low"], depth).alias("low"),
+            F.when(closes, "").when((acc["depth"] > 0) & (depth > 0), F.concat(acc["open"], t)).otherwise(acc["open"]).alias("open"),
+            F.when(closes, F.concat(acc["outline"], F.lit("("), mark, F.lit(")")))
+            .when((acc["depth"] == 0) & (t != "("), F.concat(acc["outline"], t))
+            .otherwise(acc["outline"])
+            .alias("outline"),
+            F.when(closes, F.concat(acc["groups"], F.array(F.struct(mark.alias("mark"), acc["open"].alias("text")))))
+            .otherwise(acc["groups"])
+            .alias("groups"),
         )
 
-    start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("open"))
-    return F.aggregate(pieces, start, add)["done"]
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("low"), F.lit("").alias("open"), F.lit("").alias("outline"), none.alias("groups")
+    )
+    return F.aggregate(F.regexp_extract_all(code, F.lit(r"[()]|[^()]+"), F.lit(0)), start, add)
+
+
+def _scan(df: DataFrame, sql: Column, dialect: Column) -> tuple[DataFrame, Text]:
+    """``df`` with the columns of a :class:`Text`, each made once per row."""
+    literal = F.coalesce(F.lower(dialect).isin(_QUOTE_IS_LITERAL), F.lit(False))
+    df = df.withColumn("_tokens", _tokens(sql, dialect)).withColumn("_code", _code(F.col("_tokens"), literal))
+    df = df.withColumn("_folded", _folded(F.col("_code")))
+    df = df.withColumn("_outside", _outside(F.col("_tokens"), F.col("_code"), F.col("_folded")))
+    return df, Text(F.col("_tokens"), F.col("_code"), F.col("_folded.outline"), F.col("_folded.groups"), literal)
+
+
+def is_unsupported(sql: Column, dialect: Column | None = None) -> Column:
+    """True for text outside the supported subset."""
+    dialect = F.lit(None).cast("string") if dialect is None else dialect
+    tokens = _tokens(sql, dialect)
+    code = _code(tokens, F.coalesce(F.lower(dialect).isin(_QUOTE_IS_LITERAL), F.lit(False)))
+    return _outside(tokens, code, _folded(code))
+
+
+def _outside(tokens: Column, code: Column, folded: Column) -> Column:
+    outline = folded["outline"]
+    torn = F.exists(tokens, lambda t: t.isin("'", '"', "`") | t.rlike("[\x01\x02]|_\\$q"))
+    torn = torn | (folded["depth"] != 0) | (folded["low"] < 0)
+    nested = code.rlike(r"(?i)^.+\b(?:select|union|intersect|except|minus|with|lateral|pivot|unpivot|prewhere|settings)\b")
+    # Signs and forms whose parts are not read: arrays, lambdas, parameters, named windows, places of a select list.
+    foreign = code.rlike(r"(?i)[\[\]{}@?\\]|->|=>|:=|(?<!:):(?!:)|\bover\s+(?!\()|^select (?:top|distinct on|as)\b")
+    items = _tables(outline)
+    strange = F.exists(items, lambda x: ~x.rlike(_ITEM))
+    one_block = outline.rlike(r"(?i)^select\s.+\sfrom\s.+$")
+    return torn | ~one_block | nested | foreign | strange
+
+
+def _projection_text(outline: Column) -> Column:
+    return F.regexp_extract(outline, r"(?i)^select (?:distinct |all )?(.*?) from ", 1)
+
+
+def _from_text(outline: Column) -> Column:
+    rest = F.regexp_extract(outline, r"(?i)^select .*? from (.*)$", 1)
+    return F.trim(F.regexp_replace(rest, _TAIL, ""))
+
+
+def _tables(outline: Column) -> Column:
+    """The items of FROM: each a table with its alias and condition."""
+    return F.transform(F.split(_from_text(outline), _JOIN + r"|\s*,\s*"), lambda x: F.trim(x))
 
 
-def _last_two(qualified: Column) -> tuple[Column, Column]:
-    parts = F.split(qualified, r"\.")
-    return F.element_at(parts, -2), F.element_at(parts, -1)
+def _words(qualified: Column, text: Text) -> Column:
+    """The parts of a dotted name, unquoted."""
+    return F.transform(F.split(qualified, r"\s?\.\s?"), lambda w: text.name(w))
 
 
-def table_aliases(flat: Column, inputs: Column) -> Column:
+def table_aliases(text: Text, inputs: Column) -> Column:
     """``array<struct<key, tbl>>``: each alias and bare table name of FROM/JOIN with its dataset.
 
     A table in the text is the first input whose name equals it or ends with it after a dot;
     otherwise the text itself.
     """
-    tables = _from_text(flat)
-    for _ in range(4):  # commas inside call arguments do not separate tables
-        tables = F.regexp_replace(tables, r"\([^()]*\)", "")
-    items = F.split(tables, r"(?i)\s*(?:\s(?:natural|left|right|full|inner|outer|cross)\b\s*)*\sjoin\s|\s*,\s*")
-    shape = rf"(?i)^\s*((?:{_WORD}\.)*{_WORD})(?:\s+(?:as\s+)?(?!on\b|using\b)({_WORD}))?"
 
     def entry(item: Column) -> Column:
-        name = F.regexp_extract(item, shape, 1)
-        alias = F.nullif(F.regexp_extract(item, shape, 2), F.lit(""))
+        name = F.array_join(_words(F.regexp_extract(item, _ITEM, 1), text), ".")
+        alias = F.nullif(F.regexp_extract(item, _ITEM, 2), F.lit(""))
         short = F.element_at(F.split(name, r"\."), -1)
         matched = F.get(F.filter(inputs, lambda n: (n == name) | F.endswith(n, F.concat(F.lit("."), name))), F.lit(0))
         tbl = F.coalesce(matched, name)
         return F.array(
-            F.struct(F.coalesce(alias, short).alias("key"), tbl.alias("tbl")),
+            F.struct(F.coalesce(text.name(alias), short).alias("key"), tbl.alias("tbl")),
             F.struct(short.alias("key"), tbl.alias("tbl")),
         )
 
-    return F.flatten(F.transform(items, entry))
+    return F.flatten(F.transform(_tables(text.outline), entry))
 
 
 def _resolve(aliases: Column, key: Column) -> Column:
@@ -128,22 +238,36 @@ def _resolve(aliases: Column, key: Column) -> Column:
     return F.get(F.reverse(F.filter(aliases, lambda a: a["key"] == key)), F.lit(0))["tbl"]
 
 
-def _references(text: Column, aliases: Column, only_input: Column | None) -> Column:
+def _plain(code: Column) -> Column:
+    """An expression without the words of its syntax that look like columns."""
+    for pattern, by in (
+        (r"(?i)\bextract\s*\(\s*\w+\s+from\b", "extract("),
+        (r"(?i)\b(?:date|time|timestamp|datetime|interval)\s*'[^']*'(?:\s+(?:year|quarter|month|week|day|hour|minute|second)s?\b)?", "''"),
+        (r"(?i)\binterval\s+\d+\s+\w+", "''"),
+        (r"(?i)\bat time zone\b", " "),
+        (rf"::\s*{_WORD}", ""),
+        (rf"(?i)\sas\s+{_WORD}", ""),
+    ):
+        code = F.regexp_replace(code, pattern, by)
+    return code
+
+
+def _references(item: Column, text: Text, aliases: Column, only_input: Column | None) -> Column:
     """Distinct ``struct<tbl, attr>`` of the columns in an expression, in text order."""
-    code = _without_literals(text)
+    code = text.unfolded(item)
 
     def qualified(ref: Column) -> Column:
-        owner, attr = _last_two(ref)
-        tbl = _resolve(aliases, owner)
+        words = _words(ref, text)
+        tbl = _resolve(aliases, F.element_at(words, -2))
         if only_input is not None:
             tbl = F.coalesce(tbl, only_input)
-        return F.struct(tbl.alias("tbl"), attr.alias("attr"))
+        return F.struct(tbl.alias("tbl"), F.element_at(words, -1).alias("attr"))
 
     refs = F.transform(F.regexp_extract_all(code, F.lit(f"({_QUALIFIED})")), qualified)
     if only_input is not None:
-        plain = F.regexp_replace(code, rf"(?i)\sas\s+{_WORD}", "")
-        names = F.filter(F.regexp_extract_all(plain, F.lit(_BARE)), lambda n: ~F.lower(n).isin(_NOT_COLUMNS))
-        refs = F.concat(refs, F.transform(names, lambda n: F.struct(only_input.alias("tbl"), n.alias("attr"))))
+        names = F.filter(F.regexp_extract_all(_plain(code), F.lit(_BARE)), lambda n: ~F.lower(n).isin(_NOT_COLUMNS))
+        bare = F.transform(names, lambda n: F.struct(only_input.alias("tbl"), text.name(n).alias("attr")))
+        refs = F.concat(refs, bare)
     return F.filter(refs, lambda r: r["tbl"].isNotNull())
 
 
@@ -164,38 +288,46 @@ def _spec(output_table, output_attribute, ref, lineage_type, subtype, scope, exp
     )
 
 
-def projection_specs(flat: Column, aliases: Column, inputs: Column, output_table: Column) -> Column:
+def projection_specs(text: Text, aliases: Column, inputs: Column, output_table: Column) -> Column:
     """One array of specification rows per projection that reads at least one known column."""
     only_input = F.when(F.size(inputs) == 1, inputs[0])
-    bare = rf"^(?:{_WORD}\.)*({_WORD}|\*)$"
-    aliased = rf"(?i)^(.+?)(?:\s+as\s+|(?<=[\w)'])\s+)({_WORD})$"
+    bare = rf"^(?:{_WORD}\s?\.\s?)*({_WORD}|\*)$"
+    aliased = rf"(?i)^(.+?)(?:\s+as\s+({_WORD}|'\x02\d+\x02')|(?<=[\w$)'])\s+({_WORD}))$"
+    cast = rf"(?i)^(?:(?:try_|safe_)?cast\s*\(\s*(?:{_WORD}\s?\.\s?)*({_WORD})\s+as\s.*\)|(?:{_WORD}\s?\.\s?)*({_WORD})\s*::.+)$"
+
+    def either(item: Column, pattern: str, first: int) -> Column:
+        return F.concat(F.regexp_extract(item, pattern, first), F.regexp_extract(item, pattern, first + 1))
 
     def per_projection(item: Column) -> Column:
         is_bare = item.rlike(bare) & (item != "*")
-        has_alias = item.rlike(aliased) & ~F.lower(F.regexp_extract(item, aliased, 2)).isin(_NOT_COLUMNS)
-        name = F.when(is_bare, F.regexp_extract(item, bare, 1)).when(has_alias, F.regexp_extract(item, aliased, 2))
+        alias = either(item, aliased, 2)
+        has_alias = item.rlike(aliased) & ~F.lower(alias).isin(_NOT_COLUMNS)
+        plain = F.nullif(either(text.unfolded(item), cast, 1), F.lit(""))  # a cast column keeps its name
+        name = F.when(is_bare, F.regexp_extract(item, bare, 1)).when(has_alias, alias).otherwise(plain)
         body = F.when(has_alias & ~is_bare, F.regexp_extract(item, aliased, 1)).otherwise(item)
         subtype = (
-            F.when(_without_literals(item).rlike(rf"(?i)\b(?:{_AGGREGATES})\s*\("), F.lit("AGGREGATION"))
+            F.when(text.unfolded(item).rlike(rf"(?i)(?<![\w$.])(?:{_AGGREGATES}){_ENDINGS}\s*\("), F.lit("AGGREGATION"))
             .when(is_bare, F.lit("IDENTITY"))
             .otherwise(F.lit("DERIVED"))
         )
-        refs = F.array_distinct(_references(body, aliases, only_input))
-        rows = F.transform(refs, lambda r: _spec(output_table, name, r, "SQL", subtype, "FIELD", item))
+        refs = F.array_distinct(_references(body, text, aliases, only_input))
+        written = text.original(item)
+        rows = F.transform(refs, lambda r: _spec(output_table, text.name(name), r, "SQL", subtype, "FIELD", written))
         return F.when(name.isNotNull(), rows).otherwise(F.array().cast(f"array<{SPEC}>"))
 
-    return F.filter(F.transform(_split_commas(_projection_text(flat)), per_projection), lambda rows: F.size(rows) > 0)
+    items = F.transform(F.split(_projection_text(text.outline), ","), lambda x: F.trim(x))
+    return F.filter(F.transform(items, per_projection), lambda rows: F.size(rows) > 0)
 
 
-def join_specs(flat: Column, aliases: Column, output_table: Column) -> Column:
+def join_specs(text: Text, aliases: Column, output_table: Column) -> Column:
     """One single-row array per column inside each JOIN, aimed at the whole output dataset."""
-    joins = F.split(_from_text(flat), r"(?i)\sjoin\s")
+    joins = F.split(_from_text(text.outline), r"(?i)\sjoin\s")
     kind_word = r"(?i)(?:\s(?:natural|left|right|full|inner|outer|cross))+$"
 
     def per_join(item: Column) -> Column:
-        text = F.regexp_replace(item, kind_word, "")
-        refs = _references(F.regexp_extract(text, r"(?i)\son\s(.*)$", 1), aliases, None)
-        expression = F.concat(F.lit("JOIN "), text)
+        whole = F.regexp_replace(item, kind_word, "")
+        refs = _references(F.regexp_extract(whole, r"(?i)\son\b\s*(.*)$", 1), text, aliases, None)
+        expression = F.concat(F.lit("JOIN "), text.original(whole))
         return F.transform(
             refs,
             lambda r: F.array(
@@ -206,22 +338,25 @@ def join_specs(flat: Column, aliases: Column, output_table: Column) -> Column:
     return F.flatten(F.transform(F.slice(joins, 2, F.size(joins)), per_join))
 
 
-def with_sql_specs(df: DataFrame, name: str, sql: Column, inputs: Column, output_table: Column) -> DataFrame:
+def with_sql_specs(
+    df: DataFrame, name: str, sql: Column, dialect: Column, inputs: Column, output_table: Column
+) -> DataFrame:
     """Add column ``name``: the specification rows of ``sql``, or null where ``sql`` is null.
 
-    The flattened text and the alias table are columns of their own, so each is computed
+    The scanned text and the alias table are columns of their own, so each is computed
     once per row and not once per reference.
     """
-    flat, aliases = F.col("_flat"), F.col("_aliases")
-    groups = F.concat(projection_specs(flat, aliases, inputs, output_table), join_specs(flat, aliases, output_table))
+    scanned, text = _scan(df.withColumn("_sql", sql), F.col("_sql"), dialect)
+    aliases = F.col("_aliases")
+    groups = F.concat(projection_specs(text, aliases, inputs, output_table), join_specs(text, aliases, output_table))
     numbered = F.flatten(
         F.transform(F.col("_groups"), lambda rows, i: F.transform(rows, lambda r: r.withField("spec_no", i)))
     )
     none = F.array().cast(f"array<{SPEC}>")
+    readable = F.col("_sql").isNotNull() & ~F.col("_outside")
     return (
-        df.withColumn("_flat", _flat(sql))
-        .withColumn("_aliases", table_aliases(flat, inputs))
-        .withColumn("_groups", F.when(flat.isNotNull() & ~_outside(flat), groups))
-        .withColumn(name, F.when(flat.isNotNull(), F.coalesce(numbered, none)))
-        .drop("_flat", "_aliases", "_groups")
+        scanned.withColumn("_aliases", F.when(readable, table_aliases(text, inputs)))
+        .withColumn("_groups", F.when(readable, groups))
+        .withColumn(name, F.when(F.col("_sql").isNotNull(), F.coalesce(numbered, none)))
+        .drop("_sql", "_tokens", "_code", "_folded", "_outside", "_aliases", "_groups")
     )

@@ -22,9 +22,9 @@ UNKNOWN_JOB = "unknown_job"
 _NO_SPECS = f"array<{SPEC}>"
 
 
-def _first_struct(*facets: Column) -> Column:
-    """The first facet that says anything."""
-    return F.coalesce(*[F.when(F.coalesce(f["query"], f["sql"], f["dialect"]).isNotNull(), f) for f in facets])
+def _first_facet(*facets: Column) -> Column:
+    """The first facet that is there with any content, whether or not it holds text."""
+    return F.coalesce(*[F.when(F.size(f) > 0, f) for f in facets])
 
 
 def _datasets(items: Column) -> Column:
@@ -107,7 +107,7 @@ def _facet_specs(outputs: Column, canonical: bool) -> Column:
 
 
 def _sql_candidates(facets: Column) -> list[Column]:
-    sql = _first_struct(facets["sql"], facets["sqlQuery"])
+    sql = _first_facet(facets["sql"], facets["sqlQuery"])
     code = facets["sourceCode"]
     query = F.coalesce(non_empty(sql["query"]), non_empty(sql["sql"]))
     text = non_empty(code["sourceCode"])
@@ -133,7 +133,7 @@ def parse_events(events: DataFrame, *, sql_fallback: bool = True, canonicalize:
     job = j["job"]
     job_sql, event_sql = F.col("_job_sql"), F.col("_event_sql")
     # SQL facets are picked in columns of their own, so the choice is made once per event.
-    opened = opened.withColumn("_job_sql", _first_struct(job["facets"]["sql"], job["facets"]["sqlQuery"]))
+    opened = opened.withColumn("_job_sql", _first_facet(job["facets"]["sql"], job["facets"]["sqlQuery"]))
     opened = opened.withColumn(
         "_event_sql", F.coalesce(*_sql_candidates(j["facets"]), *_sql_candidates(job["facets"]))
     )
@@ -179,7 +179,12 @@ def parse_events(events: DataFrame, *, sql_fallback: bool = True, canonicalize:
         readable = F.col("updates_model") & is_readable_dialect(F.col("event_dialect"))
         wanted = F.when(readable & (F.size(specs) == 0), F.col("event_sql"))
         flagged = with_sql_specs(
-            flagged, "_sql_specs", wanted, F.transform("inputs", lambda d: d["tbl"]), F.get("outputs", F.lit(0))["tbl"]
+            flagged,
+            "_sql_specs",
+            wanted,
+            F.col("event_dialect"),
+            F.transform("inputs", lambda d: d["tbl"]),
+            F.get("outputs", F.lit(0))["tbl"],
         )
         specs = F.coalesce("_sql_specs", specs)
     return (
@@ -221,7 +226,7 @@ def event_sql(parsed: DataFrame) -> DataFrame:
             F.col("event_sql").alias("sql"),
             F.col("event_dialect").alias("dialect"),
             is_readable_dialect(F.col("event_dialect")).alias("supported"),
-            is_unsupported(F.col("event_sql")).alias("outside_subset"),
+            is_unsupported(F.col("event_sql"), F.col("event_dialect")).alias("outside_subset"),
         )
     )
 

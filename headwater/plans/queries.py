@@ -152,7 +152,7 @@ def quarantined_events(w):
         .when(seq % 103 == 0, F.replace(raw, F.lit('"runId"'), F.lit('"id"')))
         .when(seq % 107 == 0, F.replace(raw, F.lit('"eventTime":"'), F.lit('"eventTime":"at ')))
         .when(seq % 109 == 0, F.replace(raw, F.lit('"name":"c1","type"'), F.lit('"name":"c0","type"')))
-        .when(seq % 113 == 0, F.substring(raw, 2, 1_000_000))
+        .when(seq % 113 == 0, F.substring(raw, F.lit(2), F.length(raw)))
         .otherwise(raw),
     )
     return parse.quarantined(parse.parse_events(broken)).select("seq", "reason", F.md5("raw").alias("raw_md5"))

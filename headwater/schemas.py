@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-_SQL = "struct<query: string, sql: string, dialect: string>"
+# A map, as any content at all makes a facet count.
+_SQL = "map<string, string>"
 _FACETS = f"struct<sql: {_SQL}, sqlQuery: {_SQL}, sourceCode: struct<sourceCode: string, language: string>>"
 _SCHEMA_FACET = "struct<fields: array<struct<name: string, type: string>>>"
 # Transformations stay text until each element is parsed alone: one element that is not

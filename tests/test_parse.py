@@ -129,8 +129,51 @@ SQL_CASES = {
     "SELECT a.x FROM (SELECT x FROM one) a": None,
     "WITH c AS (SELECT 1) SELECT c.x FROM c": None,
     "SELECT a.x FROM one a UNION SELECT b.x FROM two b": None,
-    "SELECT extract(year FROM a.d) AS y FROM one a": None,
     "SELECT": None,
+    "SELECT extract(year FROM a.d) AS y, extract(month from d2) m FROM one a": (
+        1, {("y", "DERIVED", ("w.s.one.d",)), ("m", "DERIVED", ("w.s.one.d2",))}, [],
+    ),
+    "SELECT a.x AS x FROM one a JOIN two b ON a.k = 'p, q b' AND a.m = b.m": (
+        2, {("x", "DERIVED", ("w.s.one.x",))}, ["w.s.one.k", "w.s.one.m", "w.s.two.m"],
+    ),
+    "SELECT a.x AS x FROM one a JOIN two b ON a.k = 'x join z b' AND a.m = b.m": (
+        2, {("x", "DERIVED", ("w.s.one.x",))}, ["w.s.one.k", "w.s.one.m", "w.s.two.m"],
+    ),
+    "SELECT a.x AS x FROM one a JOIN two b ON a.k = 'one where two' AND a.m = b.m": (
+        2, {("x", "DERIVED", ("w.s.one.x",))}, ["w.s.one.k", "w.s.one.m", "w.s.two.m"],
+    ),
+    "SELECT a.x AS x FROM one a JOIN two y ON f(g(h(i(j(k(a.x)))), y.y)) = 1": (
+        2, {("x", "DERIVED", ("w.s.one.x",))}, ["w.s.one.x", "w.s.two.y"],
+    ),
+    'SELECT a."c0", a."Odd Name" AS "Out, Name", "a"."c1" c FROM "one" "a"': (
+        1, {("c0", "IDENTITY", ("w.s.one.c0",)), ("Out, Name", "DERIVED", ("w.s.one.Odd Name",)), ("c", "DERIVED", ("w.s.one.c1",))}, [],
+    ),
+    "SELECT a.`c0` AS x FROM w.s.`one` a": (1, {("x", "DERIVED", ("w.s.one.c0",))}, []),
+    "SELECT sumIf(a.x, a.y > 0) AS s, count_if(a.z) AS c, max_by(a.x, a.t) AS m, quantileExact(a.q) AS q FROM one a": (
+        1, {("s", "AGGREGATION", ("w.s.one.x", "w.s.one.y")), ("c", "AGGREGATION", ("w.s.one.z",)),
+            ("m", "AGGREGATION", ("w.s.one.x", "w.s.one.t")), ("q", "AGGREGATION", ("w.s.one.q",))}, [],
+    ),
+    "SELECT a.x AS x, 'not -- a comment' AS s, concat(a.y, '/* nor this */') AS y FROM one a /* , */ -- two b": (
+        1, {("x", "DERIVED", ("w.s.one.x",)), ("y", "DERIVED", ("w.s.one.y",))}, [],
+    ),
+    "SELECT sum(a.x) OVER (PARTITION BY a.p ORDER BY a.o ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS r, row_number() over (order by o) n FROM one a": (
+        1, {("r", "AGGREGATION", ("w.s.one.x", "w.s.one.p", "w.s.one.o")), ("n", "DERIVED", ("w.s.one.o",))}, [],
+    ),
+    "SELECT trim(both ' ' from a.x) AS x, cast(a.y AS decimal(10, 2)), z::int, 'it''s, a' || w AS w FROM one a": (
+        1, {("x", "DERIVED", ("w.s.one.x",)), ("y", "DERIVED", ("w.s.one.y",)), ("z", "DERIVED", ("w.s.one.z",)), ("w", "DERIVED", ("w.s.one.w",))}, [],
+    ),
+    "SELECT date '2024-01-01' + interval '1' day - d AS d FROM one": (1, {("d", "DERIVED", ("w.s.one.d",))}, []),
+    "SELECT a.x AS x FROM one a CROSS JOIN two LEFT JOIN three t ON(t.i=a.i) WHERE a.j IN (1, 2) ORDER BY 1": (
+        2, {("x", "DERIVED", ("w.s.one.x",))}, ["three.i", "w.s.one.i"],
+    ),
+    "SELECT a.x FROM one a, (SELECT y FROM two) b": None,
+    "SELECT a.x FROM one a JOIN generate_series(1, 3) g ON true": None,
+    "SELECT a.x[1] AS x FROM one a": None,
+    "SELECT arrayMap(x -> x + 1, a.v) AS v FROM one a": None,
+    "SELECT a.x FROM one a WHERE (a.y = 1": None,
+    "SELECT a.x AS y FROM one a WHERE a.z = 'open": None,
+    "SELECT sum(a.x) OVER w AS s FROM one a WINDOW w AS (ORDER BY a.y)": None,
+    "SELECT a.x FROM one FINAL a": None,
 }
 
 
@@ -161,6 +204,51 @@ def test_sql_text_lineage(events):
         assert joins == want[2], text
 
 
+def sql_event(text, dialect, inputs=("w.s.one", "w.s.two")):
+    job = {"name": "j", "facets": {"sql": {"query": text, "dialect": dialect}}}
+    return event(job=job, inputs=[{"name": n} for n in inputs])
+
+
+def test_dialects_quote_in_their_own_way(events):
+    cases = {
+        ("postgres", """SELECT a."q" AS x, 'a\\' AS s, a.y AS y FROM one a"""): {("x", "q"), ("y", "y")},
+        ("postgresql", """SELECT "a"."q" AS x FROM "w"."s"."one" AS "a" """): {("x", "q")},
+        ("sqlite", """SELECT a."q" AS x, a.`r` y FROM one a"""): {("x", "q"), ("y", "r")},
+        ("snowflake", """SELECT a."Q" AS x, 'it\\'s, a.n' AS s FROM one a"""): {("x", "Q")},
+        ("mysql", """SELECT a.`q` AS x, "a.n, b" AS s, concat(a.r, 'b\\', a.n') AS 'y' FROM `one` a # , two b"""): {("x", "q"), ("y", "r")},
+        ("bigquery", """SELECT a.q AS x, "from a.n" AS s FROM `w.s.one` a"""): {("x", "q")},
+        ("hive", """SELECT a.`q` x, "a.n" s FROM one a"""): {("x", "q")},
+        ("clickhouse", """SELECT a."q" AS x, sumIf(a.r, a.s = 'b\\', a.n') AS y FROM `one` AS a"""): {("x", "q"), ("y", "r"), ("y", "s")},
+    }
+    parsed = parsed_events(events([sql_event(text, dialect) for dialect, text in cases]))
+    assert not any(r.outside_subset for r in parse.event_sql(parsed).collect())
+    rows = parse.lineage_rows(parsed).collect()
+    for seq, ((dialect, _), want) in enumerate(cases.items()):
+        mine = [r for r in rows if r.seq == seq]
+        assert {(r.output_attribute, r.input_attribute) for r in mine} == want, dialect
+        assert {r.input_table for r in mine} == {"w.s.one"}
+
+
+def test_expressions_are_given_as_written(events):
+    text = """SELECT f(a."x y", 'p (q', g('r''s')) AS "o" FROM one a JOIN two b ON h(a.i, ')') = b.i"""
+    parsed = parsed_events(events([sql_event(text, "postgres")]))
+    assert {r.expression for r in parse.lineage_rows(parsed).collect()} == {
+        """f(a."x y", 'p (q', g('r''s')) AS "o\"""", "JOIN two b ON h(a.i, ')') = b.i",
+    }
+
+
+def test_first_facet_with_any_content_counts(events):
+    text = "SELECT a.x AS x FROM one a"
+    facets = [
+        {"sql": {"_producer": "p"}, "sqlQuery": {"query": text, "dialect": "hive"}},
+        {"sql": {}, "sqlQuery": {"query": text, "dialect": "hive"}},
+        {"sql": {"sql": text, "dialect": "hive"}},
+    ]
+    parsed = parsed_events(events([event(job={"name": "j", "facets": f}) for f in facets]))
+    assert [r.sql for r in parse.job_specs(parsed).orderBy("seq").collect()] == [None, text, text]
+    assert [r.seq for r in parse.event_sql(parsed).orderBy("seq").collect()] == [1, 2]
+
+
 def test_sql_expression_text(events):
     text = "SELECT a.x + b.y AS s FROM one a LEFT OUTER JOIN two b ON a.i = b.i INNER JOIN one c ON c.i = b.i WHERE a.x > 1"
     job = {"name": "j", "facets": {"sql": {"query": text, "dialect": "hive"}}}
