@@ -22,8 +22,13 @@ class AttributeGraph:
     nodes: DataFrame
     routes: DataFrame
 
-    def node_count(self) -> int:
-        return self.nodes.count()
+    def current(self, starts: DataFrame | None = None) -> DataFrame:
+        """Current attributes; those named by ``starts``, by table or by table and attribute, where given."""
+        nodes = self.nodes.filter("is_current")
+        if starts is None:
+            return nodes
+        keys = [c for c in ("tbl", "attr") if c in starts.columns]
+        return nodes.join(starts.select(*keys).distinct(), keys, "left_semi")
 
     def name(self, df: DataFrame, column: str, tbl: str, attr: str) -> DataFrame:
         names = self.nodes.select(F.col("id").alias(column), F.col("tbl").alias(tbl), F.col("attr").alias(attr))
@@ -62,15 +67,15 @@ def attribute_graph(transformations: DataFrame, current_attributes: DataFrame) -
     return AttributeGraph(nodes, materialize(routes, "routes"))
 
 
-def downstream_attributes(graph: AttributeGraph) -> DataFrame:
-    """For every table: the attributes it feeds, each with the table's own attributes at the root.
+def downstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None) -> DataFrame:
+    """For every table, or those of ``starts(tbl)``: the attributes it feeds, each with the table's own at the root.
 
     The walk never enters a current attribute of the table it started from.
     """
     owner = graph.nodes.select(F.col("id").alias("dst"), F.col("tbl").alias("dst_tbl"), "is_current")
     links = materialize(graph.routes.select("src", "dst").distinct().join(owner, "dst"), "links")
     outside = ~(F.col("is_current") & (F.col("dst_tbl") == F.col("root_tbl")))
-    roots = graph.nodes.filter("is_current").select(F.col("id").alias("root"), F.col("tbl").alias("root_tbl"))
+    roots = graph.current(starts).select(F.col("id").alias("root"), F.col("tbl").alias("root_tbl"))
     seed = (
         roots.join(links, F.col("root") == F.col("src"))
         .filter(outside)
@@ -86,15 +91,15 @@ def downstream_attributes(graph: AttributeGraph) -> DataFrame:
             .join(seen.select("root", "node"), ["root", "node"], "left_anti")
         )
 
-    walked = grow(seed, step, "downstream", graph.node_count)
+    walked = grow(seed, step, "downstream")
     named = graph.name(graph.name(walked, "node", "tbl", "attr"), "root", "source_table", "root_attr")
     return named.groupBy("source_table", "tbl", "attr").agg(
         F.array_sort(F.collect_set("root_attr")).alias("parent_attributes")
     )
 
 
-def upstream_attributes(graph: AttributeGraph) -> DataFrame:
-    """For every current attribute: where it came from, nearest first, with the step's text.
+def upstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None) -> DataFrame:
+    """For every current attribute, or those of ``starts(tbl, attr)``: where it came from, nearest first, with the step's text.
 
     Each ancestor is credited to the step a breadth-first walk finds first; the walk's order is
     carried as an array key, one element per level. On a cycle an attribute is its own ancestor.
@@ -104,8 +109,8 @@ def upstream_attributes(graph: AttributeGraph) -> DataFrame:
         graph.routes.groupBy("dst", "src").agg(F.min(F.struct(element.alias("k"), F.col("note").alias("note"))).alias("s")),
         "steps-up",
     )
-    starts = graph.nodes.filter("is_current").select(F.col("id").alias("dst"))
-    seed = steps.join(starts, "dst", "left_semi").select(
+    asked = graph.current(starts).select(F.col("id").alias("dst"))
+    seed = steps.join(asked, "dst", "left_semi").select(
         F.col("dst").alias("start"),
         F.col("src").alias("node"),
         F.lit(1).alias("depth"),
@@ -125,7 +130,7 @@ def upstream_attributes(graph: AttributeGraph) -> DataFrame:
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
         )
 
-    walked = grow(seed, step, "upstream", graph.node_count).drop("key")
+    walked = grow(seed, step, "upstream").drop("key")
     return graph.name(graph.name(walked, "start", "tbl", "attr"), "node", "source_table", "source_attr")
 
 
@@ -155,7 +160,7 @@ def impact_closure(graph: AttributeGraph, starts: DataFrame) -> DataFrame:
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
         )
 
-    return grow(seed, step, "impact", graph.node_count)
+    return grow(seed, step, "impact")
 
 
 def impact_paths(graph: AttributeGraph, changes: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from headwater.operators.iterate import grow
 from headwater.storage import materialize
 
+#: The least relative gain of a product of weights that counts; smaller ones are rounding.
+GAIN = 1e-9
+
 
 def table_edges(transformations: DataFrame, current_attributes: DataFrame) -> DataFrame:
     """Weighted edges between tables.
@@ -40,9 +43,6 @@ class TableGraph:
     nodes: DataFrame  # id, tbl, is_current
     edges: DataFrame  # src, dst, weight
 
-    def node_count(self) -> int:
-        return self.nodes.count()
-
     def name(self, df: DataFrame, **columns: str) -> DataFrame:
         """Replace number columns by table names: ``name(df, source="s")`` turns ``s`` into ``source``."""
         for new, old in columns.items():
@@ -50,8 +50,10 @@ class TableGraph:
             df = df.join(names, old).drop(old)
         return df
 
-    def current(self) -> DataFrame:
-        return self.nodes.filter("is_current")
+    def current(self, starts: DataFrame | None = None) -> DataFrame:
+        """Current tables; of ``starts(tbl)`` only, where given."""
+        nodes = self.nodes.filter("is_current")
+        return nodes if starts is None else nodes.join(starts.select("tbl").distinct(), "tbl", "left_semi")
 
 
 def table_graph(edges: DataFrame, current_tables: DataFrame) -> TableGraph:
@@ -73,14 +75,14 @@ def table_graph(edges: DataFrame, current_tables: DataFrame) -> TableGraph:
     return TableGraph(nodes, materialize(numbered, "edges"))
 
 
-def reachable(graph: TableGraph) -> DataFrame:
+def reachable(graph: TableGraph, starts: DataFrame | None = None) -> DataFrame:
     """(source, node, depth, path) for every table reachable from a current table, itself excluded.
 
-    ``path`` is one shortest path, ends included.
+    ``path`` is one shortest path, ends included. With ``starts(tbl)`` only those tables are walked from.
     """
     links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
-    starts = graph.current().select(F.col("id").alias("src"))
-    seed = links.join(starts, "src", "left_semi").select(
+    asked = graph.current(starts).select(F.col("id").alias("src"))
+    seed = links.join(asked, "src", "left_semi").select(
         F.col("src").alias("source"),
         F.col("dst").alias("node"),
         F.lit(1).alias("depth"),
@@ -97,7 +99,7 @@ def reachable(graph: TableGraph) -> DataFrame:
             .join(seen.select("source", "node"), ["source", "node"], "left_anti")
         )
 
-    return grow(seed, step, "reach", graph.node_count)
+    return grow(seed, step, "reach")
 
 
 def reachable_pairs(pairs: DataFrame) -> DataFrame:
@@ -108,39 +110,100 @@ def distances(graph: TableGraph, pairs: DataFrame) -> DataFrame:
     return graph.name(pairs.select("source", "node", "depth"), source_table="source", target_table="node")
 
 
-def downstream_trace(graph: TableGraph, pairs: DataFrame) -> DataFrame:
-    """(start, edge_source, edge_target): the edges on or behind each current table."""
-    from_start = graph.current().select(F.col("id").alias("source"), F.col("id").alias("node"))
+def downstream_trace(graph: TableGraph, pairs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(start, edge_source, edge_target): the edges on or behind each current table that ``pairs`` is walked from."""
+    from_start = graph.current(starts).select(F.col("id").alias("source"), F.col("id").alias("node"))
     at = pairs.select("source", "node").unionByName(from_start)
     hops = at.join(graph.edges.select("src", "dst"), F.col("node") == F.col("src")).drop("node")
     return graph.name(hops, start="source", edge_source="src", edge_target="dst")
 
 
-def influence(graph: TableGraph) -> DataFrame:
-    """(source, influence): sum over reachable tables of the best product of weights on a path.
+def _best_products(seed: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``(source, node, w)``: the best product of weights on any walk that continues ``seed``'s rows.
 
-    A table on a cycle counts itself. Only strict improvements travel on.
+    Only gains above ``GAIN`` travel on, so a cycle whose product is 1 but for rounding ends.
     """
-    starts = graph.current().select(F.col("id").alias("src"))
-    seed = (
-        graph.edges.join(starts, "src", "left_semi")
-        .filter(F.col("weight") > 0)
-        .select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("weight").alias("w"))
-    )
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
         best = seen.groupBy("source", "node").agg(F.max("w").alias("best"))
         return (
-            newest.join(graph.edges, F.col("node") == F.col("src"))
+            newest.join(edges, F.col("node") == F.col("src"))
             .groupBy("source", F.col("dst").alias("node"))
             .agg(F.max(F.col("w") * F.col("weight")).alias("w"))
             .join(best, ["source", "node"], "left")
-            .filter(F.col("w") > F.coalesce("best", F.lit(0.0)))
+            .filter(F.col("w") > F.coalesce("best", F.lit(0.0)) * (1 + GAIN))
+        )
+
+    return grow(seed, step, name).groupBy("source", "node").agg(F.max("w").alias("w"))
+
+
+def diverging(edges: DataFrame) -> DataFrame:
+    """``(id)``: tables from which a walk leads into a cycle whose weights multiply to more than 1.
+
+    Such a cycle has an edge above 1. From the heads of those edges the best products over the other edges, which
+    cannot diverge, are walked; between the edges above 1 themselves they make a small graph of gains, in
+    logarithms so that nothing overflows. What still gains after as many rounds as that graph has nodes, gains for
+    ever; then everything upstream does.
+    """
+    edges = edges.filter(F.col("weight") > 0)
+    hot = edges.filter(F.col("weight") > 1).select(
+        F.monotonically_increasing_id().alias("hot"), "src", "dst", F.log("weight").alias("log_weight")
+    )
+    hot = materialize(hot, "hot-edges")
+    rounds = hot.count()
+    if not rounds:
+        return hot.select(F.col("src").alias("id"))
+    heads = hot.select(F.col("dst").alias("source"), F.col("dst").alias("node"), F.lit(1.0).alias("w")).distinct()
+    cold = _best_products(heads, edges.filter(F.col("weight") <= 1), "cold")
+    nexts = hot.select(F.col("hot").alias("next"), F.col("src").alias("node"))
+    arcs = (
+        hot.join(cold.withColumnRenamed("source", "dst"), "dst")
+        .filter(F.col("w") > 0)
+        .join(nexts, "node")
+        .select("hot", "next", (F.col("log_weight") + F.log("w")).alias("gain"))
+    )
+    arcs = materialize(arcs, "hot-arcs")
+    best = materialize(hot.select("hot", F.lit(0.0).alias("best")), "hot-gains")
+    for _ in range(rounds):
+        behind = best.select(F.col("hot").alias("next"), F.col("best").alias("then"))
+        reached = arcs.join(behind, "next").groupBy("hot").agg(F.max(F.col("gain") + F.col("then")).alias("now"))
+        gained = F.coalesce(F.col("now") > F.col("best") + GAIN, F.lit(False))
+        best = materialize(
+            best.join(reached, "hot", "left").select(
+                "hot", F.when(gained, F.col("now")).otherwise(F.col("best")).alias("best"), gained.alias("gained")
+            ),
+            "hot-gains",
         )
+        if best.filter("gained").isEmpty():
+            return hot.filter("false").select(F.col("src").alias("id"))
+    seed = hot.join(best.filter("gained"), "hot").select(F.col("src").alias("id")).distinct()
 
-    walked = grow(seed, step, "influence", graph.node_count)
-    best = walked.groupBy("source", "node").agg(F.max("w").alias("w"))
-    sums = best.groupBy("source").agg(F.sum("w").alias("influence"))
+    def upstream(newest: DataFrame, seen: DataFrame) -> DataFrame:
+        return (
+            newest.join(edges, F.col("id") == F.col("dst"))
+            .select(F.col("src").alias("id"))
+            .distinct()
+            .join(seen, "id", "left_anti")
+        )
+
+    return grow(seed, upstream, "diverging")
+
+
+def influence(graph: TableGraph) -> DataFrame:
+    """(source, influence): sum over reachable tables of the best product of weights on a path.
+
+    A table on a cycle counts itself. A table that leads into a cycle whose weights multiply to more than 1 has
+    infinite influence; gains of less than ``GAIN`` are taken for rounding.
+    """
+    endless = diverging(graph.edges)
+    starts = graph.current().select(F.col("id").alias("src")).join(endless.withColumnRenamed("id", "src"), "src", "left_anti")
+    seed = (
+        graph.edges.join(starts, "src", "left_semi")
+        .filter(F.col("weight") > 0)
+        .select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("weight").alias("w"))
+    )
+    sums = _best_products(seed, graph.edges, "influence").groupBy("source").agg(F.sum("w").alias("influence"))
+    sums = sums.unionByName(endless.select(F.col("id").alias("source"), F.lit(float("inf")).alias("influence")))
     return (
         graph.current()
         .select(F.col("id").alias("source"))
@@ -226,7 +289,7 @@ def layers(graph: TableGraph) -> DataFrame:
             .join(seen, "id", "left_anti")
         )
 
-    inside = grow(roots, spread, "rooted", graph.node_count)
+    inside = grow(roots, spread, "rooted")
     rooted = materialize(links.join(inside.withColumnRenamed("id", "src"), "src", "left_semi"), "rooted-edges")
     needed = rooted.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("needed"))
 
@@ -246,7 +309,7 @@ def layers(graph: TableGraph) -> DataFrame:
         )
 
     seed = roots.select("id", F.lit(0).cast("bigint").alias("got"), F.lit(0).alias("layer"), F.lit(True).alias("placed"))
-    placed = grow(seed, place, "layers", graph.node_count).filter("placed").select("id", "layer")
+    placed = grow(seed, place, "layers").filter("placed").select("id", "layer")
     flagged = inside.withColumn("_rooted", F.lit(True))
     return (
         graph.current()

@@ -14,32 +14,17 @@ from pyspark.sql import DataFrame
 from headwater.storage import new_path, write_counted
 
 
-class NoFixpoint(RuntimeError):
-    """The iteration did not settle within the bound given for it."""
-
-
-def grow(
-    seed: DataFrame,
-    step: Callable[[DataFrame, DataFrame], DataFrame],
-    name: str,
-    bound: Callable[[], int] | None = None,
-) -> DataFrame:
+def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
     """All rows reachable from ``seed``.
 
-    ``step(newest, seen)`` returns the rows to add. ``bound`` gives the number of rounds
-    after which the iteration must have ended; it is asked once, and only by a long loop.
+    ``step(newest, seen)`` returns the rows to add; it must add none after some number of rounds.
     """
     spark, schema = seed.sparkSession, seed.schema
     base = new_path(spark, name)
     paths = [f"{base}/round-0"]
     read = lambda *p: spark.read.schema(schema).parquet(*p)
     fresh = write_counted(seed, paths[0])
-    limit = None
     while fresh:
-        if bound is not None and len(paths) > 32:
-            limit = bound() if limit is None else limit
-            if len(paths) > limit + 1:
-                raise NoFixpoint(f"{name}: still changing after {limit} rounds")
         delta = step(read(paths[-1]), read(*paths)).select(*schema.names)
         path = f"{base}/round-{len(paths)}"
         fresh = write_counted(delta, path)

@@ -47,6 +47,10 @@ class Workbench:
     def pairs(self) -> DataFrame:
         return g.reachable(self.graph)
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        return derived.derived_requests(self.spark, self.sf_dir)
+
     @cached_property
     def attributes(self) -> attr.AttributeGraph:
         return attr.attribute_graph(self.model.current_transformations(), self.model.current_attributes())
@@ -378,6 +382,17 @@ def downstream_trace(w):
     return g.downstream_trace(w.graph, w.pairs)
 
 
+@query
+def distances_from(w):
+    """Distances from the tables users ask about; no other table is walked from."""
+    return g.distances(w.graph, g.reachable(w.graph, w.requests))
+
+
+@query
+def trace_from(w):
+    return g.downstream_trace(w.graph, g.reachable(w.graph, w.requests), w.requests)
+
+
 @query
 def table_layers(w):
     return g.layers(w.graph)
@@ -429,6 +444,17 @@ def upstream_attributes(w):
     return attr.upstream_attributes(w.attributes)
 
 
+@query
+def downstream_from(w):
+    found = attr.downstream_attributes(w.attributes, w.requests.select("tbl"))
+    return found.withColumn("parent_attributes", F.array_join("parent_attributes", ","))
+
+
+@query
+def upstream_from(w):
+    return attr.upstream_attributes(w.attributes, w.requests)
+
+
 @query
 def impact_paths(w):
     paths = attr.impact_paths(w.attributes, reports.table_changes(w.table_diff))

@@ -101,3 +101,12 @@ def derived_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.when(failed, F.concat(F.lit("failed: "), F.col("props"))).alias("error"),
     )
+
+
+def derived_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's question per supplier: about a table, and an attribute of it."""
+    key = F.col("s_suppkey")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("wh.l"), (F.col("s_nationkey") % 6).cast("string"), F.lit(".t"), key.cast("string")).alias("tbl"),
+        F.concat(F.lit("c"), (key % 3).cast("string")).alias("attr"),
+    )

@@ -11,6 +11,8 @@ _FACET = """seq, output_table, output_attribute, input_table, input_attribute, l
 _TEXT = "seq, output_table, output_attribute, input_table, input_attribute, lineage_subtype, expression"
 _TABLE = "tbl, namespace, schema_name, table_name, version, from_seq, to_seq, valid_from, valid_to, fields"
 
+_ASKED = """SELECT 'wh.l' || s_nationkey % 6 || '.t' || s_suppkey AS tbl, 'c' || s_suppkey % 3 AS attr FROM supplier"""
+
 _REPORT_END = """
   SELECT {key}, CAST(split_part(report, '#', 2) AS BIGINT) - 1 AS old_version,
          CAST(split_part(report, '#', 2) AS BIGINT) AS new_version, affected_table,
@@ -120,6 +122,12 @@ _FINAL = {
     "downstream_trace": """
       SELECT r.source AS start, e.source AS edge_source, e.target AS edge_target
       FROM (SELECT source, node FROM reach UNION SELECT tbl, tbl FROM nodes) r JOIN edges e ON e.source = r.node""",
+    "distances_from": f"""
+      SELECT source AS source_table, node AS target_table, depth FROM reach WHERE source IN (SELECT tbl FROM ({_ASKED}))""",
+    "trace_from": f"""
+      SELECT r.source AS start, e.source AS edge_source, e.target AS edge_target
+      FROM (SELECT source, node FROM reach UNION SELECT tbl, tbl FROM nodes) r JOIN edges e ON e.source = r.node
+      WHERE r.source IN (SELECT tbl FROM ({_ASKED}))""",
     "table_layers": """
       WITH RECURSIVE roots AS (SELECT tbl FROM nodes WHERE tbl NOT IN (SELECT target FROM edges)),
       inside AS (SELECT tbl FROM roots UNION SELECT node FROM reach WHERE source IN (SELECT tbl FROM roots)),
@@ -143,6 +151,12 @@ _FINAL = {
       SELECT source_table, tbl, attr, string_agg(DISTINCT root, ',' ORDER BY root) AS parent_attributes
       FROM down GROUP BY source_table, tbl, attr""",
     "upstream_attributes": "SELECT tbl, attr, source_table, source_attr, depth, pick.note AS note FROM up",
+    "downstream_from": f"""
+      SELECT source_table, tbl, attr, string_agg(DISTINCT root, ',' ORDER BY root) AS parent_attributes
+      FROM down WHERE source_table IN (SELECT tbl FROM ({_ASKED})) GROUP BY source_table, tbl, attr""",
+    "upstream_from": f"""
+      SELECT tbl, attr, source_table, source_attr, depth, pick.note AS note FROM up
+      WHERE (tbl, attr) IN (SELECT (tbl, attr) FROM ({_ASKED}))""",
     "impact_paths": """
       SELECT CAST(split_part(report, '#', 2) AS BIGINT) - 1 AS old_version,
              CAST(split_part(report, '#', 2) AS BIGINT) AS new_version, tbl, attr, affected_table, affected_attr, depth

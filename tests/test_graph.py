@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from headwater.operators import attributes as at
 from headwater.operators import graph as g
-from headwater.operators.iterate import NoFixpoint
 from headwater.plans.critical import highlighted
 
 CASES = 40
@@ -117,11 +116,79 @@ def test_layers(graph, cases):
     assert {r.tbl: (r.layer, r.cyclic) for r in g.layers(graph).collect()} == want
 
 
-def test_growing_cycle_is_an_error(spark):
-    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "a", 1.0)], "source string, target string, weight double")
-    graph = g.table_graph(edges, spark.createDataFrame([("a",), ("b",)], "tbl string"))
-    with pytest.raises(NoFixpoint):
-        g.influence(graph)
+def walked_influence(edges, start):
+    """The reference walk: strictly better products travel on, until they overflow to infinity."""
+    best, queue = {}, [(start, 1.0)]
+    while queue:
+        at, weight = queue.pop(0)
+        for (a, b), w in edges.items():
+            if a == at and weight * w > best.get(b, 0.0):
+                best[b] = weight * w
+                queue.append((b, weight * w))
+    return sum(best.values())
+
+
+def loop(name, n, hot, rest=1.0, tail=True):
+    """A cycle of ``n`` tables with one edge of weight ``hot``, a table leading in and one behind."""
+    names = [f"{name}.t{i}" for i in range(n)]
+    edges = {(names[i], names[(i + 1) % n]): rest for i in range(n)}
+    edges[names[0], names[1 % n]] = hot
+    if tail:
+        edges |= {(f"{name}.in", names[0]): 0.5, (names[-1], f"{name}.out"): 0.5}
+    return edges
+
+
+LOOPS = [
+    loop("grow2", 2, 2.0), loop("huge2", 2, 1e60), loop("even2", 2, 2.0, 0.5), loop("shrink2", 2, 2.0, 0.25),
+    loop("grow40", 40, 2.0), loop("huge40", 40, 1e60), loop("even40", 40, 2.0**39, 0.5), loop("self", 1, 1.5), loop("selfone", 1, 1.0),
+    {**loop("two", 3, 3.0, 0.5), ("two.t1", "two.side"): 4.0, ("two.side", "two.t0"): 0.25},  # one of two cycles grows
+    {("far.a", "far.b"): 5.0, ("far.b", "far.c"): 7.0},  # above 1, but no cycle
+]
+
+
+def influence_of(spark, edges):
+    names = {x for e in edges for x in e}
+    graph = g.table_graph(
+        spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "source string, target string, weight double"),
+        spark.createDataFrame([(n,) for n in names], "tbl string"),
+    )
+    return {r.tbl: r.influence for r in graph.name(g.influence(graph), tbl="source").collect()}
+
+
+def test_influence_of_growing_even_and_shrinking_cycles(spark):
+    edges = {e: w for case in LOOPS for e, w in case.items()}
+    got = influence_of(spark, edges)
+    want = {n: walked_influence(case, n) for case in LOOPS for e in case for n in e}
+    assert got == pytest.approx(want)
+    assert got["grow40.in"] == got["huge2.t0"] == float("inf") and got["grow40.out"] == 0.0 and got["even2.in"] < 10
+
+
+def test_influence_of_three_thousand_tables(spark):
+    cases = [loop(f"c{n}", 3, [2.0, 1e60, 0.5, 1.0][n % 4], 0.75, tail=False) for n in range(1000)]
+    got = influence_of(spark, {e: w for case in cases for e, w in case.items()})
+    few = {n: walked_influence(case, n) for case in cases[:4] for e in case for n in e}
+    assert len(got) == 3000
+    assert all(v == pytest.approx(few[f"c{int(n[1:].split('.')[0]) % 4}.{n.split('.')[1]}"]) for n, v in got.items())
+
+
+def test_a_cycle_of_one_but_for_rounding_ends(spark):
+    edges = {("a", "b"): 3.0, ("b", "a"): 1 / 3 * (1 + 1e-12), ("c", "a"): 1.0}
+    assert influence_of(spark, edges) == pytest.approx({"a": 4.0, "b": 1 / 3 + 1, "c": 4.0})
+
+
+def test_asked_starts_only(spark, graph, pairs, cases):
+    asked = spark.createDataFrame([(n,) for names, _ in cases[::3] for n in names[:1]] * 2 + [("no such table",)], "tbl string")
+    names = {r.tbl for r in asked.collect()}
+    few = g.reachable(graph, asked)
+    key = lambda rows: sorted((r.source_table, r.target_table, r.depth) for r in rows)
+    every = key(g.distances(graph, pairs).collect())
+    assert key(g.distances(graph, few).collect()) == [x for x in every if x[0] in names]
+    whole = sorted(tuple(r) for r in g.downstream_trace(graph, pairs).select("start", "edge_source", "edge_target").collect())
+    traced = g.downstream_trace(graph, few, asked).select("start", "edge_source", "edge_target").collect()
+    assert sorted(map(tuple, traced)) == [x for x in whole if x[0] in names]
+    first = spark.read.parquet(sorted(x for x in few.inputFiles() if "round-0/" in x)[0].rsplit("/", 1)[0])
+    started = {r.tbl for r in graph.name(first.select("source").distinct(), tbl="source").collect()}
+    assert started and started <= names
 
 
 def test_degrees_and_highlight(spark):
