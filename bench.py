@@ -20,6 +20,8 @@ from headwater.storage import materialize, new_path  # noqa: E402
 from headwater.streaming.ingest import ModelStream  # noqa: E402
 
 STREAM_BATCHES = 4
+#: Files of each batch.
+LANDED_FILES = 8
 
 
 def drain(df: DataFrame) -> None:
@@ -78,11 +80,11 @@ def main() -> None:
     step = count // STREAM_BATCHES + 1
     for n in range(STREAM_BATCHES):
         part = events.filter(f"seq > {n * step} AND seq <= {(n + 1) * step}" if n else f"seq <= {step}")
-        part.coalesce(1).write.mode("append").parquet(landing)
+        part.repartition(LANDED_FILES).write.mode("append").parquet(landing)
 
     def stream():
         query = ModelStream(spark, new_path(spark, "stream")).start(
-            stream_events(spark, landing, files_per_batch=1), availableNow=True
+            stream_events(spark, landing, files_per_batch=LANDED_FILES), availableNow=True
         )
         query.awaitTermination()
 

@@ -194,15 +194,24 @@ class LineageModel:
     def job_state(self, job: str, version: int) -> DataFrame:
         return self.job_versions().filter((F.col("job") == job) & (F.col("version") == version))
 
+    def version_transformations(self, versions: DataFrame) -> DataFrame:
+        """Every transformation ever stored for the job versions of ``versions(job, version)``."""
+        asked = versions.select("job", F.col("version").alias("job_version")).distinct()
+        return self.transformation_versions().join(asked, ["job", "job_version"], "left_semi")
+
     # -- transformations --------------------------------------------------------------------
 
     def transformation_versions(self) -> DataFrame:
         """Every stored transformation row with the span its set was in force."""
         changes = self.logs["sets"].filter("changed")
         nexts = changes.select(
-            "job", "job_version", (F.col("set_no") - 1).alias("set_no"), F.col("seq").alias("set_to")
-        )
-        ends = self.job_versions().select("job", F.col("version").alias("job_version"), F.col("to_seq").alias("job_to"))
+            "job", "job_version", (F.col("set_no") - 1).alias("set_no"), F.col("seq").alias("set_to"),
+            F.col("ts").alias("set_until"),
+        )
+        ends = self.job_versions().select(
+            "job", F.col("version").alias("job_version"), F.col("to_seq").alias("job_to"),
+            F.col("valid_to").alias("job_until"),
+        )
         return (
             self.logs["transformations"]
             .join(nexts, ["job", "job_version", "set_no"], "left")
@@ -210,7 +219,8 @@ class LineageModel:
             .withColumnRenamed("seq", "from_seq")
             .withColumnRenamed("ts", "valid_from")
             .withColumn("to_seq", F.coalesce("set_to", "job_to"))
-            .drop("set_to", "job_to")
+            .withColumn("valid_to", F.coalesce("set_until", "job_until"))
+            .drop("set_to", "job_to", "set_until", "job_until")
         )
 
     def current_transformations(self) -> DataFrame:
@@ -219,19 +229,32 @@ class LineageModel:
         return (
             self.transformation_versions()
             .filter(F.col("to_seq").isNull())
-            .drop("to_seq")
+            .drop("to_seq", "valid_to")
             .join(jobs, ["job", "job_version"])
         )
 
     # -- point in time ----------------------------------------------------------------------
 
     def as_of(self, at: Column) -> dict[str, DataFrame]:
-        """The model as it stood at a moment: ``valid_from <= at < valid_to``."""
+        """The model as it stood at a moment, ``valid_from <= at < valid_to``: tables and jobs, the attributes and table
+        links of those versions, and the transformations in force."""
 
         def held(df: DataFrame) -> DataFrame:
             return df.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
 
-        return {"tables": held(self.table_versions()), "jobs": held(self.job_versions())}
+        tables, jobs = held(self.table_versions()), held(self.job_versions())
+        return {
+            "tables": tables,
+            "attributes": tables.select(
+                "tbl", "version", F.posexplode("fields").alias("ordinal", "f"), "valid_from", "valid_to"
+            ).select("tbl", "version", "ordinal", "f.name", "f.data_type", "valid_from", "valid_to")
+            .withColumnRenamed("name", "attr"),
+            "jobs": jobs,
+            "job_tables": jobs.select("job", "version", F.explode("tables").alias("t"), "valid_from", "valid_to").select(
+                "job", "version", "t.role", "t.tbl", F.col("t.version").alias("tbl_version"), "valid_from", "valid_to"
+            ),
+            "transformations": held(self.transformation_versions()),
+        }
 
 
 def advance(

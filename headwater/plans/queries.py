@@ -303,13 +303,32 @@ def job_history(w):
 
 @query
 def model_as_of(w):
-    """Tables and jobs as they stood when the middle event arrived."""
+    """All five kinds as they stood when the middle event arrived."""
     middle = w.model.events.filter(F.col("seq") == w.last_seq // 2).agg(F.max("ts")).scalar()
     held = w.model.as_of(middle)
-    return (
-        held["tables"].select(F.lit("table").alias("kind"), F.col("tbl").alias("name"), "version")
-        .unionByName(held["jobs"].select(F.lit("job").alias("kind"), F.col("job").alias("name"), "version"))
-    )
+    names = {
+        "tables": ("table", "version", ["tbl"]),
+        "attributes": ("attribute", "version", ["tbl", "attr", "data_type"]),
+        "jobs": ("job", "version", ["job"]),
+        "job_tables": ("job table", "tbl_version", ["job", "version", "role", "tbl"]),
+        "transformations": ("transformation", "job_version", ["job", "set_no", "pos", "input_table", "output_attribute"]),
+    }
+    out = None
+    for kind, (label, version, parts) in names.items():
+        rows = held[kind].select(
+            F.lit(label).alias("kind"),
+            F.concat_ws("|", *[F.col(p).cast("string") for p in parts]).alias("name"),
+            F.col(version).cast("bigint").alias("version"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def version_state(w):
+    """The transformations of the first version of every job that has come further since."""
+    later = w.model.job_versions().filter("version = 2").select("job", F.lit(1).alias("version"))
+    return w.model.version_transformations(later).select("job", "job_version", "set_no", "from_seq", "pos", *_SET_ROW)
 
 
 # -- runs and usage ----------------------------------------------------------------------
@@ -556,21 +575,25 @@ def sync_status(w):
 # -- streams -----------------------------------------------------------------------------
 
 
+#: Files of each landed range.
+LANDED_FILES = 4
+
+
 def _landed(w: Workbench, slices: int) -> str:
-    """The event log as files landed in arrival order."""
+    """The event log landed in arrival order, ``LANDED_FILES`` files a range."""
     path = new_path(w.spark, "landing")
     events = materialize(derived_events(w.spark, w.sf_dir), "arrivals")
     step = w.last_seq // slices + 1
     for n in range(slices):
         part = events.filter(F.col("seq").between(n * step, (n + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(LANDED_FILES).write.mode("append").parquet(path)
     return path
 
 
 @query
 def stream_ingest_tables(w):
     stream = ModelStream(w.spark, new_path(w.spark, "stream"))
-    source = stream_events(w.spark, _landed(w, 3), files_per_batch=1)
+    source = stream_events(w.spark, _landed(w, 3), files_per_batch=LANDED_FILES)
     stream.start(source, availableNow=True).awaitTermination()
     return _table_rows(stream.model().table_versions())
 
@@ -578,5 +601,5 @@ def stream_ingest_tables(w):
 @query
 def stream_job_runs(w):
     stream = RunStream(w.spark, new_path(w.spark, "runs"))
-    stream.start(stream_events(w.spark, _landed(w, 3), files_per_batch=1), availableNow=True).awaitTermination()
+    stream.start(stream_events(w.spark, _landed(w, 3), files_per_batch=LANDED_FILES), availableNow=True).awaitTermination()
     return stream.runs()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from headwater.functions.chunks import SPAN
-from headwater.operators.parse import good_events, parse_events
+from headwater.operators.parse import FINAL_TYPES, good_events, parse_events
 from headwater.operators.runs import run_aggregates
 from headwater.plans.model import LineageModel, advance, next_states
 from headwater.storage import jit_sized_methods, together, write_table
@@ -22,10 +22,24 @@ class ModelStream:
     Every output of batch n goes to a folder named after n and is overwritten when the batch is
     retried, and batch n reads only what batch n - 1 left: replays change nothing. Order is the
     arrival number; event time never decides a version, so there is no watermark.
+
+    An event whose number is not above all of the batches before came too late to take its place. ``late`` says
+    what becomes of it: "quarantine" keeps it out of the model, to be read with :meth:`late_events`; "fail" ends the
+    batch with an error, before anything of it is applied.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, sql_fallback: bool = True, span: int = SPAN) -> None:
-        self.spark, self.root, self.sql_fallback, self.span = spark, root, sql_fallback, span
+    def __init__(
+        self, spark: SparkSession, root: str, *, sql_fallback: bool = True, span: int = SPAN, late: str = "quarantine"
+    ) -> None:
+        if late not in ("quarantine", "fail"):
+            raise ValueError(f"late must be quarantine or fail, not {late}")
+        self.spark, self.root, self.sql_fallback, self.span, self.late = spark, root, sql_fallback, span, late
+
+    def _last_seq(self, batch: int) -> int | None:
+        """The highest number applied up to a batch."""
+        if batch < 0:
+            return None
+        return self.spark.read.parquet(f"{self.root}/done/batch-{batch}").first()["last_seq"]
 
     def _states(self, batch: int) -> dict[str, DataFrame] | None:
         if batch < 0:
@@ -44,11 +58,17 @@ class ModelStream:
             write_table(df, path)
             return self.spark.read.schema(df.schema).parquet(path)
 
-        prior = self._states(batch - 1)
-        logs, steps = advance(write("events", parsed), write, prior, self.span)
+        prior, before = self._states(batch - 1), self._last_seq(batch - 1)
+        too_late = F.lit(False) if before is None else F.coalesce(F.col("seq") <= before, F.lit(False))
+        arrived = write("events", parsed.withColumn("late", too_late))
+        found = arrived.agg(F.max(F.when(~F.col("late"), F.col("seq"))), F.count_if("late")).first()
+        if found[1] and self.late == "fail":
+            raise ValueError(f"batch {batch}: {found[1]} events are numbered {before} or below, which is applied already")
+        last = before if found[0] is None else found[0]
+        logs, steps = advance(arrived.filter(~F.col("late")).drop("late"), write, prior, self.span)
         states = next_states(logs, steps, prior)
         together(self.spark, *[lambda n=name, s=state: write(n, s) for name, state in states.items()])
-        self.spark.createDataFrame([(batch,)], "batch bigint").write.mode("overwrite").parquet(
+        self.spark.createDataFrame([(batch, last)], "batch bigint, last_seq bigint").write.mode("overwrite").parquet(
             f"{self.root}/done/batch-{batch}"
         )
 
@@ -66,14 +86,21 @@ class ModelStream:
                 .start()
             )
 
-    def model(self) -> LineageModel:
-        """The model after the latest finished batch."""
+    def _read(self, name: str) -> DataFrame:
+        """What all finished batches appended."""
         done = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/done")
         last = done.agg(F.max("batch")).first()[0]
-        read = lambda name: self.spark.read.parquet(
-            *[f"{self.root}/{name}/batch-{n}" for n in range(last + 1)]
-        )
-        return LineageModel(read("events"), {name: read(name) for name in LOGS}, read("table_steps"))
+        return self.spark.read.parquet(*[f"{self.root}/{name}/batch-{n}" for n in range(last + 1)])
+
+    def model(self) -> LineageModel:
+        """The model after the latest finished batch."""
+        events = self._read("events").filter(~F.col("late")).drop("late")
+        return LineageModel(events, {name: self._read(name) for name in LOGS}, self._read("table_steps"))
+
+    def late_events(self) -> DataFrame:
+        """``(seq, ts, reason, raw)`` of the events that came too late."""
+        late = self._read("events").filter("late")
+        return late.select("seq", "ts", F.lit("arrived after a later number was applied").alias("reason"), "raw")
 
 
 def running_job_runs(events: DataFrame) -> DataFrame:
@@ -88,25 +115,57 @@ def running_job_runs(events: DataFrame) -> DataFrame:
 
 
 class RunStream:
-    """Run states kept under ``root``: each batch writes only the runs it touched."""
+    """Run states kept under ``root`` as partial rows that merge.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+    A batch writes one row for each run it touches, over itself when retried; maxima and minima of the rows of a run are
+    those of its events, however they are dealt, late or twice. No state is held between batches. Every ``compact``
+    batches the rows so far are merged into one a run, and reading takes the last merged table and what came after.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, compact: int = 16) -> None:
+        self.spark, self.root, self.compact = spark, root, compact
+
+    @staticmethod
+    def _partial(events: DataFrame) -> DataFrame:
+        """Mergeable form of :func:`run_aggregates`."""
+        latest = F.struct("event_time", "seq", "event_type")
+        return events.groupBy("run_id").agg(
+            F.max(latest).alias("latest"),
+            F.max(F.when(F.col("event_type") == "START", F.col("event_time"))).alias("started_at"),
+            F.min(F.when(F.col("event_type").isin(FINAL_TYPES), F.col("event_time"))).alias("finished_at"),
+        )
 
-    def _write(self, touched: DataFrame, batch: int) -> None:
-        touched.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{self.root}/runs/batch-{batch}")
+    def _merged(self, upto: int) -> DataFrame:
+        base = (upto + 1) // self.compact * self.compact - 1  # the last batch that was merged
+        paths = [f"{self.root}/merged/batch-{base}"] if base >= 0 else []
+        paths += [f"{self.root}/runs/batch-{n}" for n in range(base + 1, upto + 1)]
+        return self._join(paths)
+
+    def _join(self, paths: list[str]) -> DataFrame:
+        rows = self.spark.read.parquet(*paths)
+        return rows.groupBy("run_id").agg(
+            F.max("latest").alias("latest"), F.max("started_at").alias("started_at"), F.min("finished_at").alias("finished_at")
+        )
+
+    def _write(self, parsed: DataFrame, batch: int) -> None:
+        self._partial(parsed).write.mode("overwrite").parquet(f"{self.root}/runs/batch-{batch}")
+        if (batch + 1) % self.compact == 0:
+            paths = [f"{self.root}/merged/batch-{batch - self.compact}"] if batch >= self.compact else []
+            paths += [f"{self.root}/runs/batch-{n}" for n in range(batch - self.compact + 1, batch + 1)]
+            self._join(paths).write.mode("overwrite").parquet(f"{self.root}/merged/batch-{batch}")
+        self.spark.createDataFrame([(batch,)], "batch bigint").write.mode("overwrite").parquet(f"{self.root}/done/batch-{batch}")
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
+        parsed = good_events(parse_events(events, sql_fallback=False))
         return (
-            running_job_runs(events)
-            .writeStream.outputMode("update")
-            .foreachBatch(self._write)
+            parsed.select("run_id", "event_type", "event_time", "seq")
+            .writeStream.foreachBatch(self._write)
             .option("checkpointLocation", f"{self.root}/stream")
             .trigger(**trigger)
             .start()
         )
 
     def runs(self) -> DataFrame:
-        rows = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/runs")
-        state = F.struct("status", "started_at", "finished_at")
-        return rows.groupBy("run_id").agg(F.max_by(state, "batch").alias("s")).select("run_id", "s.*")
+        done = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/done")
+        merged = self._merged(done.agg(F.max("batch")).first()[0])
+        return merged.select("run_id", F.col("latest.event_type").alias("status"), "started_at", "finished_at")

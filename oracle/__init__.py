@@ -89,11 +89,25 @@ _FINAL = {
       FROM job_versions v LEFT JOIN transformation_versions t ON t.job = v.job AND t.job_version = v.version
       GROUP BY v.job, v.version, v.from_seq, v.to_seq""",
     "model_as_of": """
-      WITH m AS (SELECT max(ts) AS moment FROM ol_events WHERE seq = (SELECT max(seq) // 2 FROM ol_events))
-      SELECT 'table' AS kind, tbl AS name, version FROM table_versions, m
-      WHERE valid_from <= moment AND (valid_to IS NULL OR moment < valid_to)
+      WITH m AS (SELECT max(ts) AS moment FROM ol_events WHERE seq = (SELECT max(seq) // 2 FROM ol_events)),
+      t AS (SELECT * FROM table_versions, m WHERE valid_from <= moment AND (valid_to IS NULL OR moment < valid_to)),
+      j AS (SELECT * FROM job_versions, m WHERE valid_from <= moment AND (valid_to IS NULL OR moment < valid_to))
+      SELECT 'table' AS kind, tbl AS name, version FROM t
       UNION ALL
-      SELECT 'job', job, version FROM job_versions, m WHERE valid_from <= moment AND (valid_to IS NULL OR moment < valid_to)""",
+      SELECT 'attribute', concat_ws('|', a.tbl, a.attr, a.data_type), a.version
+      FROM attribute_versions a JOIN t ON t.tbl = a.tbl AND t.version = a.version
+      UNION ALL
+      SELECT 'job', job, version FROM j
+      UNION ALL
+      SELECT 'job table', concat_ws('|', b.job, b.version, b.role, b.tbl), b.tbl_version
+      FROM job_tables b JOIN j ON j.job = b.job AND j.version = b.version
+      UNION ALL
+      SELECT 'transformation', concat_ws('|', x.job, x.set_no, x.pos, x.input_table, x.output_attribute), x.job_version
+      FROM transformation_versions x JOIN ol_events f ON f.seq = x.from_seq LEFT JOIN ol_events u ON u.seq = x.to_seq, m
+      WHERE f.ts <= moment AND (x.to_seq IS NULL OR moment < u.ts)""",
+    "version_state": f"""
+      SELECT job, job_version, set_no, from_seq, pos, {_SET} FROM transformation_versions
+      WHERE job_version = 1 AND job IN (SELECT job FROM job_versions WHERE version = 2)""",
     "job_runs": "SELECT job, run_id, status, started_at, finished_at, last_type, first_type FROM job_runs",
     "table_usage": "SELECT tbl, usage FROM usage_counts",
     "table_edges": "SELECT source, target, round(weight, 6) AS weight FROM edges",

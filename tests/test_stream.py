@@ -8,7 +8,7 @@ import pytest
 from test_model import random_events
 
 from headwater import build_model
-from headwater.operators.parse import parse_events
+from headwater.operators.parse import good_events, parse_events
 from headwater.sources.events import stream_events
 from headwater.streaming.ingest import ModelStream, RunStream, running_job_runs
 
@@ -47,3 +47,33 @@ def test_running_runs(spark, events, tmp_path):
     stream = RunStream(spark, str(tmp_path / "runs"))
     stream.start(stream_events(spark, str(tmp_path / "in"), files_per_batch=1), availableNow=True).awaitTermination()
     assert sorted(stream.runs().collect()) == sorted(running_job_runs(rows).collect())
+
+
+def test_runs_merge_over_replays_late_rows_and_compaction(spark, events, tmp_path):
+    rows = events(random_events(random.Random(5), 60))
+    parsed = good_events(parse_events(rows, sql_fallback=False)).select("run_id", "event_type", "event_time", "seq")
+    stream = RunStream(spark, str(tmp_path / "runs"), compact=2)
+    order = [parsed.filter(f"seq % 5 = {n}") for n in (3, 0, 4, 1, 2)]  # each batch is late for the ones before
+    for n, part in enumerate(order):
+        stream._write(part, n)
+        stream._write(part, n)
+    assert sorted(stream.runs().collect()) == sorted(running_job_runs(rows).collect())
+    assert (tmp_path / "runs" / "merged" / "batch-3").exists()
+
+
+def test_late_events_stay_out(spark, events, tmp_path):
+    rows = events(random_events(random.Random(6), 60))
+    parsed = parse_events(rows)
+    stream = ModelStream(spark, str(tmp_path / "model"), span=20)
+    stream.apply(parsed.filter("seq < 20 OR seq BETWEEN 30 AND 39"), 0)
+    stream.apply(parsed.filter("seq BETWEEN 20 AND 29 OR seq >= 40"), 1)
+    assert content(stream.model()) == content(build_model(rows.filter("seq < 20 OR seq >= 30")))
+    late = stream.late_events().collect()
+    assert sorted(r.seq for r in late) == list(range(20, 30)) and all(r.reason and r.raw for r in late)
+    assert all(r.valid_to is None or r.valid_from <= r.valid_to for r in stream.model().table_versions().collect())
+    strict = ModelStream(spark, str(tmp_path / "strict"), span=20, late="fail")
+    strict.apply(parsed.filter("seq >= 30"), 0)
+    with pytest.raises(ValueError, match="29|applied already"):
+        strict.apply(parsed.filter("seq < 30"), 1)
+    with pytest.raises(ValueError):
+        ModelStream(spark, "x", late="drop")
