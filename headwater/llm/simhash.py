@@ -128,9 +128,8 @@ def simhash_components(docs: DataFrame, doc_id: Column, text: Column, words: int
 
 #: Near copies: words of a shingle, and the share of shingles two texts have in common.
 NEAR_WORDS, NEAR = 5, 0.8
-#: Pieces of a text: shingles between those whose hash is divisible by PIECE, and not shorter than LEAST. Each text is
-#: found under the KEYS least of its pieces' sums.
-PIECE, LEAST, KEYS = 16, 8, 8
+#: Pieces of a text: shingles between those whose hash is divisible by PIECE, and not shorter than LEAST.
+PIECE, LEAST = 16, 8
 
 
 def piece_keys(hashes: np.ndarray) -> list[int]:
@@ -140,7 +139,7 @@ def piece_keys(hashes: np.ndarray) -> list[int]:
         if i - cuts[-1] >= LEAST and i < len(hashes):
             cuts.append(i)
     sums = np.add.reduceat(hashes, cuts) * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(sums)[:KEYS].astype(np.int64).tolist()
+    return np.unique(sums).astype(np.int64).tolist()
 
 
 def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR_WORDS, similarity: float = NEAR) -> DataFrame:
