@@ -169,7 +169,9 @@ def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR
         "doc_id bigint, text_hash bigint, node bigint, fp bigint, pieces array<bigint>",
     )
     table = materialize(read, "near")
-    nodes = table.select("node", "fp", "pieces").dropDuplicates(["node"])
+    nodes = table.groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("pieces").alias("pieces")
+    )
     nodes = materialize(nodes, "near-nodes")
     first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("b")), "near-fps")
     far = links(first.select("fp")).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b")
@@ -184,10 +186,7 @@ def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
     asked = pairs.select("a").union(pairs.select("b")).distinct()
-    # One row for each text that is in a pair.
-    whose = table.join(asked, table["node"] == asked["a"], "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("row")
-    )
+    whose = nodes.join(asked, nodes["node"] == asked["a"], "left_semi")
     whose = materialize(whose.select("node", "row.doc_id", "row.text_hash"), "near-asked")
     own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
     texts = own.join(whose, same_document(own, whose)).select("node", "text")
