@@ -178,9 +178,10 @@ def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR
     far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a")), "dst").select("a", "b")
     alike = nodes.join(first, "fp").select(F.col("node").alias("a"), "b")
     held = nodes.select(F.explode("pieces").alias("piece"), "node")
-    held = held.withColumn("rank", F.struct(F.xxhash64("piece", "node").alias("r"), "node"))
-    chosen = held.groupBy("piece").agg(F.min("rank").alias("x"), F.max("rank").alias("y"))
-    chosen = chosen.where("x <> y").select("piece", F.explode(F.array("x.node", "y.node")).alias("b"))
+    mixed = F.col("piece").bitwiseXOR(F.col("node"))  # another order for each piece, from which the node comes back
+    ends = held.groupBy("piece").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y")).where("x <> y")
+    chosen = ends.select("piece", F.explode(F.array("x", "y")).alias("end"))
+    chosen = chosen.select("piece", F.col("piece").bitwiseXOR(F.col("end")).alias("b"))
     shared = held.join(chosen, "piece").select(F.col("node").alias("a"), "b")
     pairs = far.union(alike).union(shared).where("a <> b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
