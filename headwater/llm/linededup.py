@@ -24,23 +24,24 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``(line, sites)`` of the lines of ``lines(line, site)`` that at least ``min_sites`` distinct sites hold.
+    """``(line, sites, first)`` of the lines of ``lines(line, site, place)`` that at least ``min_sites`` distinct sites
+    hold; ``first`` is the least place.
 
     Rows are first reduced, on the map side too, to one per line and site. Lines with fewer than ``min_sites`` such rows
     cannot reach the threshold and get no sketch. The rest have a HyperLogLog sketch of their sites; those whose estimate
     is near the threshold are counted exactly, so the outcome is that of exact counts.
     """
-    held = materialize(lines.groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")), "line-sites")
-    enough = held.groupBy("line").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= min_sites)
+    held = materialize(lines.groupBy("line", "site").agg(F.min("place").alias("place")), "line-sites")
+    enough = held.groupBy("line").agg(F.count(F.lit(1)).alias("pairs"), F.min("place").alias("first"))
+    enough = materialize(enough.where(F.col("pairs") >= min_sites), "spread-firsts")
     some = materialize(held.join(enough, "line", "left_semi").select("line", "site"), "spread-lines")
     sketched = some.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
     margin = max(1.0, ERRORS * 1.04 / 2 ** (lg_k / 2) * min_sites)
     sketched = materialize(sketched, "sketched-lines")
     near = sketched.where(F.abs(F.col("sites") - min_sites) <= margin).select("line")
     exact = some.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
-    return (
-        sketched.where(F.col("sites") > min_sites + margin).union(exact.where(F.col("sites") >= min_sites))
-    )
+    sites = sketched.where(F.col("sites") > min_sites + margin).union(exact.where(F.col("sites") >= min_sites))
+    return sites.join(enough, "line").select("line", "sites", "first")
 
 
 def clean_lines(
@@ -56,16 +57,12 @@ def clean_lines(
         doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"),
         F.coalesce(site.cast("string"), F.lit("")).alias("site"),
     )
-    lines = _lines(rows)
-    known = materialize(boilerplate(lines, min_sites, lg_k).select("line"), "boilerplate")
-    found = lines.select("doc_id", "text_hash", "pos", "line").join(known, "line", "left_semi")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "pos").alias("place")
+    lines = _lines(rows).select("line", "site", place)
+    known = materialize(boilerplate(lines, min_sites, lg_k).select("line", "first"), "boilerplate")
+    found = lines.join(known, "line").where(F.col("place") != F.col("first")).select("place.*")
     found = materialize(found, "boilerplate-lines")
-    first = found.groupBy("line").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "pos")).alias("first"))
-    is_first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "pos") == F.col("first")
-    return (
-        found.join(first, "line").where(~is_first).groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_set("pos")).alias("drop"))
-    )
+    return found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def without_lines(text: Column, drop: Column) -> Column:

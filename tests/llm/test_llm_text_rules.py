@@ -109,8 +109,8 @@ def test_lines_on_many_sites_stay_once(spark):
 
 def test_sketches_near_and_far_from_the_threshold(spark):
     rows = [(f"line{n}", f"site{k}") for n in (3, 90, 100, 101, 110, 600) for k in range(n)] * 2
-    lines = spark.createDataFrame(rows, "name string, site string").select(F.struct(F.xxhash64("name").alias("a"), F.xxhash64(F.reverse("name")).alias("b")).alias("line"), "site", "name")
-    found = linededup.boilerplate(lines.select("line", "site"), 101, lg_k=10).join(lines.select("line", "name").distinct(), "line")
+    lines = spark.createDataFrame(rows, "name string, site string").select(F.struct(F.xxhash64("name").alias("a"), F.xxhash64(F.reverse("name")).alias("b")).alias("line"), "site", "name", F.length("site").alias("place"))
+    found = linededup.boilerplate(lines.select("line", "site", "place"), 101, lg_k=10).join(lines.select("line", "name").distinct(), "line")
     assert {r.name for r in found.collect()} == {"line101", "line110", "line600"}
 
 
