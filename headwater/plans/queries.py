@@ -423,6 +423,19 @@ def table_influence(w):
     return named.select("tbl", rounded("influence"))
 
 
+@query
+def influence_growing(w):
+    """Influence over cycles that shrink, stay even or grow without end, three tables for every supplier."""
+    named = lambda end: F.concat(F.lit(end), F.col("key").cast("string"))
+    back = F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0)), (F.col("key") % 3 + 1).cast("int"))
+    edge = lambda a, b, weight: F.struct(named(a).alias("source"), named(b).alias("target"), weight.alias("weight"))
+    keys = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
+    loops = F.array(edge("x", "y", F.lit(2.0)), edge("y", "x", back), edge("z", "x", F.lit(0.5)))
+    edges = materialize(keys.select(F.explode(loops).alias("e")).select("e.*"), "growing")
+    graph = g.table_graph(edges, edges.select(F.col("source").alias("tbl")).distinct())
+    return graph.name(g.influence(graph), tbl="source").select("tbl", rounded("influence"))
+
+
 @query
 def connectivity_loss(w):
     loss = w.graph.name(g.connectivity_loss(w.graph, w.pairs), tbl="id")

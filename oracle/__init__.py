@@ -154,6 +154,11 @@ _FINAL = {
       SELECT n.tbl, CASE WHEN b.tbl IS NULL THEN coalesce(max(w.layer), 0) END AS layer, b.tbl IS NOT NULL AS cyclic
       FROM nodes n LEFT JOIN walk w USING (tbl) LEFT JOIN behind b USING (tbl) GROUP BY n.tbl, b.tbl""",
     "table_influence": "SELECT tbl, round(influence, 6) AS influence FROM influence",
+    "influence_growing": """
+      SELECT kind || s_suppkey AS tbl, CASE WHEN s_suppkey % 3 = 2 THEN 'inf'::DOUBLE
+        WHEN s_suppkey % 3 = 0 THEN CASE kind WHEN 'x' THEN 2.5 WHEN 'y' THEN 0.75 ELSE 1.5 END
+        ELSE CASE kind WHEN 'x' THEN 3.0 ELSE 1.5 END END::DOUBLE AS influence
+      FROM supplier CROSS JOIN (SELECT unnest(['x', 'y', 'z']) AS kind)""",
     "connectivity_loss": """
       SELECT tbl, lost, round(CASE WHEN total > 0 THEN lost / total ELSE 0 END, 6) AS connectivity_loss FROM loss""",
     "critical_tables": "SELECT tbl, influence, connectivity_loss, usage, score FROM scores",
