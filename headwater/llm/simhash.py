@@ -11,6 +11,7 @@ of any size costs its members times a constant.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,82 +129,139 @@ def simhash_components(docs: DataFrame, doc_id: Column, text: Column, words: int
 
 #: Near copies: words of a shingle, and the share of shingles two texts have in common.
 NEAR_WORDS, NEAR = 5, 0.8
-#: Pieces of a text: shingles between those whose hash is divisible by PIECE, and not shorter than LEAST.
-PIECE, LEAST = 16, 8
+#: Shingles counted at a time for the order of keys, and how many of the most common ones it knows.
+CHUNK, COMMON = 1 << 20, 1 << 16
 
 
-def piece_keys(hashes: np.ndarray) -> list[int]:
-    """Sums of the shingle hashes of stretches that the content itself bounds: an edit changes only those it is in."""
-    cuts = [0]
-    for i in (np.flatnonzero(hashes % np.uint64(PIECE) == 0) + 1).tolist():
-        if i - cuts[-1] >= LEAST and i < len(hashes):
-            cuts.append(i)
-    sums = np.add.reduceat(hashes, cuts) * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(sums).astype(np.int64).tolist()
+def common_shingles(docs: DataFrame, text: Column, words: int) -> np.ndarray:
+    """Hashes of the most common shingles, the commonest last. Only the cost of ``prefix_keys`` depends on them."""
+
+    def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        def counted(held: list[np.ndarray]) -> dict[str, list]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return {"shingle": found[n > 1].view("<i8").tolist(), "n": n[n > 1].tolist()}
+
+        held, waiting = [], 0
+        for b in batches:
+            for t in b["text"]:
+                held.append(np.unique(shingle_hashes(t.encode("utf-8", "replace").lower(), words, 42)))
+                waiting += len(held[-1])
+                if waiting >= CHUNK:
+                    yield counted(held)
+                    held, waiting = [], 0
+        if held:
+            yield counted(held)
+
+    counts = map_texts(docs, {"text": text}, rows, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.array([r["shingle"] for r in reversed(top)], dtype="<i8").view("<u8")
+
+
+def prefix_keys(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of distinct shingles, so many that two sets of ``similarity`` have one of them in common.
+
+    Such sets share ``similarity`` of either at least, so the first shared shingle is no later than this in both. That
+    holds for any order that all texts have in common; here common ones (sorted hashes, ranks) come last.
+    """
+    values, ranks = common
+    rank = np.full(len(shingles), -1, dtype=np.int64)
+    if len(values):
+        place = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+        rank = np.where(values[place] == shingles, ranks[place], -1)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: Column, text: Column, words: int, similarity: float) -> DataFrame:
+    """The ``(src, dst)`` of ``pairs(a, b)`` whose whole shingle sets are ``similarity`` alike."""
+    asked = pairs.select("a").union(pairs.select("b")).distinct()
+    whose = nodes.join(asked, nodes["node"] == asked["a"], "left_semi")
+    whose = materialize(whose.select("node", "row.doc_id", "row.text_hash"), "near-asked")
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    texts = own.join(whose, same_document(own, whose)).select("node", "text")
+
+    def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t.encode("utf-8", "replace").lower(), words, 42)) for t in b["text"]]
+            yield {"node": b["node"], "shingles": [x.astype(np.int64).tolist() for x in found]}
+
+    shingles = map_texts(texts, {"node": texts["node"], "text": texts["text"]}, sets, "node bigint, shingles array<bigint>")
+    shingles = materialize(shingles, "near-shingles")
+    left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.where(common >= similarity * (F.size("x") + F.size("y") - common))
+    return materialize(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-alike")
 
 
 def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR_WORDS, similarity: float = NEAR) -> DataFrame:
     """``(doc_id, text_hash, root)`` per row: texts whose sets of ``words``-word shingles are ``similarity`` alike, and
     all they lead to, share a root. ``text_hash`` is Spark's hash of the text as it is.
 
-    Texts that read alike are one from the start, so a group of exact copies costs one text. Pairs to look at come
-    from SimHash fingerprints within two bits (``links``). At a similarity of 0.8 fingerprints differ in eight bits or so,
-    where no grid of counts is selective; so texts that share a content-bounded piece are looked at too, each with
-    two of those that hold the piece, chosen by a hash. Every pair is verified on the whole shingle sets.
+    Texts that read alike are one from the start, so a group of exact copies costs one text. Every pair of
+    ``similarity`` has a key in common (``prefix_keys``), whatever the texts' lengths. First each text meets the
+    least holder of each of its keys and those of SimHash fingerprints within two bits (``links``), which joins the
+    bulk of every group at the cost of its members. Then all pairs of a key's holders that are still in different
+    groups, and whose sizes and places of the key leave room for ``similarity``, are looked at. Every pair is verified
+    on the whole shingle sets, so the groups are those of all pairs.
     Texts without words are one group.
     """
+    ranked = common_shingles(docs, text, words)
+    order = np.argsort(ranked)
+    shared = docs.sparkSession.sparkContext.broadcast((ranked[order], order))  # of bounded size
 
     def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
-            out: dict[str, list] = {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": [], "fp": [], "pieces": []}
+            out: dict[str, list] = {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": [], "fp": [], "n": [], "keys": []}
             for t in b["text"]:
                 data = t.encode("utf-8", "replace").lower()
                 found = shingle_hashes(data, words, 42)
                 out["node"].append(int(np.uint64(xxhash.xxh64_intdigest(b" ".join(data.split()))).astype(np.int64)))
                 out["fp"].append(fingerprint(found))
-                out["pieces"].append(piece_keys(found) if len(found) else [])
+                found = np.unique(found)
+                out["n"].append(len(found))
+                out["keys"].append(prefix_keys(found, shared.value, similarity).view("<i8").tolist())
             yield out
 
     read = map_texts(
         docs, {"doc_id": doc_id, "text_hash": F.xxhash64(text), "text": text}, rows,
-        "doc_id bigint, text_hash bigint, node bigint, fp bigint, pieces array<bigint>",
+        "doc_id bigint, text_hash bigint, node bigint, fp bigint, n bigint, keys array<bigint>",
     )
     table = materialize(read, "near")
     nodes = table.groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("pieces").alias("pieces")
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
     nodes = materialize(nodes, "near-nodes")
     first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("b")), "near-fps")
     far = links(first.select("fp")).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b")
     far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a")), "dst").select("a", "b")
     alike = nodes.join(first, "fp").select(F.col("node").alias("a"), "b")
-    held = nodes.select(F.explode("pieces").alias("piece"), "node")
-    mixed = F.col("piece").bitwiseXOR(F.col("node"))  # another order for each piece, from which the node comes back
-    ends = held.groupBy("piece").agg(F.min(mixed).alias("x"), F.max(mixed).alias("y")).where("x <> y")
-    chosen = ends.select("piece", F.explode(F.array("x", "y")).alias("end"))
-    chosen = chosen.select("piece", F.col("piece").bitwiseXOR(F.col("end")).alias("b"))
-    shared = held.join(chosen, "piece").select(F.col("node").alias("a"), "b")
-    pairs = far.union(alike).union(shared).where("a <> b")
+    held = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    company = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key")
+    held = materialize(held.join(company, "key", "left_semi"), "near-held")  # few: most keys are in one text
+    least = held.groupBy("key").agg(F.min("node").alias("b"))
+    met = held.join(least, "key").select(F.col("node").alias("a"), "b")
+    pairs = far.union(alike).union(met).where("a <> b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-
-    asked = pairs.select("a").union(pairs.select("b")).distinct()
-    whose = nodes.join(asked, nodes["node"] == asked["a"], "left_semi")
-    whose = materialize(whose.select("node", "row.doc_id", "row.text_hash"), "near-asked")
-    own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
-    texts = own.join(whose, same_document(own, whose)).select("node", "text")
-
-    def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for b in batches:
-            found = [np.unique(shingle_hashes(t.encode("utf-8", "replace").lower(), words, 42)) for t in b["text"]]
-            yield {"node": b["node"], "shingles": [x.astype(np.int64).tolist() for x in found]}
-
-    shingles = map_texts(texts, {"node": texts["node"], "text": texts["text"]}, sets, "node bigint, shingles array<bigint>")
-    shingles = materialize(shingles, "near-shingles")
-    left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.where(common >= similarity * (F.size("x") + F.size("y") - common))
-    roots = components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("root", "group")
+    edges = verified(pairs, nodes, docs, doc_id, text, words, similarity)
+
+    roots = components(edges)
+    grouped = held.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    grouped = materialize(grouped, "near-grouped")
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    apart = materialize(grouped.join(mixed, "key", "left_semi"), "near-apart")
+    small = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "root")])
+    large = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
+    # Up to their first shared key two sets share nothing, so no more is left than the shorter rest.
+    need = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    rest = small.join(large, "key").where((F.col("root_a") != F.col("root_b")) & ordered & room)
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    if not rest.isEmpty():
+        roots = components(edges.union(verified(rest, nodes, docs, doc_id, text, words, similarity)))
+    roots = roots.withColumnRenamed("root", "group")
     return table.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("group", "node").alias("root"))
 
 

@@ -112,6 +112,31 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert simhash.without_copies(docs(spark, [])).count() == 0
 
 
+def same_groups(spark, texts):
+    """Groups of ``near_copies`` and by brute force, as sets of places in ``texts``."""
+    sets = [set(simhash.shingle_hashes(t.encode(), simhash.NEAR_WORDS, 42).tolist()) for t in texts]
+    links = [
+        (a, b) for b in range(len(sets)) for a in range(b)
+        if len(sets[a] & sets[b]) >= simhash.NEAR * len(sets[a] | sets[b])
+    ]
+    want = roots(range(len(texts)), links)
+    df = docs(spark, [(n, t, "en", "s") for n, t in enumerate(texts)])
+    got = {r.doc_id: r.root for r in simhash.near_copies(df, df["doc_id"], text_of(df)).collect()}
+    return [sorted(sorted(n for n in g if g[n] == root) for root in set(g.values())) for g in (got, want)]
+
+
+def test_all_near_copies_among_many_holders_of_a_piece(spark):
+    rng = random.Random(5)
+    template, texts = [f"t{n}" for n in range(120)], []
+    for g in range(60):
+        own = [f"o{g}x{n}" for n in range(rng.choice((24, 30, 40)))]
+        other = list(own)
+        other[rng.randrange(len(own))] = f"e{g}"
+        texts += [" ".join(template + own), " ".join(template + other)]
+    got, want = same_groups(spark, texts)
+    assert len(want) == 60 and got == want
+
+
 def _long(x, seed=42):
     return xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
 
