@@ -1,12 +1,18 @@
-"""Masked pseudo-likelihood: a window network that sees both sides of a word scores documents by every word's chance."""
+"""Masked pseudo-likelihood: a window network that sees both sides of a word scores documents by every word's chance.
+
+The network gives the chance of a word's class. Within a class of many words each has its share of the class's count in
+the corpus; the counts of all words are a table in Spark. One count a class is set aside for words never seen.
+"""
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +24,8 @@ CLUSTERS, INNER = 32, 32
 CLASSES, BUCKETS = CLUSTERS * INNER, 128
 #: Words seen on either side, and sizes of a word's vector and of the hidden layer.
 REACH, VECTOR, HIDDEN = 2, 16, 32
-#: One word in so many is masked for training, in every document, and the passes over them.
-MASKED, ROUNDS = 16, 3
+#: Rounds of training; each masks another share of the words, and together all of them.
+ROUNDS = 3
 #: Windows in a block, steps of descent a block, and their rate.
 BLOCK, STEPS, RATE = 32_768, 16, 0.01
 
@@ -28,6 +34,9 @@ BLOCK, STEPS, RATE = 32_768, 16, 0.01
 class WindowModel:
     words: dict[str, int]
     parameters: np.ndarray
+    #: ``(key, n)`` of all words without a class of their own, and the sum of ``n`` in each of their classes.
+    counts: DataFrame
+    totals: np.ndarray
 
 
 def _shapes() -> list[tuple[int, ...]]:
@@ -135,13 +144,28 @@ def train(flat: np.ndarray, windows: Iterator[np.ndarray]) -> tuple[np.ndarray,
     return flat, seen
 
 
+def read_words(text: str, words: dict[str, int]) -> tuple[np.ndarray, dict[int, int]]:
+    """The class of each word of a text, and by key the number of each word that shares its class with others.
+
+    Words end at white space. A key is a hash of the word, with the number of its class in the last bits.
+    """
+    found = text.split()
+    ids, keys = {}, {}
+    for w, n in Counter(found).items():
+        c = words.get(w)
+        if c is None:
+            data = w.encode("utf-8", "replace")
+            bucket = zlib.crc32(data) % BUCKETS
+            c = CLASSES - BUCKETS + bucket
+            key = xxhash.xxh64_intdigest(data) // BUCKETS * BUCKETS + bucket - (1 << 63)
+            keys[key] = keys.get(key, 0) + n
+        ids[w] = c
+    return np.array([ids[w] for w in found], dtype=np.int16), keys
+
+
 def classes_of(text: str, words: dict[str, int]) -> np.ndarray:
     """The class of each word of a text; words end at white space."""
-    named = CLASSES - BUCKETS
-    found = text.split()
-    get = words.get
-    ids = [c if (c := get(w)) is not None else named + zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in found]
-    return np.array(ids, dtype=np.int16)
+    return read_words(text, words)[0]
 
 
 _OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
@@ -152,66 +176,85 @@ def _contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + REACH + np.array(_OFFSETS)]
 
 
+#: What ``str.split`` leaves.
+WORD = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def vocabulary(docs: DataFrame, text: Column) -> dict[str, int]:
     """The most frequent words of the corpus, counted over every text, by falling count, then by name."""
-    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit("\\S+"), F.lit(0))).alias("word"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - BUCKETS).collect()
     return {r["word"]: i for i, r in enumerate(top)}
 
 
+def masked(line: np.ndarray, turn: int, rounds: int) -> Iterator[np.ndarray]:
+    """Rows of ``target, context...`` in blocks: one word in ``rounds`` of texts in a line, over all turns each word once."""
+    at = np.flatnonzero(line != CLASSES)[turn::rounds]
+    for i in range(0, len(at), BLOCK):
+        yield line[at[i : i + BLOCK, None] + np.array([0, *_OFFSETS])]
+
+
 def fit_windows(docs: DataFrame, doc_id: Column, text: Column, rounds: int = ROUNDS) -> WindowModel:
-    """Train on masked words of every text.
+    """Train on every word of every text, and count them.
 
-    One word in ``MASKED`` of each text, from a place that its content decides, is written out with its neighbours: a
-    table that grows with the corpus. In each round every task trains a copy of the weights on its share, and the
-    copies' mean, weighted by rows, is summed in Spark; the driver only ever holds one set of weights.
+    The classes of all words are written out: a table that grows with the corpus. In each round every task masks one word
+    in ``rounds`` of its share, from another start each time, and trains a copy of the weights on them; the copies' mean,
+    weighted by words, is summed in Spark, so the driver only ever holds one set of weights.
     Null and empty texts give nothing; without any word the weights stay as they begin.
     """
     words = vocabulary(docs, text)
 
     def cut(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        gap = np.full(REACH, CLASSES, dtype=np.int16)
         for b in batches:
-            held = []
+            line, counts = [gap], Counter()
             for t in b["text"]:
-                ids = classes_of(t or "", words)
-                at = np.arange(zlib.crc32((t or "").encode("utf-8", "replace")) % MASKED, len(ids), MASKED)
-                if len(at):
-                    held.append(np.concatenate([ids[at, None], _contexts(ids, at)], axis=1).astype("<i2"))
-            if held:
-                rows = np.concatenate(held)
-                yield {"windows": [rows[i : i + BLOCK].tobytes() for i in range(0, len(rows), BLOCK)]}
-
-    windows = materialize(map_texts(docs, {"text": text}, cut, "windows binary"), "windows")
+                ids, keys = read_words(t or "", words)
+                line += [ids, gap]
+                counts.update(keys)
+            yield {"line": [np.concatenate(line).astype("<i2").tobytes()], "keys": [list(counts)], "n": [list(counts.values())]}
+
+    schema = "line binary, keys array<bigint>, n array<bigint>"
+    windows = materialize(map_texts(docs, {"text": text}, cut, schema), "windows")
+    each = windows.select(F.explode(F.arrays_zip("keys", "n")).alias("x")).select(F.col("x.keys").alias("key"), "x.n")
+    counts = materialize(each.groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
+    totals = np.zeros(BUCKETS)
+    for r in counts.groupBy(F.pmod("key", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[r["bucket"]] = r["n"]
     flat = initial()
-    for _ in range(rounds):
+    for turn in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(flat)  # of fixed size
 
-        def learn(batches: Iterator[dict[str, list]], shared=shared) -> Iterator[dict[str, list]]:
-            blocks = (np.frombuffer(w, "<i2").reshape(-1, 1 + 2 * REACH) for b in batches for w in b["windows"])
-            new, seen = train(shared.value, blocks)
+        def learn(batches: Iterator[dict[str, list]], shared=shared, turn=turn) -> Iterator[dict[str, list]]:
+            lines = (np.frombuffer(w, "<i2") for b in batches for w in b["line"])
+            new, seen = train(shared.value, (w for line in lines for w in masked(line, turn, rounds)))
             if seen:
                 yield {"seen": [seen], "weights": [new.tolist()]}
 
-        copies = map_texts(windows, {"windows": windows["windows"]}, learn, "seen bigint, weights array<float>")
+        copies = map_texts(windows, {"line": windows["line"]}, learn, "seen bigint, weights array<float>")
         each = copies.select("seen", F.posexplode("weights").alias("at", "value"))
         mean = each.groupBy("at").agg((F.sum(F.col("seen") * F.col("value")) / F.sum("seen")).alias("value")).collect()
         if mean:
             flat = np.zeros(len(mean), dtype=np.float32)
             flat[[r["at"] for r in mean]] = [r["value"] for r in mean]
-    return WindowModel(words, flat)
+    return WindowModel(words, flat, counts, totals)
 
 
 def score_documents(docs: DataFrame, doc_id: Column, text: Column, model: WindowModel) -> DataFrame:
     """``(doc_id, n_tokens, log_likelihood, mean_log_likelihood)``: every word of the whole text, from both sides.
 
+    The chance is that of the word itself: of its class in its context, and of the word among those of its class. The
+    latter's counts are joined, as a table of any size. A word the model has not seen has a count of one.
+
     A text without words has likelihood 0 and a null mean. Repeated rows and null ids each get their row.
     """
     words, flat = model.words, model.parameters
+    shares = np.log(model.totals + 1).tolist()
 
     def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
-            totals, sizes = [], []
+            totals, sizes, keys, ns = [], [], [], []
             held: list[np.ndarray] = []
             waiting = 0
 
@@ -233,15 +276,28 @@ def score_documents(docs: DataFrame, doc_id: Column, text: Column, model: Window
                 held, waiting = [], 0
 
             for t in b["text"]:
-                ids = classes_of(t or "", words).astype(np.int64)
+                ids, found = read_words(t or "", words)
+                ids = ids.astype(np.int64)
+                keys.append(list(found))
+                ns.append(list(found.values()))
                 sizes.append(len(ids))
                 held.append(ids)
                 waiting += len(ids)
                 if waiting >= BLOCK:
                     flush()
             flush()
-            means = [s / n if n else None for s, n in zip(totals, sizes)]
-            yield {"doc_id": b["doc_id"], "n_tokens": sizes, "log_likelihood": totals, "mean_log_likelihood": means}
-
-    schema = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double"
-    return map_texts(docs, {"doc_id": doc_id, "text": text}, rows, schema)
+            rest = [sum(n * shares[k % BUCKETS] for k, n in zip(*x)) for x in zip(keys, ns)]
+            totals = [x - r for x, r in zip(totals, rest)]
+            yield {"doc_id": b["doc_id"], "n_tokens": sizes, "score": totals, "keys": keys, "n": ns}
+
+    schema = "doc_id bigint, n_tokens bigint, score double, keys array<bigint>, n array<bigint>"
+    scored = map_texts(docs, {"doc_id": doc_id, "text": text}, rows, schema)
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    each = scored.select("row", F.explode(F.arrays_zip("keys", "n")).alias("x"))
+    each = each.select("row", F.col("x.keys").alias("key"), F.col("x.n").alias("times"))
+    known = model.counts.where("n > 1")  # the logarithm of 1 is 0
+    parts = each.join(known, "key").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    whole = scored.drop("keys", "n").join(parts, "row", "left")
+    total = F.col("score") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))

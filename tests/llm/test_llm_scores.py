@@ -53,6 +53,17 @@ def test_scores_of_hard_tables_and_against_a_direct_sum(spark):
         assert (r[3] is None) == (r[1] == 0)
 
 
+def test_every_word_is_a_target_once_over_the_rounds():
+    gap = np.full(pll.REACH, pll.CLASSES)
+    for sizes in ([], [1], [3, 0, 15, 1], [40_000, 2]):
+        texts = [np.random.default_rng(n).integers(0, pll.CLASSES, n) for n in sizes]
+        line = np.concatenate([gap, *[x for t in texts for x in (t, gap)]]).astype("<i2")
+        for rounds in (1, 3, 8):
+            rows = [r.tolist() for turn in range(rounds) for w in pll.masked(line, turn, rounds) for r in w]
+            want = [[t[i], *c] for t in texts for i, c in enumerate(pll._contexts(t, np.arange(len(t))).tolist())]
+            assert sorted(rows) == sorted(want)
+
+
 def test_empty_table_has_no_scores(spark):
     df = docs(spark, [])
     model = pll.fit_windows(df, df["doc_id"], text_of(df))
