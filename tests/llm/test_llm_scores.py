@@ -64,6 +64,26 @@ def test_every_word_is_a_target_once_over_the_rounds():
             assert sorted(rows) == sorted(want)
 
 
+def test_words_of_a_class_have_their_own_chances(spark):
+    named = " ".join(f"n{i} n{i}\x1cn{i} n{i}" for i in range(pll.CLASSES - pll.BUCKETS))
+    group = {}
+    for w in (f"r{i}" for i in range(10_000)):
+        group.setdefault(zlib.crc32(w.encode()) % pll.BUCKETS, []).append(w)
+    twice, once, never = group[5][:3]
+    df = docs(spark, [(1, named, "en", "s"), (2, f"{twice} {once}", "en", "s"), (3, twice, "en", "s")])
+    model = pll.fit_windows(df, df["doc_id"], text_of(df))
+    test = docs(spark, [(1, twice, "en", "s"), (2, once, "en", "s"), (3, never, "en", "s"), (3, f"n1 {twice} {twice}", "en", "s")])
+    got = [(r[1], r[2]) for r in pll.score_documents(test, test["doc_id"], text_of(test), model).orderBy("doc_id", "n_tokens").collect()]
+    assert [n for n, _ in got] == [1, 1, 1, 3]
+    ids = pll.classes_of(f"n1 {twice} {twice}", model.words).astype(np.int64)
+
+    def direct(ids):
+        return pll.log_chances(model.parameters, pll._contexts(ids, np.arange(len(ids))), ids).astype(float).sum()
+
+    want = [direct(ids[1:2]) + np.log(n / 4) for n in (2, 1, 1)] + [direct(ids) + 2 * np.log(2 / 4)]
+    assert np.allclose([x for _, x in got], want, atol=1e-4)
+
+
 def test_empty_table_has_no_scores(spark):
     df = docs(spark, [])
     model = pll.fit_windows(df, df["doc_id"], text_of(df))
