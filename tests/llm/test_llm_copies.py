@@ -137,6 +137,18 @@ def test_all_near_copies_among_many_holders_of_a_piece(spark):
     assert len(want) == 60 and got == want
 
 
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(49, 100))]
+        copy = list(base)
+        copy[len(base) // 2] = f"e{n}"
+        texts += [" ".join(base), " ".join(copy)]
+    got, want = same_groups(spark, texts)
+    assert len(want) == 300 and got == want
+
+
 def _long(x, seed=42):
     return xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
 
