@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import decontam, linededup, packing, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
+from headwater.llm import decontam, linededup, packing, prefixcounts, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
 from headwater.llm.common import read, text_of
 from headwater.llm.oracle import ORACLE as ORACLE
 
@@ -82,6 +82,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, pages["page_id"], pages["url"], urlfilter.rules_table(spark, rules)).drop("pattern")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return prefixcounts.count_tokens(docs, docs["doc_id"], docs["text"], byte_tokenizer)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudolikelihood": op1_pseudolikelihood,
     "op2_decontamination": op2_decontamination,
@@ -93,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_lines": op9_lines,
     "op10_urls": op10_urls,
-}
\ No newline at end of file
+    "op11_token_counts": op11_token_counts,
+}

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
