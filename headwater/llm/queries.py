@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import decontam, linededup, packing, prefixcounts, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
+from headwater.llm import conversations, decontam, linededup, packing, prefixcounts, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
 from headwater.llm.common import read, text_of
 from headwater.llm.oracle import ORACLE as ORACLE
 
@@ -93,6 +93,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcounts.count_tokens(docs, docs["doc_id"], docs["text"], byte_tokenizer)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(turns, *[turns[c] for c in ("conv_id", "turn", "role", "text")]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudolikelihood": op1_pseudolikelihood,
     "op2_decontamination": op2_decontamination,
@@ -105,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_urls": op10_urls,
     "op11_token_counts": op11_token_counts,
+    "op12_conversations": op12_conversations,
 }
