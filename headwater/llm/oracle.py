@@ -98,4 +98,41 @@ def _op10() -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict FROM a"""
 
 
-ORACLE = {"op3_warc": OP3, "op5_secrets": OP5, "op9_lines": OP9, "op10_urls": _op10()}
+OP13 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]') AS cut
+    FROM documents
+), p AS (SELECT lang, unnest(cut) AS piece FROM d),
+w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^ \t]+') AS word FROM p),
+g AS (SELECT lang, piece, unnest(word) AS x, unnest(range(len(word))) AS i FROM w),
+s AS (SELECT lang, x, lead(x) OVER q AS y, lead(x, 2) OVER q AS z FROM g WINDOW q AS (PARTITION BY piece ORDER BY i)),
+f AS (
+    SELECT lang, 1 AS k, x AS phrase, count(*) AS n FROM s GROUP BY ALL
+    UNION ALL SELECT lang, 2 AS k, x || ' ' || y AS phrase, count(*) AS n FROM s WHERE y IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3 AS k, x || ' ' || y || ' ' || z AS phrase, count(*) AS n FROM s WHERE z IS NOT NULL GROUP BY ALL
+),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS word FROM f WHERE k > 1 AND n >= 10),
+covered AS (
+    SELECT s.lang, s.phrase FROM c AS s JOIN (
+        SELECT lang, n, unnest([array_to_string(word[1:2], ' '), array_to_string(word[2:3], ' ')]) AS phrase FROM c WHERE k = 3
+    ) AS b ON b.lang = s.lang AND b.phrase = s.phrase WHERE s.k = 2 AND 100 * b.n >= 50 * s.n
+),
+cuts AS (
+    SELECT c.lang, c.phrase, c.n AS a, cut, x.n AS l, y.n AS r,
+        ((1000000::HUGEINT * c.n * c.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+    FROM c CROSS JOIN (VALUES (1), (2)) AS place(cut)
+    JOIN f AS x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(c.word[1:cut], ' ')
+    JOIN f AS y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(c.word[cut + 1:c.k], ' ')
+    WHERE cut < c.k
+),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM worst ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, t.n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {"op3_warc": OP3, "op5_secrets": OP5, "op9_lines": OP9, "op10_urls": _op10(), "op13_collocations": OP13}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import conversations, decontam, linededup, packing, prefixcounts, pseudolikelihood, quality, secrets, simhash, urlfilter, warc, winnow
+from headwater.llm import (
+    collocations, conversations, decontam, linededup, packing, prefixcounts, pseudolikelihood, quality, secrets, simhash,
+    urlfilter, warc, winnow,
+)
 from headwater.llm.common import read, text_of
 from headwater.llm.oracle import ORACLE as ORACLE
 
@@ -98,6 +101,11 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(turns, *[turns[c] for c in ("conv_id", "turn", "role", "text")]))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return collocations.collocations(docs, docs["lang"], docs["text"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudolikelihood": op1_pseudolikelihood,
     "op2_decontamination": op2_decontamination,
@@ -111,4 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
     "op11_token_counts": op11_token_counts,
     "op12_conversations": op12_conversations,
+    "op13_collocations": op13_collocations,
 }
