@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.storage import new_path, write_table
+from headwater.storage import new_path
 
 #: Payloads from this size on are written once; later records of the same payload are revisits.
 REVISIT_BYTES = 100
+#: Payloads of more records than this are joined from a broadcast table, if all of these are of no more bytes than that.
+HOT, HOT_BYTES = 10_000, 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass(frozen=True)
 class Archive:
-    """``headers(page_id, digest, payload_bytes, warc_header, http_header)``, ``payloads(digest, payload)``."""
+    """``headers(page_id, digest, payload_bytes, warc_header, http_header)``, ``payloads(digest, copies, payload_bytes,
+    payload)``: two tables in the same buckets of digests, so that they meet without a shuffle."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -70,12 +74,41 @@ def write_archive(
         .selectExpr("*", f"{http} http_header")
         .selectExpr("page_id", "digest", "payload_bytes", f"{head} warc_header", "http_header")
     )
-    payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
-    return Archive(write_table(headers, f"{path}/headers"), write_table(payloads, f"{path}/payloads"))
+    payloads = rows.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("copies"), F.length(F.first("payload")).cast("bigint").alias("payload_bytes"), F.first("payload").alias("payload")
+    )
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, table in (("headers", headers.repartition(buckets, "digest")), ("payloads", payloads)):
+        # Rows come spread by digest over as many tasks as there are buckets, so a bucket is one file.
+        writer = table.write.bucketBy(buckets, "digest").option("path", f"{path}/{name}").mode("overwrite")
+        writer.saveAsTable(_table_name())
+    layout = [(buckets, headers.schema["page_id"].dataType.simpleString())]
+    spark.createDataFrame(layout, "buckets int, id_type string").write.mode("overwrite").parquet(f"{path}/layout")
+    return open_archive(spark, path)
+
+
+def _table_name() -> str:
+    return f"warc_{uuid.uuid4().hex}"
+
+
+_TABLES = {
+    "headers": "page_id {}, digest string, payload_bytes bigint, warc_header string, http_header string",
+    "payloads": "digest string, copies bigint, payload_bytes bigint, payload binary",
+}
 
 
 def open_archive(spark: SparkSession, path: str) -> Archive:
-    return Archive(spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads"))
+    """The archive under ``path``. Its tables are named in the session's catalog, which is how Spark knows their buckets."""
+    buckets, id_type = spark.read.parquet(f"{path}/layout").first()
+    found = {}
+    for name, columns in _TABLES.items():
+        table = _table_name()
+        spark.sql(
+            f"CREATE TABLE {table} ({columns.format(id_type)}) USING parquet "
+            f"CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/{name}'"
+        )
+        found[name] = spark.table(table)
+    return Archive(**found)
 
 
 def read_records(archive: Archive) -> DataFrame:
@@ -91,10 +124,16 @@ def read_records(archive: Archive) -> DataFrame:
         .alias("payload"),
     )
     joined = archive.headers.join(checked, "digest", "left")
+    hot = archive.payloads.where(F.col("copies") > HOT)
+    if 0 < (hot.agg(F.sum("payload_bytes")).first()[0] or 0) <= HOT_BYTES:
+        # A bucket with a payload of very many records would be one long task: those records stay where they are.
+        known = F.broadcast(hot.select("digest"))
+        alike = archive.headers.join(F.broadcast(checked.join(known, "digest", "left_semi")), "digest")
+        joined = archive.headers.join(known, "digest", "left_anti").join(checked, "digest", "left").unionByName(alike)
     whole = F.when(F.length("payload") == F.col("payload_bytes"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload missing or of another size: "), "digest")).cast("binary")
     )
-    block = F.when(F.col("warc_header").contains("WARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
+    block = F.when(F.col("warc_header").startswith("WARC/1.1\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
     head = F.encode(F.concat("warc_header", "http_header"), "UTF-8")
     return joined.withColumn("payload", whole).select(
         "page_id",

@@ -27,13 +27,18 @@ def archived(df):
     return warc.write_archive(df, df["page_id"], df["url"], df["html"])
 
 
-def test_records_come_back_byte_for_byte(spark):
+@pytest.mark.parametrize("hot", [None, 0, 2])
+def test_records_come_back_byte_for_byte(spark, monkeypatch, hot):
     big, small = "ä" * 60, "b" * 99
     rows = [
         (5, "http://a.example/", big), (3, "http://b.example/\r\nX: y", big), (9, None, big), (3, "http://b2.example/", big),
         (None, "http://c.example/", big), (1, "u", small), (2, "u", small), (4, "u" * 9000, None), (6, "u", ""),
         (None, "only", "n" * 200), (None, "only", "n" * 200), (7, "z", "\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n" * 10),
+        (8, "http://d.example/WARC-Type: revisit", "like a header " * 20), (11, "WARC/1.1\r\nWARC-Type: revisit\r\n", "another " * 20),
+        (12, "http://e.example/\r\nWARC-Type: revisit\r\nX: y", "a third " * 20),
     ]
+    if hot is not None:
+        monkeypatch.setattr(warc, "HOT", hot)
     archive = archived(pages(spark, rows))
     assert archive.payloads.count() == len({h or "" for _, _, h in rows})
     records = warc.read_records(archive)
@@ -66,6 +71,25 @@ def test_a_changed_payload_fails(spark):
         warc.read_records(gone).collect()
 
 
+def test_payloads_meet_their_headers_without_a_shuffle(spark):
+    df = pages(spark, [(n, "u", f"{n % 7} " * 200) for n in range(50)])
+    archive = archived(df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.read_records(archive)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_an_archive_is_opened_by_its_path(spark, tmp_path):
+    df = pages(spark, [(n, "u", f"{n % 7} " * 200) for n in range(50)])
+    made = warc.write_archive(df, df["page_id"], df["url"], df["html"], path=str(tmp_path / "archive"))
+    again = warc.open_archive(spark, str(tmp_path / "archive"))
+    for a, b in ((made.headers, again.headers), (made.payloads, again.payloads)):
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
 def test_empty_archive(spark):
     assert warc.parse_records(warc.read_records(archived(pages(spark, [])))).count() == 0
 
