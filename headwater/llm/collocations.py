@@ -25,7 +25,7 @@ LEAST, WITHIN = 10, 50
 #: Phrases returned for a language.
 TOP = 2000
 #: Words counted at a time, and different ones among them at most (they are numbered in 21 bits).
-CHUNK, DIFFERENT = 1_000_000, 1 << 20
+CHUNK, DIFFERENT = 600_000, 1 << 20
 #: The table of slots has a bit for every so many bytes of text, 2^MOST_BITS at most: 64 MB.
 BYTES_A_SLOT, MOST_BITS = 4, 29
 #: Parts of the table, counted apart.
