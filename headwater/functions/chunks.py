@@ -8,8 +8,9 @@ holds a third of all rows is spread over as many tasks as it has pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -46,23 +47,35 @@ PROBE = "P"  # only asks which version holds
 _CLOSED = ""  # hex digits of the signature that stands for "closed"
 
 
+#: Gives the states of the keys it is asked for, before the first row: ``(keys, last_sig, last_kind, version)``.
+Prior = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class History:
+    """What :func:`change_history` adds to its rows, and the state of each of their keys after the last one."""
+
+    rows: DataFrame
+    after: DataFrame
+
+
 @contextmanager
 def change_history(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
     *,
-    prior: DataFrame | None = None,
+    prior: Prior | None = None,
     initial: Column | None = None,
     span: int = SPAN,
-) -> Iterator[DataFrame]:
+) -> Iterator[History]:
     """Number the states each key goes through.
 
     ``rows`` has ``keys``, ``order`` (starting with ``seq``), ``kind`` and ``sig``. Added
     columns: ``changed`` (this row opens a new version), ``version`` (count of versions so
     far), ``live`` (the key has an open version after this row), ``closed`` (this row ends
-    an open version). ``prior`` holds the state before the first row as (keys, ``last_sig``,
-    ``last_kind``, ``version``); ``initial`` is the signature of a key never seen before.
+    an open version). ``prior`` is asked for the states before the first row of the keys that
+    have rows, and for no others; ``initial`` is the signature of a key never seen before.
 
     The rows, shuffled by (key, piece), are read twice: for the summaries and for the result. They
     are kept on executor disks while the context is open, so what leads to them runs once and
@@ -95,8 +108,7 @@ def change_history(
         F.sum(F.coalesce(settled, F.lit(False)).cast("bigint")).alias("_n"),
     )
     if prior is not None:
-        touched = summary.select(*keys).distinct()
-        seeds = prior.join(touched, keys, "left_semi").select(
+        seeds = prior(summary.select(*keys).distinct()).select(
             *keys,
             F.lit(-1).cast("bigint").alias("_chunk"),
             F.col("last_sig").alias("_last_def"),
@@ -117,12 +129,18 @@ def change_history(
     created = (
         (F.col("_first_kind") == INHERIT) & (F.col("_carry_kind").isNull() | (F.col("_carry_kind") == CLOSE))
     ).cast("bigint")
-    carry = (
+    made = (
         summary.withColumn("_carry_def", carry_def)
         .withColumn("_carry_kind", F.last("_last_kind", True).over(earlier))
         .withColumn("_made", F.col("_n") + F.coalesce(opened, F.lit(0)) + F.coalesce(created, F.lit(0)))
-        .withColumn("_base", F.coalesce(F.sum("_made").over(earlier), F.lit(0)))
-        .select(*keys, "_chunk", "_carry_def", "_carry_kind", "_base")
+    )
+    carry = made.withColumn("_base", F.coalesce(F.sum("_made").over(earlier), F.lit(0))).select(
+        *keys, "_chunk", "_carry_def", "_carry_kind", "_base"
+    )
+    after = made.groupBy(*keys).agg(
+        F.max_by("_last_def", F.when(F.col("_last_def").isNotNull(), F.col("_chunk"))).alias("last_sig"),
+        F.max_by("_last_kind", F.when(F.col("_last_kind").isNotNull(), F.col("_chunk"))).alias("last_kind"),
+        F.sum("_made").alias("version"),
     )
 
     prev_def = F.coalesce("_prev_def", "_carry_def")
@@ -146,27 +164,6 @@ def change_history(
         .drop("_chunk", "_def", "_prev_def", "_prev_kind", "_carry_def", "_carry_kind", "_base")
     )
     try:
-        yield result
+        yield History(result, after)
     finally:
         local.unpersist()
-
-
-def latest_state(steps: DataFrame, keys: list[str], order: list[str], prior: DataFrame | None = None) -> DataFrame:
-    """State of each key after ``steps``, in the shape ``change_history`` takes as ``prior``."""
-    kind = F.col("kind")
-    position = F.struct(*order)
-    definer = F.when(kind == STATE, F.col("sig")).when(kind == CLOSE, F.unhex(F.lit(_CLOSED)))
-    now = steps.groupBy(*keys).agg(
-        F.max_by(definer, F.when(definer.isNotNull(), position)).alias("last_sig"),
-        F.max_by("kind", F.when(kind != PROBE, position)).alias("last_kind"),
-        F.max("version").alias("version"),
-    )
-    if prior is None:
-        return now
-    old = prior.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in ("last_sig", "last_kind", "version")])
-    return now.join(old, keys, "full_outer").select(
-        *keys,
-        F.coalesce("last_sig", "_old_last_sig").alias("last_sig"),
-        F.coalesce("last_kind", "_old_last_kind").alias("last_kind"),
-        F.coalesce("version", "_old_version").alias("version"),
-    )

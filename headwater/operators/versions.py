@@ -11,18 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.functions.chunks import CLOSE, INHERIT, PROBE, SPAN, STATE, change_history
+from headwater.functions.chunks import CLOSE, INHERIT, PROBE, SPAN, STATE, Prior, change_history
 from headwater.functions.names import signature
 from headwater.schemas import FIELDS
 
 # Stores a DataFrame under a name and returns it read back.
 Write = Callable[[str, DataFrame], DataFrame]
+# Stores the states of the keys that a batch touched.
+Keep = Callable[[str, DataFrame], None]
+
+
+def _forget(name: str, state: DataFrame) -> None:
+    """For a model that no later batch continues."""
+
 
 TABLE_ORDER = ["seq", "side", "pos"]
 JOB_ORDER = ["seq"]
 
-# Sides of an event, in the order the event is applied.
-_INPUT, _OUTPUT, _PROBE = 0, 1, 2
+# Sides of an event, in the order the event is applied; a snapshot comes after the event whose number it shares.
+_INPUT, _OUTPUT, _PROBE, _LISTED, _REMOVED = 0, 1, 2, 3, 4
 
 
 def table_observations(events: DataFrame) -> DataFrame:
@@ -84,7 +91,7 @@ def snapshot_observations(snapshot: DataFrame, removed: DataFrame, seq: int, ts)
         listed.unionByName(gone)
         .withColumn("seq", F.lit(seq).cast("bigint"))
         .withColumn("ts", F.lit(ts).cast("timestamp"))
-        .withColumn("side", F.when(F.col("kind") == CLOSE, 1).otherwise(0))
+        .withColumn("side", F.when(F.col("kind") == CLOSE, _REMOVED).otherwise(_LISTED))
         .withColumn("pos", F.lit(0))
         .withColumn("sig", F.when(F.col("kind") == STATE, signature(F.col("fields"))))
     )
@@ -95,10 +102,13 @@ def schema_dictionary(observations: DataFrame) -> DataFrame:
     return observations.filter(F.col("kind") == STATE).select("sig", "fields").distinct()
 
 
-def table_steps(write: Write, observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def table_steps(
+    write: Write, observations: DataFrame, prior: Prior | None = None, span: int = SPAN, keep: Keep = _forget
+) -> DataFrame:
     """Version of every observed table at every observation."""
-    with change_history(observations.drop("fields"), ["tbl"], TABLE_ORDER, prior=prior, span=span) as steps:
-        return write("table_steps", steps)
+    with change_history(observations.drop("fields"), ["tbl"], TABLE_ORDER, prior=prior, span=span) as history:
+        keep("table_state", history.after)
+        return write("table_steps", history.rows)
 
 
 def table_starts(steps: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -175,10 +185,13 @@ def sql_dictionary(events: DataFrame) -> DataFrame:
     )
 
 
-def job_steps(write: Write, observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def job_steps(
+    write: Write, observations: DataFrame, prior: Prior | None = None, span: int = SPAN, keep: Keep = _forget
+) -> DataFrame:
     """Version of the job at every model-updating event."""
-    with change_history(observations, ["job"], JOB_ORDER, prior=prior, span=span) as steps:
-        return write("links", steps.drop("live", "closed"))
+    with change_history(observations, ["job"], JOB_ORDER, prior=prior, span=span) as history:
+        keep("job_state", history.after)
+        return write("links", history.rows.drop("live", "closed"))
 
 
 def job_starts(steps: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -260,11 +273,24 @@ def set_observations(steps: DataFrame, signatures: DataFrame) -> DataFrame:
     )
 
 
-def set_steps(write: Write, observations: DataFrame, prior: DataFrame | None = None, span: int = SPAN) -> DataFrame:
-    """Number of the transformation set in force within the job version at every such event."""
+def set_steps(
+    write: Write, observations: DataFrame, prior: Prior | None = None, span: int = SPAN, keep: Keep = _forget
+) -> DataFrame:
+    """Number of the transformation set in force within the job version at every such event.
+
+    Only a job's newest version can get another set, so its state is one row a job.
+    """
     keys, initial = ["job", "job_version"], empty_set_signature()
-    with change_history(observations, keys, JOB_ORDER, prior=prior, initial=initial, span=span) as steps:
-        return write("sets", steps.withColumnRenamed("version", "set_no").drop("live", "closed"))
+    with change_history(observations, keys, JOB_ORDER, prior=prior, initial=initial, span=span) as history:
+        state = F.struct("job_version", "last_sig", "last_kind", "version")
+        keep("set_state", history.after.groupBy("job").agg(F.max_by(state, "job_version").alias("s")).select("job", "s.*"))
+        return write("sets", history.rows.withColumnRenamed("version", "set_no").drop("live", "closed"))
+
+
+def newest_schemas(starts: DataFrame) -> DataFrame:
+    """``(tbl, namespace, schema_name, version, fields)`` of the last version of each table in ``starts``."""
+    newest = F.max_by(F.struct("namespace", "schema_name", "version", "fields"), "version")
+    return starts.groupBy("tbl").agg(newest.alias("s")).select("tbl", "s.*")
 
 
 def transformation_starts(steps: DataFrame, resolved: DataFrame) -> DataFrame:

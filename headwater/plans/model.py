@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.functions.chunks import SPAN, latest_state
+from headwater.functions.chunks import CLOSE, PROBE, SPAN, STATE, Prior
 from headwater.operators import versions as v
 from headwater.operators.parse import good_events, parse_events
 from headwater.operators.sync import sync_removed
@@ -137,6 +137,17 @@ class LineageModel:
         """One version, open or not."""
         return self.table_versions().filter((F.col("tbl") == tbl) & (F.col("version") == version))
 
+    def table_states(self, asked: DataFrame) -> DataFrame:
+        """Where the tables of ``asked(tbl)`` stand after all their observations, for one more batch."""
+        steps = self.steps.join(asked, "tbl", "left_semi").filter(F.col("kind") != PROBE)
+        position, kind = F.struct(*v.TABLE_ORDER), F.col("kind")
+        definer = F.when(kind == STATE, F.col("sig")).when(kind == CLOSE, F.unhex(F.lit("")))
+        return steps.groupBy("tbl").agg(
+            F.max_by(definer, F.when(definer.isNotNull(), position)).alias("last_sig"),
+            F.max_by("kind", position).alias("last_kind"),
+            F.max("version").alias("version"),
+        )
+
     # -- jobs -----------------------------------------------------------------------------
 
     def job_versions(self) -> DataFrame:
@@ -260,37 +271,41 @@ class LineageModel:
 def advance(
     parsed: DataFrame,
     write: v.Write,
-    prior: dict[str, DataFrame] | None = None,
+    prior: dict[str, Prior] | None = None,
     span: int = SPAN,
+    keep: v.Keep = v._forget,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Apply a batch of parsed events to the model.
 
-    ``write(name, df)`` stores a DataFrame and returns it read back. ``prior`` holds what earlier
-    batches left (see :func:`next_states`). Returns the rows to append per log and the table steps.
+    ``write(name, df)`` stores a DataFrame and returns it read back. ``prior`` is asked for what earlier batches left of
+    the keys this one touches, and ``keep(name, df)`` stores what this one leaves of them: the states of tables, of
+    their newest schemas, of jobs and of jobs' transformation sets. Returns the rows to append per log and the table steps.
     """
     prior = prior or {}
     events = good_events(parsed)
     observations = v.table_observations(events)
-    steps = v.table_steps(write, observations, prior.get("table_state"), span)
+    steps = v.table_steps(write, observations, prior.get("table_state"), span, keep)
     job_rows = v.job_observations(events, v.event_tables(steps))
     starts, closings, links = together(
         parsed.sparkSession,
         lambda: write("tables", v.table_starts(steps, v.schema_dictionary(observations))),
         lambda: write("closings", v.table_closings(steps)),
-        lambda: v.job_steps(write, job_rows, prior.get("job_state"), span),
+        lambda: v.job_steps(write, job_rows, prior.get("job_state"), span, keep),
     )
 
     schemas = starts.select("tbl", "version", "fields")
     if "schema_state" in prior:
-        schemas = schemas.unionByName(prior["schema_state"])
+        named = links.select(F.explode("refs").alias("t")).select("t.tbl").distinct()
+        schemas = schemas.unionByName(prior["schema_state"](named).select("tbl", "version", "fields"))
     attributes = schemas.select("tbl", "version", F.explode("fields.name").alias("attr"))
-    jobs, resolved = together(
+    jobs, resolved, _ = together(
         parsed.sparkSession,
         lambda: write("jobs", v.job_starts(links, v.sql_dictionary(events))),
         lambda: write("resolved", v.resolved_payloads(links, v.spec_dictionary(events), attributes)),
+        lambda: keep("schema_state", v.newest_schemas(starts)),
     )
     set_rows = v.set_observations(links, v.payload_signatures(resolved))
-    sets = v.set_steps(write, set_rows, prior.get("set_state"), span)
+    sets = v.set_steps(write, set_rows, prior.get("set_state"), span, keep)
     transformations = write("transformations", v.transformation_starts(sets, resolved))
 
     logs = {
@@ -305,32 +320,6 @@ def advance(
     return logs, steps
 
 
-def next_states(
-    logs: dict[str, DataFrame], steps: DataFrame, prior: dict[str, DataFrame] | None = None
-) -> dict[str, DataFrame]:
-    """What the next batch must know: one row per table, schema, job and open transformation set."""
-    prior = prior or {}
-    job_state = latest_state(logs["links"], ["job"], v.JOB_ORDER, prior.get("job_state"))
-    sets = latest_state(
-        logs["sets"].withColumnRenamed("set_no", "version"),
-        ["job", "job_version"],
-        v.JOB_ORDER,
-        prior.get("set_state"),
-    )
-    open_jobs = job_state.select("job", F.col("version").alias("job_version"))
-    newest = logs["tables"].select("tbl", "version", "fields")
-    if "schema_state" in prior:
-        newest = newest.unionByName(prior["schema_state"])
-    return {
-        "table_state": latest_state(steps, ["tbl"], v.TABLE_ORDER, prior.get("table_state")),
-        "schema_state": newest.groupBy("tbl")
-        .agg(F.max(F.struct("version", "fields")).alias("s"))
-        .select("tbl", "s.version", "s.fields"),
-        "job_state": job_state,
-        "set_state": sets.join(open_jobs, ["job", "job_version"], "left_semi"),
-    }
-
-
 def build_model(
     events: DataFrame,
     *,
@@ -348,6 +337,26 @@ def build_model(
     return LineageModel(parsed, logs, steps)
 
 
+def sync_tables(
+    specs: DataFrame,
+    removed: DataFrame,
+    seq: int,
+    ts,
+    write: v.Write,
+    prior: Prior,
+    keep: v.Keep = v._forget,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply a snapshot's tables, and the closing of those it lacks, as observations after the event numbered ``seq``.
+
+    Returns the rows to append to the logs of tables and closings, and the table steps.
+    """
+    observations = v.snapshot_observations(specs, removed, seq, ts)
+    steps = v.table_steps(write, observations, prior, keep=keep)
+    starts = write("tables", v.table_starts(steps, v.schema_dictionary(observations)))
+    keep("schema_state", v.newest_schemas(starts))
+    return starts, write("closings", v.table_closings(steps)), steps
+
+
 def apply_snapshot(model: LineageModel, specs: DataFrame, scopes: DataFrame, seq: int, ts) -> LineageModel:
     """Sync the model with a warehouse snapshot that arrived at ``seq``.
 
@@ -355,13 +364,9 @@ def apply_snapshot(model: LineageModel, specs: DataFrame, scopes: DataFrame, seq
     one more batch of observations. A table that comes back later continues its numbering.
     """
     removed = sync_removed(specs, model.current_tables(), scopes)
-    observations = v.snapshot_observations(specs, removed, seq, ts)
     root = new_path(model.parsed.sparkSession, "sync")
-    state = latest_state(model.steps, ["tbl"], v.TABLE_ORDER)
     write = lambda name, df: write_table(df, f"{root}/{name}")
-    steps = v.table_steps(write, observations, state)
-    starts = write("tables", v.table_starts(steps, v.schema_dictionary(observations)))
-    closings = write("closings", v.table_closings(steps))
+    starts, closings, steps = sync_tables(specs, removed, seq, ts, write, model.table_states)
     logs = dict(model.logs)
     logs["tables"] = logs["tables"].unionByName(starts)
     logs["closings"] = logs["closings"].unionByName(closings)

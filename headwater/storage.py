@@ -56,6 +56,22 @@ def write_counted(df: DataFrame, path: str) -> int:
     return int(seen.get["n"])
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _file_system(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote; one that is not there is no error."""
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
     """Run independent actions at the same time, so that small ones share the cluster.
 
