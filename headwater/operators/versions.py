@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from headwater.functions.chunks import CLOSE, INHERIT, PROBE, SPAN, STATE, Prior, change_history
 from headwater.functions.names import signature
 from headwater.schemas import FIELDS
+from headwater.storage import together
 
 # Stores a DataFrame under a name and returns it read back.
 Write = Callable[[str, DataFrame], DataFrame]
@@ -28,6 +29,10 @@ def _forget(name: str, state: DataFrame) -> None:
 TABLE_ORDER = ["seq", "side", "pos"]
 JOB_ORDER = ["seq"]
 
+def _both(df: DataFrame, write: Callable[[], DataFrame], keep: Callable[[], None]) -> DataFrame:
+    return together(df.sparkSession, write, keep)[0]
+
+
 # Sides of an event, in the order the event is applied; a snapshot comes after the event whose number it shares.
 _INPUT, _OUTPUT, _PROBE, _LISTED, _REMOVED = 0, 1, 2, 3, 4
 
@@ -107,8 +112,7 @@ def table_steps(
 ) -> DataFrame:
     """Version of every observed table at every observation."""
     with change_history(observations.drop("fields"), ["tbl"], TABLE_ORDER, prior=prior, span=span) as history:
-        keep("table_state", history.after)
-        return write("table_steps", history.rows)
+        return _both(history.after, lambda: write("table_steps", history.rows), lambda: keep("table_state", history.after))
 
 
 def table_starts(steps: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -190,8 +194,8 @@ def job_steps(
 ) -> DataFrame:
     """Version of the job at every model-updating event."""
     with change_history(observations, ["job"], JOB_ORDER, prior=prior, span=span) as history:
-        keep("job_state", history.after)
-        return write("links", history.rows.drop("live", "closed"))
+        rows = history.rows.drop("live", "closed")
+        return _both(rows, lambda: write("links", rows), lambda: keep("job_state", history.after))
 
 
 def job_starts(steps: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -283,8 +287,9 @@ def set_steps(
     keys, initial = ["job", "job_version"], empty_set_signature()
     with change_history(observations, keys, JOB_ORDER, prior=prior, initial=initial, span=span) as history:
         state = F.struct("job_version", "last_sig", "last_kind", "version")
-        keep("set_state", history.after.groupBy("job").agg(F.max_by(state, "job_version").alias("s")).select("job", "s.*"))
-        return write("sets", history.rows.withColumnRenamed("version", "set_no").drop("live", "closed"))
+        left = history.after.groupBy("job").agg(F.max_by(state, "job_version").alias("s")).select("job", "s.*")
+        rows = history.rows.withColumnRenamed("version", "set_no").drop("live", "closed")
+        return _both(rows, lambda: write("sets", rows), lambda: keep("set_state", left))
 
 
 def newest_schemas(starts: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Arrays are joined to text and timestamps lose their zone, so results compare acr
 
 from __future__ import annotations
 
+import contextlib
+import datetime
 from collections.abc import Callable
 from functools import cached_property
 
@@ -80,6 +82,11 @@ class Workbench:
     def snapshot(self) -> DataFrame:
         return cols.table_specs(cols.information_schema_columns(self.catalog_rows))
 
+    @cached_property
+    def synced(self) -> ModelStream:
+        middle = F.col("seq") <= self.last_seq // 2
+        return _synced(self, middle, ~middle)
+
     @cached_property
     def last_seq(self) -> int:
         return self.model.events.agg(F.max("seq")).first()[0]
@@ -423,19 +430,6 @@ def table_influence(w):
     return named.select("tbl", rounded("influence"))
 
 
-@query
-def influence_growing(w):
-    """Influence over cycles that shrink, stay even or grow without end, three tables for every supplier."""
-    named = lambda end: F.concat(F.lit(end), F.col("key").cast("string"))
-    back = F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0)), (F.col("key") % 3 + 1).cast("int"))
-    edge = lambda a, b, weight: F.struct(named(a).alias("source"), named(b).alias("target"), weight.alias("weight"))
-    keys = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
-    loops = F.array(edge("x", "y", F.lit(2.0)), edge("y", "x", back), edge("z", "x", F.lit(0.5)))
-    edges = materialize(keys.select(F.explode(loops).alias("e")).select("e.*"), "growing")
-    graph = g.table_graph(edges, edges.select(F.col("source").alias("tbl")).distinct())
-    return graph.name(g.influence(graph), tbl="source").select("tbl", rounded("influence"))
-
-
 @query
 def connectivity_loss(w):
     loss = w.graph.name(g.connectivity_loss(w.graph, w.pairs), tbl="id")
@@ -580,9 +574,43 @@ def sync_sources_masked(w):
     return sync.masked_sources(derived.derived_sources(w.spark, w.sf_dir)).select("source_id", "dsn")
 
 
+def _synced(w: Workbench, upto: Column, after: Column) -> ModelStream:
+    """A model of the events ``upto`` some arrival, synced with the warehouse by four sources, then of those ``after``.
+
+    Sources 1 to 3 read a layer each; source 3 cannot be reached the second time, and source 4 is of no known kind.
+    """
+    stream = ModelStream(w.spark, new_path(w.spark, "synced"))
+    parsed = w.model.parsed
+    stream.apply(parsed.where(upto), 0)
+    known = stream.model().current_tables()
+    specs = materialize(cols.table_specs(cols.information_schema_columns(derived.derived_catalog_rows(known))), "specs")
+
+    def unreachable() -> DataFrame:
+        raise ConnectionError("no route to host")
+
+    def unknown_kind() -> DataFrame:
+        raise ValueError("Unsupported source_type: oracle")
+
+    layer = lambda n: lambda: specs.where(F.col("schema_name") == f"l{n}")
+    runs = [(1, 1, layer(1)), (2, 1, layer(2)), (3, 1, layer(3)), (3, 2, unreachable), (4, 1, unknown_kind)]
+    for minute, (source, run, inspect) in enumerate(runs):
+        at = datetime.datetime(2100, 1, 1, 0, minute, tzinfo=datetime.timezone.utc)
+        with contextlib.suppress(ConnectionError, ValueError):
+            stream.sync(source, run, inspect, at=at)
+    stream.apply(parsed.where(after), 1)
+    return stream
+
+
 @query
 def sync_status(w):
-    return sync.sync_status(derived.derived_sync_runs(w.spark, w.sf_dir))
+    """Where each source stands after its runs, as the model's own log of them has it."""
+    return sync.sync_status(w.synced.sync_results())
+
+
+@query
+def sync_then_ingest(w):
+    """All table versions of a log in which syncs stand between two batches of events."""
+    return _table_rows(w.synced.model().table_versions())
 
 
 # -- streams -----------------------------------------------------------------------------

@@ -89,20 +89,6 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derived_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sync-run log: every event is one run of one of fifty sources; error events fail."""
-    failed = F.col("event_type") == "error"
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        (F.col("user_id") % 50).alias("source_id"),
-        F.col("event_id").alias("run_no"),
-        F.col("ts").alias("run_at"),
-        F.when(~failed, F.concat(F.lit('{"actual_tables":'), (F.col("event_id") % 100).cast("string"), F.lit("}"))).alias(
-            "result"
-        ),
-        F.when(failed, F.concat(F.lit("failed: "), F.col("props"))).alias("error"),
-    )
-
-
 def derived_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user's question per supplier: about a table, and an attribute of it."""
     key = F.col("s_suppkey")

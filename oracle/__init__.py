@@ -154,11 +154,6 @@ _FINAL = {
       SELECT n.tbl, CASE WHEN b.tbl IS NULL THEN coalesce(max(w.layer), 0) END AS layer, b.tbl IS NOT NULL AS cyclic
       FROM nodes n LEFT JOIN walk w USING (tbl) LEFT JOIN behind b USING (tbl) GROUP BY n.tbl, b.tbl""",
     "table_influence": "SELECT tbl, round(influence, 6) AS influence FROM influence",
-    "influence_growing": """
-      SELECT kind || s_suppkey AS tbl, CASE WHEN s_suppkey % 3 = 2 THEN 'inf'::DOUBLE
-        WHEN s_suppkey % 3 = 0 THEN CASE kind WHEN 'x' THEN 2.5 WHEN 'y' THEN 0.75 ELSE 1.5 END
-        ELSE CASE kind WHEN 'x' THEN 3.0 ELSE 1.5 END END::DOUBLE AS influence
-      FROM supplier CROSS JOIN (SELECT unnest(['x', 'y', 'z']) AS kind)""",
     "connectivity_loss": """
       SELECT tbl, lost, round(CASE WHEN total > 0 THEN lost / total ELSE 0 END, 6) AS connectivity_loss FROM loss""",
     "critical_tables": "SELECT tbl, influence, connectivity_loss, usage, score FROM scores",
@@ -248,12 +243,24 @@ _FINAL = {
         WHEN 1 THEN 'http://***@host/' WHEN 2 THEN 'spark://host' || s_suppkey || ':7077'
         ELSE 'postgresql://u:***@h@x/' END AS dsn FROM supplier""",
     "sync_status": """
-      SELECT user_id % 50 AS source_id, max(ts) AS last_run_at,
-             max(ts) FILTER (event_type <> 'error') AS last_success_at,
-             arg_max_null(CASE WHEN event_type = 'error' THEN 'failed: ' || props END, {'t': ts, 'e': event_id}) AS last_error,
-             arg_max('{"actual_tables":' || event_id % 100 || '}', {'t': ts, 'e': event_id})
-               FILTER (event_type <> 'error') AS last_result
-      FROM events GROUP BY user_id % 50""",
+      WITH lists AS (
+        SELECT source_id, count(*) FILTER (status <> 'removed') AS n,
+          coalesce(string_agg('"' || tbl || '"', ',' ORDER BY tbl) FILTER (status = 'changed'), '') AS changed,
+          coalesce(string_agg('"' || tbl || '"', ',' ORDER BY tbl) FILTER (status = 'unchanged'), '') AS unchanged,
+          coalesce(string_agg('"' || tbl || '"', ',' ORDER BY tbl) FILTER (status = 'removed'), '') AS removed
+        FROM half_diff GROUP BY source_id),
+      r AS (
+        SELECT s AS source_id, coalesce(n, 0) AS n, coalesce(changed, '') AS changed, coalesce(unchanged, '') AS unchanged,
+          coalesce(removed, '') AS removed
+        FROM (SELECT unnest([1, 2, 3]) AS s) LEFT JOIN lists ON lists.source_id = s)
+      SELECT CAST(source_id AS BIGINT) AS source_id, TIMESTAMP '2100-01-01' + to_minutes(CASE source_id WHEN 3 THEN 3 ELSE CAST(source_id AS INT) - 1 END) AS last_run_at,
+             TIMESTAMP '2100-01-01' + to_minutes(CAST(source_id AS INT) - 1) AS last_success_at,
+             CASE source_id WHEN 3 THEN 'no route to host' END AS last_error,
+             '{"actual_tables":' || n || ',"changed_tables":[' || changed || '],"unchanged_tables":[' || unchanged || '],"removed_tables":[' || removed || ']}' AS last_result
+      FROM r
+      UNION ALL
+      SELECT 4, TIMESTAMP '2100-01-01 00:04:00', NULL, 'Unsupported source_type: oracle', NULL""",
+    "sync_then_ingest": f"SELECT {_TABLE} FROM synced_versions",
     "stream_ingest_tables": f"SELECT {_TABLE} FROM table_versions",
     "stream_job_runs": "SELECT run_id, status, started_at, finished_at FROM runs",
 }

@@ -409,6 +409,62 @@ PARTS["diff"] = """
     AND (namespace, schema_name) IN (SELECT namespace, schema_name FROM snapshot)"""
 
 
+# The same model with syncs after the middle event: the versions so far, what the sources list, and all that follows.
+PARTS["middle"] = "SELECT max(seq) // 2 AS mid FROM ol_events"
+
+
+def _versions(observations: str) -> str:
+    """Versions of tables with closings: ``observations`` has (tbl, namespace, schema_name, table_name, seq, ts, side, pos,
+    sig), sig null for no schema and '#' for a closing."""
+    return f"""
+  WITH o AS (SELECT * FROM ({observations})),
+  a AS (SELECT *, row_number() OVER w AS n, lag(sig = '#') OVER w AS was_closed FROM (SELECT tbl, namespace, schema_name, table_name, seq, ts, side, pos, coalesce(sig, '?') AS sig FROM o) WINDOW w AS (PARTITION BY tbl ORDER BY seq, side, pos)),
+  b AS (SELECT *, last_value(CASE WHEN sig <> '?' THEN sig WHEN n = 1 OR was_closed THEN '' END IGNORE NULLS) OVER (
+          PARTITION BY tbl ORDER BY seq, side, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a),
+  c AS (SELECT *, CASE sig WHEN '#' THEN FALSE WHEN '?' THEN n = 1 OR was_closed ELSE prev IS DISTINCT FROM sig END AS opens,
+               sig = '#' AND n > 1 AND NOT was_closed AS closes FROM b),
+  d AS (SELECT *, lead(seq) OVER w AS to_seq, lead(ts) OVER w AS valid_to FROM c WHERE opens OR closes
+        WINDOW w AS (PARTITION BY tbl ORDER BY seq, side, pos))
+  SELECT tbl, namespace, schema_name, table_name,
+         CAST(row_number() OVER (PARTITION BY tbl ORDER BY seq, side, pos) AS BIGINT) AS version, seq AS from_seq, to_seq,
+         ts AS valid_from, valid_to, CASE sig WHEN '?' THEN '' ELSE sig END AS fields
+  FROM d WHERE opens"""
+
+
+PARTS["first_half"] = _versions(
+    "SELECT tbl, namespace, schema_name, table_name, seq, ts, side, pos, sig FROM table_obs CROSS JOIN middle WHERE seq <= mid"
+)
+PARTS["half_catalog"] = """
+  WITH t AS (SELECT *, CAST(regexp_extract(table_name, '([0-9]+)$', 1) AS BIGINT) AS n
+             FROM first_half WHERE to_seq IS NULL AND schema_name IN ('l1', 'l2', 'l3')),
+  f AS (SELECT *, string_split(unnest(string_split(fields, ',')), ':') AS f, unnest(range(len(string_split(fields, ',')))) AS ordinal
+        FROM (SELECT namespace, schema_name, table_name, n, replace(fields, '(10,2)', '(10|2)') AS fields FROM t WHERE n % 7 <> 3 AND fields <> '')),
+  c AS (SELECT namespace, schema_name, table_name, n, f[1] AS column_name, ordinal, replace(f[2], '|', ',') AS ty FROM f
+        UNION ALL SELECT namespace, schema_name, 'new' || n, n, 'c0', 0, 'bigint' FROM t WHERE n % 11 = 5)
+  SELECT *, CASE WHEN column_name = 'c1' AND n % 5 = 1 THEN 'numeric(12,3)'
+                 WHEN column_name = 'c2' AND n % 5 = 2 THEN 'character varying(20)'
+                 WHEN column_name = 'c2' AND n % 5 = 4 THEN 'timestamp with time zone(6)'
+                 ELSE ty END AS data_type FROM c"""
+PARTS["half_snapshot"] = """
+  SELECT namespace, schema_name, table_name, namespace || '.' || schema_name || '.' || table_name AS tbl,
+         string_agg(column_name || ':' || data_type, ',' ORDER BY ordinal) AS fields,
+         CAST(substr(schema_name, 2) AS BIGINT) AS source_id
+  FROM half_catalog GROUP BY ALL"""
+PARTS["half_diff"] = """
+  SELECT s.source_id, s.tbl, CASE WHEN s.fields = v.fields THEN 'unchanged' ELSE 'changed' END AS status,
+         s.namespace, s.schema_name, s.table_name, s.fields
+  FROM half_snapshot s LEFT JOIN first_half v ON v.tbl = s.tbl AND v.to_seq IS NULL
+  UNION ALL
+  SELECT CAST(substr(schema_name, 2) AS BIGINT), tbl, 'removed', namespace, schema_name, table_name, '#' FROM first_half
+  WHERE to_seq IS NULL AND tbl NOT IN (SELECT tbl FROM half_snapshot)
+    AND (namespace, schema_name) IN (SELECT (namespace, schema_name) FROM half_snapshot)"""
+PARTS["synced_versions"] = _versions("""
+  SELECT tbl, namespace, schema_name, table_name, seq, ts, side, pos, sig FROM table_obs
+  UNION ALL
+  SELECT tbl, namespace, schema_name, table_name, mid, TIMESTAMP '2100-01-01' + to_minutes(CAST(source_id - 1 AS INT)),
+         CASE WHEN status = 'removed' THEN 4 ELSE 3 END, 0, fields FROM half_diff CROSS JOIN middle""")
+
+
 def compose(final: str) -> str:
     """``final`` with the parts it names, and theirs, in dependency order."""
     order: list[str] = []
