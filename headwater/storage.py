@@ -8,6 +8,7 @@ broadcast or shuffle joins downstream: no join in this package forces a broadcas
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, new_path(df.sparkSession, name))
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``materialize`` for tables that nothing reads once the context is left: then they are deleted."""
+    root = new_path(spark, name)
+    number = itertools.count()
+    try:
+        yield lambda df, part: write_table(df, f"{root}/{part}-{next(number)}")
+    finally:
+        remove(spark, root)
+
+
 def write_counted(df: DataFrame, path: str) -> int:
     """Write ``df`` and return its row count from the same job."""
     seen = Observation()
