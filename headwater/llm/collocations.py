@@ -8,7 +8,6 @@ way out add nothing, so the edges around them become one path.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.llm import slots
 from headwater.llm.common import map_texts
 from headwater.storage import materialize
 
@@ -26,10 +26,8 @@ LEAST, WITHIN = 10, 50
 TOP = 2000
 #: Words counted at a time, and different ones among them at most (they are numbered in 21 bits).
 CHUNK, DIFFERENT = 600_000, 1 << 20
-#: The table of slots has a bit for every so many bytes of text, 2^MOST_BITS at most: 64 MB.
-BYTES_A_SLOT, MOST_BITS = 4, 29
-#: Parts of the table, counted apart.
-PARTS_BITS = 10
+#: The table of slots has a bit for every so many bytes of text, as far as it may grow.
+BYTES_A_SLOT = 4
 
 # What ends a piece, and what ends a word.
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -112,26 +110,11 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _packed(slots: np.ndarray) -> bytes:
-    """Rising numbers as the steps between them, a byte each; 255 stands for that much and more to come."""
-    steps = np.diff(slots, prepend=0)
-    more, rest = steps // 255, (steps % 255).astype(np.uint8)
-    out = np.full(len(slots) + int(more.sum()), 255, dtype=np.uint8)
-    out[np.cumsum(more + 1) - 1] = rest
-    return out.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, dtype=np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
-
-
 def frequent_slots(texts: DataFrame, bits: int, least: int) -> np.ndarray:
     """One bit a slot: whether pairs and triples of words that fall into it occur ``least`` times or more, together.
 
-    Slots are counted apart in parts; the table has a fixed size. Phrases that share a slot only let each other pass.
+    Phrases that share a slot only let each other pass.
     """
-    inside = max(0, bits - PARTS_BITS)
 
     def count(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for held in _chunks(batches):
@@ -140,38 +123,10 @@ def frequent_slots(texts: DataFrame, bits: int, least: int) -> np.ndarray:
                 grams = words.grams()
                 pair, three = words.slots(grams, bits)
                 found += [pair[grams[1] != 0], three[grams[2] != 0]]
-            slots, n = np.unique(np.concatenate(found), return_counts=True)
-            n = np.minimum(n, 255).astype(np.uint8)
-            parts, at = np.unique(slots >> inside, return_index=True)
-            ends = [*at[1:], len(slots)]
-            yield {
-                "part": parts.tolist(),
-                "slots": [_packed(slots[a:b] - (p << inside)) for p, a, b in zip(parts.tolist(), at, ends)],
-                "n": [n[a:b].tobytes() for a, b in zip(at, ends)],
-            }
-
-    def add(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        def done(part: int, sums: np.ndarray) -> dict[str, list]:
-            return {"part": [part], "bits": [np.packbits(sums >= least).tobytes()]}
-
-        part, sums = None, np.zeros(0)
-        for b in batches:
-            for p, slots, n in zip(b["part"], b["slots"], b["n"]):
-                if p != part:
-                    if part is not None and (sums >= least).any():
-                        yield done(part, sums)
-                    part, sums = p, np.zeros(max(8, 1 << inside), dtype=np.int32)
-                sums[_unpacked(slots)] += np.frombuffer(n, dtype=np.uint8)
-        if part is not None and (sums >= least).any():
-            yield done(part, sums)
-
-    counted = map_texts(texts, {"lang": texts["lang"], "text": texts["text"]}, count, "part bigint, slots binary, n binary")
-    ordered = counted.repartition("part").sortWithinPartitions("part")
-    added = map_texts(ordered, {c: ordered[c] for c in ordered.columns}, add, "part bigint, bits binary")
-    table = np.zeros((1 << (bits - inside), max(1, (1 << inside) // 8)), dtype=np.uint8)
-    for r in added.collect():  # of the fixed size of the table
-        table[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return table.reshape(-1)
+            yield slots.counted(np.concatenate(found), bits)
+
+    counted = map_texts(texts, {"lang": texts["lang"], "text": texts["text"]}, count, slots.COUNTED)
+    return slots.frequent(counted, bits, least)
 
 
 def gram_counts(texts: DataFrame, least: int) -> DataFrame:
@@ -182,21 +137,18 @@ def gram_counts(texts: DataFrame, least: int) -> DataFrame:
     that is ``least`` or more.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(PARTS_BITS + 3, math.ceil(math.log2(size / BYTES_A_SLOT + 1))))
-    shared = texts.sparkSession.sparkContext.broadcast(frequent_slots(texts, bits, least))  # 2^MOST_BITS bits at most
+    bits = slots.bits_for(size / BYTES_A_SLOT)
+    shared = texts.sparkSession.sparkContext.broadcast(frequent_slots(texts, bits, least))  # of bounded size
 
     def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         frequent = shared.value
 
-        def passes(slots: np.ndarray) -> np.ndarray:
-            return (frequent[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 != 0
-
         for held in _chunks(batches):
             for lang, words in held.items():
                 grams = words.grams()
                 pair, three = words.slots(grams, bits)
-                two = passes(pair) & (grams[1] != 0)
-                all_three = two & passes(three) & (grams[2] != 0)
+                two = slots.passes(frequent, pair) & (grams[1] != 0)
+                all_three = two & slots.passes(frequent, three) & (grams[2] != 0)
                 keys = grams[0] << 42 | np.where(two, grams[1], 0) << 21 | np.where(all_three, grams[2], 0)
                 keys, n = np.unique(keys, return_counts=True)
                 names = [w.decode("utf-8", "replace") for w in words.number]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,13 @@ def _minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, put: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """``(node, root)`` for every node of ``links(src, dst)``: root is the smallest node it is connected with.
 
     Alternates the two star operations: a node's larger neighbours move to its smallest neighbour, then its smaller
     ones do. Each keeps the components, and both together end in one star per component after a number of rounds
     that grows with the logarithm of the longest chain. A hub is only ever a key of a sum or of a join, which Spark
-    reduces on the map side or splits. Rounds are written to the shared folder, so lineage stays short.
+    reduces on the map side or splits. Rounds are written with ``put``, so lineage stays short.
 
     Self links, repeated links and links with a null end are ignored; no links give no rows.
     """
@@ -34,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
         .distinct()
     )
-    edges = materialize(edges, "links")
+    edges = put(edges, "links")
     before = None
     while (now := _state(edges)) != before:
         before = now
@@ -48,6 +50,6 @@ def components(links: DataFrame) -> DataFrame:
         lows = _minimum(large)
         small = large.join(lows, "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         small = small.union(lows.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
-        edges = materialize(small, "links")
+        edges = put(small, "links")
     roots = edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(roots)

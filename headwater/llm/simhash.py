@@ -12,16 +12,17 @@ of any size costs its members times a constant.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headwater.llm import slots
 from headwater.llm.common import columns_of, map_texts, same_document
 from headwater.llm.components import components
-from headwater.storage import materialize
+from headwater.storage import materialize, scratch
 
 BITS, SEGMENT = 64, 4
 #: The join finds fingerprints within this many differing bits, which is what one common half-way point means.
@@ -90,12 +91,12 @@ def _cells(fps: DataFrame) -> DataFrame:
     return counted.selectExpr("fp", f"inline({near})")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, put: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """``(src, dst)``: of all distinct ``fp`` values that share a half-way fingerprint, each with the smallest.
 
     The components of these links are those of all pairs within ``RADIUS`` bits.
     """
-    cells = materialize(_cells(fps), "cells")
+    cells = put(_cells(fps), "cells")
     company = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     halves = cells.join(company, "cell", "left_semi").select("fp", F.explode("half").alias("half"))
     near = halves.groupBy("half").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
@@ -131,6 +132,8 @@ def simhash_components(docs: DataFrame, doc_id: Column, text: Column, words: int
 NEAR_WORDS, NEAR = 5, 0.8
 #: Shingles counted at a time for the order of keys, and how many of the most common ones it knows.
 CHUNK, COMMON = 1 << 20, 1 << 16
+#: Slots for each key in the table that tells which keys two texts may share.
+SLOTS_A_KEY = 8
 
 
 def common_shingles(docs: DataFrame, text: Column, words: int) -> np.ndarray:
@@ -172,13 +175,54 @@ def prefix_keys(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], sim
     return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: Column, text: Column, words: int, similarity: float) -> DataFrame:
+def shared_keys(held: DataFrame) -> DataFrame:
+    """``(node, n, at, key)`` for the keys of ``held(node, n, keys)`` that two rows may have in common; few others.
+
+    Most keys are in one text alone. A table of bounded size that is counted where the keys are tells, so those never
+    travel; where it is too small, more of them do.
+    """
+    many = held.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = slots.bits_for(many * SLOTS_A_KEY)
+    down = np.uint64(64 - bits)
+
+    def slots_of(keys: list[int]) -> np.ndarray:
+        return (np.array(keys, dtype=np.int64).view(np.uint64) >> down).astype(np.int64)
+
+    def count(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        found, waiting = [], 0
+        for b in batches:
+            for keys in b["keys"]:
+                found.append(np.unique(slots_of(keys)))
+                waiting += len(keys)
+            if waiting >= CHUNK:
+                yield slots.counted(np.concatenate(found), bits)
+                found, waiting = [], 0
+        if waiting:
+            yield slots.counted(np.concatenate(found), bits)
+
+    counted = map_texts(held, {"keys": held["keys"]}, count, slots.COUNTED)
+    shared = held.sparkSession.sparkContext.broadcast(slots.frequent(counted, bits, 2))  # of bounded size
+
+    def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            at = [np.flatnonzero(slots.passes(shared.value, slots_of(keys))) for keys in b["keys"]]
+            kept = [np.array(keys, dtype=np.int64)[a].tolist() for keys, a in zip(b["keys"], at)]
+            yield {"node": b["node"], "n": b["n"], "at": [a.tolist() for a in at], "key": kept}
+
+    kept = map_texts(held, {c: held[c] for c in ("node", "n", "keys")}, rows, "node bigint, n bigint, at array<int>, key array<bigint>")
+    return kept.select("node", "n", F.explode(F.arrays_zip("at", "key")).alias("x")).select("node", "n", "x.at", "x.key")
+
+
+def verified(
+    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: Column, text: Column, words: int, similarity: float,
+    put: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
     """The ``(src, dst)`` of ``pairs(a, b)`` whose whole shingle sets are ``similarity`` alike."""
     asked = pairs.select("a").union(pairs.select("b")).distinct()
     whose = nodes.join(asked, nodes["node"] == asked["a"], "left_semi")
-    whose = materialize(whose.select("node", "row.doc_id", "row.text_hash"), "near-asked")
+    whose = put(whose.select("node", "row.doc_id", "row.text_hash"), "asked")
     own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
-    texts = materialize(own.join(whose, same_document(own, whose)).select("node", "text"), "near-texts")
+    texts = put(own.join(whose, same_document(own, whose)).select("node", "text"), "texts")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
@@ -202,10 +246,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: Column
             yield out
 
     columns = {c: both[c] for c in ("a", "b", "x", "y")}
-    return materialize(map_texts(both, columns, alike, "src bigint, dst bigint"), "near-alike")
+    return put(map_texts(both, columns, alike, "src bigint, dst bigint"), "alike")
 
 
-def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR_WORDS, similarity: float = NEAR) -> DataFrame:
+def near_copies(
+    docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR_WORDS, similarity: float = NEAR,
+    put: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
     """``(doc_id, text_hash, root)`` per row: texts whose sets of ``words``-word shingles are ``similarity`` alike, and
     all they lead to, share a root. ``text_hash`` is Spark's hash of the text as it is.
 
@@ -238,40 +285,48 @@ def near_copies(docs: DataFrame, doc_id: Column, text: Column, words: int = NEAR
         docs, {"doc_id": doc_id, "text_hash": F.xxhash64(text), "text": text}, rows,
         "doc_id bigint, text_hash bigint, node bigint, fp bigint, n bigint, keys array<bigint>",
     )
-    table = materialize(read, "near")
+    table = put(read, "near")
     nodes = table.groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n")
     )
-    nodes = materialize(nodes, "near-nodes")
-    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("b")), "near-fps")
-    far = links(first.select("fp")).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b")
-    far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a")), "dst").select("a", "b")
-    alike = nodes.join(first, "fp").select(F.col("node").alias("a"), "b")
-    held = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    company = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key")
-    held = materialize(held.join(company, "key", "left_semi"), "near-held")  # few: most keys are in one text
-    least = held.groupBy("key").agg(F.min("node").alias("b"))
-    met = held.join(least, "key").select(F.col("node").alias("a"), "b")
-    pairs = far.union(alike).union(met).where("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    edges = verified(pairs, nodes, docs, doc_id, text, words, similarity)
-
-    roots = components(edges)
+    nodes = put(nodes, "nodes")
+    first = put(nodes.groupBy("fp").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b")), "node").alias("f")), "fps")
+    first = first.select("fp", "f.b", "f.n_b")
+    far = links(first.select("fp"), put).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b", "n_b")
+    far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a"), F.col("n_b").alias("n_a")), "dst")
+    alike = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
+    # The keys of one row of each text; the others of it, however many, have the same.
+    one = nodes.select(F.col("row.doc_id").alias("r_id"), F.col("row.text_hash").alias("r_hash"))
+    own = table.join(one, table["doc_id"].eqNullSafe(one["r_id"]) & (table["text_hash"] == one["r_hash"]), "left_semi")
+    held = put(shared_keys(own.select("node", "n", "keys")), "held")
+    least = held.groupBy("key").agg(
+        F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")), "node").alias("l"),
+        F.count(F.lit(1)).alias("holders"),
+    )
+    least = least.where("holders > 1").select("key", "l.*")
+    # Up to their first shared key two sets share nothing, so no more is left than the shorter rest.
+    need = lambda a, b: similarity / (1 + similarity) * (F.col(a) + F.col(b)) - 1e-6
+    met = held.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a")).join(least, "key")
+    met = met.where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need("n_a", "n_b"))
+    by_bits = far.select("a", "b", "n_a", "n_b").unionByName(alike).where(F.least("n_a", "n_b") >= need("n_a", "n_b"))
+    pairs = by_bits.select("a", "b").unionByName(met.select("a", "b")).where("a <> b")
+    pairs = put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    edges = verified(pairs, nodes, docs, doc_id, text, words, similarity, put)
+
+    roots = components(edges, put)
     grouped = held.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    grouped = materialize(grouped, "near-grouped")
+    grouped = put(grouped, "grouped")
     mixed = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    apart = materialize(grouped.join(mixed, "key", "left_semi"), "near-apart")
+    apart = put(grouped.join(mixed, "key", "left_semi"), "apart")
     small = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "root")])
     large = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
-    # Up to their first shared key two sets share nothing, so no more is left than the shorter rest.
-    need = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need("n_a", "n_b")
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     rest = small.join(large, "key").where((F.col("root_a") != F.col("root_b")) & ordered & room)
     rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    rest = put(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        roots = components(edges.union(verified(rest, nodes, docs, doc_id, text, words, similarity)))
+        roots = components(edges.union(verified(rest, nodes, docs, doc_id, text, words, similarity, put)), put)
     roots = roots.withColumnRenamed("root", "group")
     return table.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("group", "node").alias("root"))
 
@@ -281,7 +336,9 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Rows repeating both leave one. All columns stay.
     """
-    groups = materialize(near_copies(docs, docs[doc_id], F.coalesce(docs[text].cast("string"), F.lit(""))), "groups")
+    with scratch(docs.sparkSession, "near") as put:
+        groups = near_copies(docs, docs[doc_id], F.coalesce(docs[text].cast("string"), F.lit("")), put=put)
+        groups = materialize(groups, "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     kept = groups.groupBy("root").agg(F.min(rank).alias("kept")).select("kept.doc_id", "kept.text_hash")
     kept = materialize(kept, "kept")

@@ -12,6 +12,7 @@ from llm_tables import HARD, docs, rows_of
 from pyspark.sql import functions as F
 
 from headwater.llm import collocations as c
+from headwater.llm import slots
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -88,10 +89,10 @@ def test_passages_that_repeat_are_one_path(spark):
 
 def test_a_table_of_slots_too_small_for_the_corpus_changes_nothing(spark, monkeypatch):
     rng = random.Random(7)
-    rows = made(rng, 200, [f"w{n}" for n in range(25)], (0, 50))
+    rows = made(rng, 200, [f"w{n}" for n in range(7)], (0, 50))
     want = expected(rows)
-    monkeypatch.setattr(c, "MOST_BITS", 3)
-    monkeypatch.setattr(c, "PARTS_BITS", 0)
+    monkeypatch.setattr(slots, "MOST_BITS", 3)
+    monkeypatch.setattr(slots, "PARTS_BITS", 0)
     assert want and found(spark, rows) == want
 
 
@@ -107,8 +108,8 @@ def test_many_small_chunks_change_nothing(spark, monkeypatch):
 def test_packed_slots():
     rng = np.random.default_rng(1)
     for size, most in ((0, 5), (1, 1), (300, 1000), (50, 10**6), (2000, 2100)):
-        slots = np.unique(rng.integers(0, most, size))
-        assert c._unpacked(c._packed(slots)).tolist() == slots.tolist()
+        some = np.unique(rng.integers(0, most, size))
+        assert slots.unpacked(slots.packed(some)).tolist() == some.tolist()
 
 
 def test_scores_beyond_64_bits(spark):
