@@ -23,8 +23,7 @@ def word_tokenizer() -> str:
 
 def op1_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = pseudolikelihood.fit_windows(docs, docs["doc_id"], text_of(docs))
-    return pseudolikelihood.score_documents(docs, docs["doc_id"], text_of(docs), model)
+    return pseudolikelihood.score_corpus(docs, docs["doc_id"], text_of(docs))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

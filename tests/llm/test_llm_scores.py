@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from llm_tables import HARD, docs
 
 from headwater.llm import pseudolikelihood as pll
@@ -64,11 +65,14 @@ def test_every_word_is_a_target_once_over_the_rounds():
             assert sorted(rows) == sorted(want)
 
 
-def test_words_of_a_class_have_their_own_chances(spark):
+@pytest.mark.parametrize("known", [None, 1, 0])
+def test_words_of_a_class_have_their_own_chances(spark, monkeypatch, known):
+    if known is not None:
+        monkeypatch.setattr(pll, "KNOWN", known)  # all other counts are joined
     named = " ".join(f"n{i} n{i}\x1cn{i} n{i}" for i in range(pll.CLASSES - pll.BUCKETS))
     group = {}
     for w in (f"r{i}" for i in range(10_000)):
-        group.setdefault(zlib.crc32(w.encode()) % pll.BUCKETS, []).append(w)
+        group.setdefault(pll._key(w) % pll.BUCKETS, []).append(w)
     twice, once, never = group[5][:3]
     df = docs(spark, [(1, named, "en", "s"), (2, f"{twice} {once}", "en", "s"), (3, twice, "en", "s")])
     model = pll.fit_windows(df, df["doc_id"], text_of(df))
@@ -84,6 +88,18 @@ def test_words_of_a_class_have_their_own_chances(spark):
     assert np.allclose([x for _, x in got], want, atol=1e-4)
 
 
+def test_scores_of_the_corpus_are_those_of_its_documents(spark, monkeypatch):
+    rng = random.Random(3)
+    df = docs(spark, [(i, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(rng.randint(0, 90))), "en", "s") for i in range(80)])
+    monkeypatch.setattr(pll, "KNOWN", 40)
+    model = pll.fit_windows(df, df["doc_id"], text_of(df), 2)
+    apart = {r[0]: r for r in pll.score_documents(df, df["doc_id"], text_of(df), model).collect()}
+    monkeypatch.setattr(pll, "KNOWN", 1 << 19)
+    monkeypatch.setattr(pll, "MEMORY", 50)
+    for r in pll.score_corpus(df, df["doc_id"], text_of(df), 2).collect():
+        assert r[:2] == apart[r[0]][:2] and np.isclose(r[2], apart[r[0]][2], rtol=1e-3, atol=1e-3)
+
+
 def test_empty_table_has_no_scores(spark):
     df = docs(spark, [])
     model = pll.fit_windows(df, df["doc_id"], text_of(df))
