@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.operators.iterate import grow
@@ -98,11 +98,17 @@ def downstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None
     )
 
 
+def _rank(start: str, order: Column) -> Column:
+    """Places of the rows of a walk's newest round, in each start's own order: a number, however long the walk is."""
+    return F.row_number().over(Window.partitionBy(start).orderBy(order))
+
+
 def upstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None) -> DataFrame:
     """For every current attribute, or those of ``starts(tbl, attr)``: where it came from, nearest first, with the step's text.
 
-    Each ancestor is credited to the step a breadth-first walk finds first; the walk's order is
-    carried as an array key, one element per level. On a cycle an attribute is its own ancestor.
+    Each ancestor is credited to the step a breadth-first walk finds first. The walk's order among what it finds at one
+    depth is a rank: first that of the attribute it comes from, then the step. On a cycle an attribute is its own
+    ancestor.
     """
     element = F.struct("input_table", "job", "input_attribute", "seq", "pos")
     steps = materialize(
@@ -114,50 +120,47 @@ def upstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None)
         F.col("dst").alias("start"),
         F.col("src").alias("node"),
         F.lit(1).alias("depth"),
-        F.array("s.k").alias("key"),
+        _rank("dst", F.col("s.k")).alias("rank"),
         F.col("s.note").alias("note"),
     )
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
-        found = F.struct(F.concat("key", F.array("s.k")).alias("key"), F.col("s.note").alias("note"))
+        found = F.struct("rank", "s.k", F.col("s.note").alias("note"))
         return (
             newest.drop("note")
             .filter(F.col("node") != F.col("start"))
             .join(steps, F.col("node") == F.col("dst"))
             .groupBy("start", F.col("src").alias("node"))
             .agg(F.min(found).alias("f"), F.min(F.col("depth") + 1).alias("depth"))
-            .select("start", "node", "depth", "f.key", "f.note")
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            .select("start", "node", "depth", _rank("start", F.struct("f.rank", "f.k")).alias("rank"), "f.note")
         )
 
-    walked = grow(seed, step, "upstream").drop("key")
+    walked = grow(seed, step, "upstream").drop("rank")
     return graph.name(graph.name(walked, "start", "tbl", "attr"), "node", "source_table", "source_attr")
 
 
 def impact_closure(graph: AttributeGraph, starts: DataFrame) -> DataFrame:
-    """(start, node, depth, key) reachable from each start attribute; the start has depth 0.
+    """(start, node, depth, rank) reachable from each start attribute; the start has depth 0.
 
-    ``key`` is the smallest list of transformation ids leading there, which is the order a
-    first-in-first-out walk meets the nodes of one depth. The walk from several changes is the
-    minimum over the walks from each, so the closure is computed once per distinct attribute
-    and shared by all reports.
+    ``rank`` is the order in which a first-in-first-out walk meets the nodes of one depth: by the rank of the node it
+    comes from, then by transformation. The walk from several changes is the minimum over the walks from each, so the
+    closure is computed once per distinct attribute and shared by all reports.
     """
     links = materialize(
         graph.routes.groupBy("src", "dst").agg(F.min(F.struct("seq", "pos")).alias("id")), "links"
     )
     seed = starts.select(
-        F.col("id").alias("start"),
-        F.col("id").alias("node"),
-        F.lit(0).alias("depth"),
-        F.array().cast("array<struct<seq: bigint, pos: int>>").alias("key"),
+        F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("rank")
     ).distinct()
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (
             newest.join(links, F.col("node") == F.col("src"))
             .groupBy("start", F.col("dst").alias("node"))
-            .agg(F.min(F.concat("key", F.array("id"))).alias("key"), F.min(F.col("depth") + 1).alias("depth"))
+            .agg(F.min(F.struct("rank", "id")).alias("order"), F.min(F.col("depth") + 1).alias("depth"))
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            .select("start", "node", "depth", _rank("start", F.col("order")).alias("rank"))
         )
 
     return grow(seed, step, "impact")
@@ -180,7 +183,7 @@ def impact_paths(graph: AttributeGraph, changes: DataFrame) -> DataFrame:
     claimed = (
         located.join(closure, F.col("id") == F.col("start"))
         .groupBy("report", "node")
-        .agg(F.min(F.struct("depth", "place", "key", F.struct("tbl", "attr", "change_type").alias("from"))).alias("c"))
+        .agg(F.min(F.struct("depth", "place", "rank", F.struct("tbl", "attr", "change_type").alias("from"))).alias("c"))
         .select("report", "node", "c.*")
     )
     routes = graph.routes.groupBy("src", "dst", "job").agg(F.min(F.struct("seq", "pos")).alias("id"))
@@ -192,6 +195,6 @@ def impact_paths(graph: AttributeGraph, changes: DataFrame) -> DataFrame:
         "dst",
         (F.col("depth") + 1).alias("depth"),
         "place",
-        F.concat("key", F.array("id")).alias("route"),
+        F.struct("rank", "id").alias("route"),
     )
     return graph.name(paths, "dst", "affected_table", "affected_attr")

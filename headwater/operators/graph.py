@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.operators.iterate import grow
-from headwater.storage import materialize
+from headwater.storage import materialize, scratch
 
 #: The least relative gain of a product of weights that counts; smaller ones are rounding.
 GAIN = 1e-9
@@ -76,17 +77,14 @@ def table_graph(edges: DataFrame, current_tables: DataFrame) -> TableGraph:
 
 
 def reachable(graph: TableGraph, starts: DataFrame | None = None) -> DataFrame:
-    """(source, node, depth, path) for every table reachable from a current table, itself excluded.
+    """(source, node, depth) for every table reachable from a current table, itself excluded.
 
-    ``path`` is one shortest path, ends included. With ``starts(tbl)`` only those tables are walked from.
+    With ``starts(tbl)`` only those tables are walked from.
     """
     links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
     asked = graph.current(starts).select(F.col("id").alias("src"))
     seed = links.join(asked, "src", "left_semi").select(
-        F.col("src").alias("source"),
-        F.col("dst").alias("node"),
-        F.lit(1).alias("depth"),
-        F.array("src", "dst").alias("path"),
+        F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1).alias("depth")
     )
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
@@ -94,8 +92,7 @@ def reachable(graph: TableGraph, starts: DataFrame | None = None) -> DataFrame:
             newest.join(links, F.col("node") == F.col("src"))
             .filter(F.col("dst") != F.col("source"))
             .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"))).alias("r"))
-            .select("source", "node", "r.depth", "r.path")
+            .agg((F.max("depth") + 1).alias("depth"))  # all of the newest are at one depth
             .join(seen.select("source", "node"), ["source", "node"], "left_anti")
         )
 
@@ -212,44 +209,112 @@ def influence(graph: TableGraph) -> DataFrame:
     )
 
 
-def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
-    """(id, lost, connectivity_loss): connected pairs lost when a table's outgoing edges are removed.
+Put = Callable[[DataFrame, str], DataFrame]
+
 
-    A pair (s, t) is lost exactly when the table lies on every path from s to t. Such a table
-    lies on the stored shortest path, so only those are candidates; a candidate is struck out
-    when a predecessor of t can be reached without it, and each strike may cause more strikes
-    further down. No closure is recomputed per removed table.
+def _lifts(tree: DataFrame, put: Put) -> list[DataFrame]:
+    """Jumps of 1, 2, 4, ... steps up from each node of ``tree(source, node, parent)``: ``(source, node, up, hops)``.
+
+    A jump that would leave the tree ends in its source after fewer steps. The last jumps all do, so their ``hops`` are
+    the nodes' depths.
+    """
+    lifts = [tree.select("source", "node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("hops"))]
+    while not lifts[-1].filter(F.col("up") != F.col("source")).isEmpty():
+        again = lifts[-1].select("source", F.col("node").alias("up"), F.col("up").alias("further"), F.col("hops").alias("more"))
+        longer = lifts[-1].join(again, ["source", "up"], "left")
+        lifts.append(
+            put(
+                longer.select(
+                    "source", "node", F.coalesce("further", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
+                ),
+                "lift",
+            )
+        )
+    return lifts
+
+
+def _common_ancestors(meets: DataFrame, lifts: list[DataFrame]) -> DataFrame:
+    """``(source, node, parent)``: of each node of ``meets(source, node, at)`` the nearest common ancestor of all its ``at``.
+
+    They are lifted to one depth, and then together as long as they stay apart, by jumps of falling length. Places that
+    have become one are one row, so a hub's many predecessors soon are few.
+    """
+    depths = lifts[-1].select("source", F.col("node").alias("at"), F.col("hops").alias("depth"))
+    group = Window.partitionBy("source", "node")
+
+    def up(rows: DataFrame, lift: DataFrame) -> DataFrame:
+        jumps = lift.select("source", F.col("node").alias("at"), "up")
+        return rows.join(jumps, ["source", "at"], "left").withColumn("up", F.coalesce("up", "source"))
+
+    rows = meets.join(depths, ["source", "at"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("bigint")))
+    rows = rows.withColumn("high", F.col("depth") - F.min("depth").over(group)).select("source", "node", "at", "high")
+    for k, lift in enumerate(lifts):
+        wanted = F.col("high").bitwiseAND(1 << k) != 0
+        rows = up(rows, lift).select("source", "node", F.when(wanted, F.col("up")).otherwise(F.col("at")).alias("at"), "high")
+    rows = rows.select("source", "node", "at").distinct()
+    apart = F.min("at").over(group) != F.max("at").over(group)
+    still = F.min("up").over(group) != F.max("up").over(group)
+    for lift in reversed(lifts):
+        moved = up(rows, lift).withColumn("still", still)
+        rows = moved.select("source", "node", F.when(F.col("still"), F.col("up")).otherwise(F.col("at")).alias("at")).distinct()
+    last = up(rows, lifts[0]).withColumn("apart", apart)
+    return last.groupBy("source", "node").agg(F.min(F.when(F.col("apart"), F.col("up")).otherwise(F.col("at"))).alias("parent"))
+
+
+def dominator_trees(graph: TableGraph, pairs: DataFrame, put: Put) -> tuple[DataFrame, list[DataFrame]]:
+    """``(source, node, parent)`` for all of ``pairs``, and the jumps in it: ``parent`` is the last table that every path
+    from ``source`` to ``node`` goes through before it.
+
+    Begins with the trees of shortest paths. Each round, a node with several predecessors moves below the nearest common
+    ancestor of these. Ancestors only ever leave, those on every path never do, and when nothing moves the rest has
+    gone. Rows are pairs and jumps in every round, however long the paths are.
     """
     links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
-    inner = lambda path: F.slice(path, 2, F.size(path) - 2)
-    candidates = materialize(
-        pairs.filter(F.col("depth") > 1).select("source", "node", F.explode(inner(F.col("path"))).alias("via")),
-        "candidates",
+    roots = pairs.select("source").distinct()
+    depths = pairs.select("source", F.col("node").alias("src"), "depth").unionByName(
+        roots.select("source", F.col("source").alias("src"), F.lit(0).alias("depth"))
     )
-    bypassed = (
-        pairs.select("source", F.col("node").alias("src"), F.col("path").alias("before"))
-        .join(links, "src")
-        .select("source", F.col("dst").alias("node"), "before")
-        .join(pairs.filter(F.col("depth") > 1).select("source", "node", "path"), ["source", "node"])
-        .select("source", "node", F.explode(F.array_except(inner(F.col("path")), F.col("before"))).alias("via"))
-        .distinct()
+    before = depths.join(links, "src").filter(F.col("dst") != F.col("source"))
+    before = put(before.select("source", F.col("dst").alias("node"), F.col("src").alias("at"), "depth"), "before")
+    first = before.groupBy("source", "node").agg(
+        F.min(F.struct("depth", "at")).alias("first"), (F.count(F.lit(1)) > 1).alias("several")
     )
-
-    def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
-        return (
-            newest.join(links, F.col("node") == F.col("src"))
-            .select("source", F.col("dst").alias("node"), "via")
-            .distinct()
-            .join(candidates, ["source", "node", "via"], "left_semi")
-            .join(seen, ["source", "node", "via"], "left_anti")
+    tree = put(first.select("source", "node", F.col("first.at").alias("parent"), "several"), "tree")
+    meets = before.join(tree.filter("several"), ["source", "node"], "left_semi").select("source", "node", "at")
+    while True:
+        lifts = _lifts(tree, put)
+        moves = _common_ancestors(meets, lifts).withColumnRenamed("parent", "new")
+        moved = F.coalesce(F.col("new") != F.col("parent"), F.lit(False))
+        tree = put(
+            tree.drop("moved").join(moves, ["source", "node"], "left").select(
+                "source", "node", F.coalesce("new", "parent").alias("parent"), "several", moved.alias("moved")
+            ),
+            "tree",
         )
+        if tree.filter("moved").isEmpty():
+            return tree, lifts
 
-    struck = grow(bypassed, step, "bypass")
-    on_every_path = (
-        candidates.join(struck, ["source", "node", "via"], "left_anti").groupBy(F.col("via").alias("id"))
-    ).agg(F.count(F.lit(1)).alias("n"))
-    own = pairs.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    counted = on_every_path.unionByName(own).groupBy("id").agg(F.sum("n").alias("lost"))
+
+def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
+    """(id, lost, connectivity_loss): connected pairs lost when a table's outgoing edges are removed.
+
+    A pair (s, t) is lost exactly when the table lies on every path from s to t, that is, when t is below it in the
+    dominator tree of s. So a table's loss is the sum of the sizes of what is below it in all trees, and no closure is
+    computed per removed table.
+    """
+    with scratch(graph.nodes.sparkSession, "dominators") as put:
+        _, lifts = dominator_trees(graph, pairs, put)
+        # Nodes less than 1, 2, 4, ... steps below each, itself included.
+        sizes = pairs.select("source", "node").unionByName(pairs.select("source", F.col("source").alias("node")).distinct())
+        sizes = sizes.withColumn("size", F.lit(1).cast("bigint"))
+        for k, lift in enumerate(lifts):
+            whole = lift.filter(F.col("hops") == 1 << k).join(sizes, ["source", "node"])
+            below = whole.groupBy("source", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+            sizes = sizes.join(below, ["source", "node"], "left").select(
+                "source", "node", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")
+            )
+            sizes = put(sizes, "sizes")
+        counted = materialize(sizes.groupBy(F.col("node").alias("id")).agg(F.sum(F.col("size") - 1).alias("lost")), "lost")
     total = reachable_pairs(pairs).scalar()
     lost = F.coalesce("lost", F.lit(0))
     return (

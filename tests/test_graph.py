@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from headwater.operators import attributes as at
 from headwater.operators import graph as g
+from headwater.operators import iterate
 from headwater.plans.critical import highlighted
+from headwater.storage import scratch
 
 CASES = 40
 
@@ -99,6 +101,61 @@ def test_connectivity_loss_equals_removing_each_table(graph, pairs, cases):
     assert got == want
 
 
+def lost_by_removal(edges, current):
+    """Pairs lost by each table, from dominators that are found by reaching everything without it."""
+    follow = defaultdict(set)
+    for a, b in edges:
+        follow[a].add(b)
+
+    def reached(start, without=None):
+        seen, frontier = set(), {start} - {without}
+        while frontier:
+            frontier = set().union(*(follow[n] for n in frontier)) - seen - {without}
+            seen |= frontier
+        return seen - {start}
+
+    every = {s: reached(s) for s in current}
+    return {u: len(every[u]) + sum(len(r - {u}) - len(reached(s, u)) for s, r in every.items() if s != u and u in r) for u in current}
+
+
+def test_connectivity_loss_of_hubs_and_deep_chains(spark):
+    rng = random.Random(12)
+    edges = {(f"chain.t{i}", f"chain.t{i + 1}"): 1.0 for i in range(45)}
+    edges |= {("chain.t9", "chain.t12"): 1.0, ("chain.t30", "chain.t29"): 1.0, ("chain.t40", "chain.t3"): 1.0}
+    edges |= {(f"hub.in{i}", "hub.middle"): 1.0 for i in range(15)} | {("hub.middle", f"hub.out{i}"): 1.0 for i in range(15)}
+    edges |= {(f"hub.out{i}", "hub.end"): 1.0 for i in range(15)} | {("hub.in0", "hub.out3"): 1.0}
+    for case in range(4):
+        names = [f"dense{case}.t{i}" for i in range(14)]
+        edges |= {(rng.choice(names), rng.choice(names)): 1.0 for _ in range(30)}
+    current = sorted({x for e in edges for x in e})
+    graph = g.table_graph(
+        spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "source string, target string, weight double"),
+        spark.createDataFrame([(n,) for n in current], "tbl string"),
+    )
+    got = {r.tbl: r.lost for r in graph.name(g.connectivity_loss(graph, g.reachable(graph)), tbl="id").collect()}
+    assert got == lost_by_removal(edges, current)
+
+
+def test_no_loop_carries_an_array(spark, graph, pairs, attribute_graph, monkeypatch):
+    seen = {}
+    original = iterate.write_counted
+
+    def watched(df, path):
+        seen[path] = df.dtypes
+        assert "array" not in df._jdf.queryExecution().executedPlan().toString().split("Scan", 1)[0]
+        return original(df, path)
+
+    monkeypatch.setattr(iterate, "write_counted", watched)
+    g.reachable(graph).count()
+    at.upstream_attributes(attribute_graph).count()
+    at.impact_closure(attribute_graph, attribute_graph.nodes.select("id")).count()
+    assert len(seen) > 6
+    with scratch(spark, "test") as put:
+        tree, lifts = g.dominator_trees(graph, pairs, put)
+        seen |= {n: df.dtypes for n, df in enumerate([tree, *lifts])}
+    assert not [t for types in seen.values() for _, t in types if "array" in t]
+
+
 def test_layers(graph, cases):
     want = {}
     for current, edges in cases:
