@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,21 +135,47 @@ def _best_products(seed: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return grow(seed, step, name).groupBy("source", "node").agg(F.max("w").alias("w"))
 
 
+def endless_gains(arcs: DataFrame) -> DataFrame:
+    """``(hot)``: the nodes of ``arcs(hot, next, gain)`` from which a walk gains for ever.
+
+    Each round joins the best walks so far with each other, so it knows those of twice as many arcs. A node that gains on
+    a walk back to itself is endless, and so is what leads to it; both leave. Without such a circle the best walks are
+    no longer than their component has nodes, so the rounds are about the logarithm of the largest component, however
+    many there are. Rows are pairs of connected arcs above 1, not of tables.
+    """
+    walks = materialize(arcs.groupBy("hot", "next").agg(F.max("gain").alias("gain"), F.lit(True).alias("better")), "walks")
+    found = []
+    while not walks.isEmpty():
+        circles = walks.filter((F.col("hot") == F.col("next")) & (F.col("gain") > GAIN)).select("hot")
+        into = walks.join(circles.withColumnRenamed("hot", "next"), "next", "left_semi").select("hot")
+        endless = materialize(circles.unionByName(into).distinct(), "endless")
+        found.append(endless)
+        left = walks.join(endless, "hot", "left_anti").join(endless.withColumnRenamed("hot", "next"), "next", "left_anti")
+        if left.filter("better").isEmpty():
+            break
+        ahead = left.select(F.col("hot").alias("next"), F.col("next").alias("end"), F.col("gain").alias("more"))
+        longer = left.join(ahead, "next").select("hot", F.col("end").alias("next"), (F.col("gain") + F.col("more")).alias("gain"))
+        known = left.select("hot", "next", "gain", F.col("gain").alias("known"))
+        best = longer.withColumn("known", F.lit(None).cast("double")).unionByName(known).groupBy("hot", "next")
+        best = best.agg(F.max("gain").alias("gain"), F.max("known").alias("known"))
+        better = F.coalesce(F.col("gain") > F.col("known") + GAIN, F.lit(True))
+        walks = materialize(best.select("hot", "next", "gain", better.alias("better")), "walks")
+    return reduce(DataFrame.union, found).distinct() if found else arcs.select("hot").filter("false")
+
+
 def diverging(edges: DataFrame) -> DataFrame:
     """``(id)``: tables from which a walk leads into a cycle whose weights multiply to more than 1.
 
     Such a cycle has an edge above 1. From the heads of those edges the best products over the other edges, which
     cannot diverge, are walked; between the edges above 1 themselves they make a small graph of gains, in
-    logarithms so that nothing overflows. What still gains after as many rounds as that graph has nodes, gains for
-    ever; then everything upstream does.
+    logarithms so that nothing overflows (:func:`endless_gains`). Everything upstream of what gains for ever diverges.
     """
     edges = edges.filter(F.col("weight") > 0)
     hot = edges.filter(F.col("weight") > 1).select(
         F.monotonically_increasing_id().alias("hot"), "src", "dst", F.log("weight").alias("log_weight")
     )
     hot = materialize(hot, "hot-edges")
-    rounds = hot.count()
-    if not rounds:
+    if hot.isEmpty():
         return hot.select(F.col("src").alias("id"))
     heads = hot.select(F.col("dst").alias("source"), F.col("dst").alias("node"), F.lit(1.0).alias("w")).distinct()
     cold = _best_products(heads, edges.filter(F.col("weight") <= 1), "cold")
@@ -160,20 +187,8 @@ def diverging(edges: DataFrame) -> DataFrame:
         .select("hot", "next", (F.col("log_weight") + F.log("w")).alias("gain"))
     )
     arcs = materialize(arcs, "hot-arcs")
-    best = materialize(hot.select("hot", F.lit(0.0).alias("best")), "hot-gains")
-    for _ in range(rounds):
-        behind = best.select(F.col("hot").alias("next"), F.col("best").alias("then"))
-        reached = arcs.join(behind, "next").groupBy("hot").agg(F.max(F.col("gain") + F.col("then")).alias("now"))
-        gained = F.coalesce(F.col("now") > F.col("best") + GAIN, F.lit(False))
-        best = materialize(
-            best.join(reached, "hot", "left").select(
-                "hot", F.when(gained, F.col("now")).otherwise(F.col("best")).alias("best"), gained.alias("gained")
-            ),
-            "hot-gains",
-        )
-        if best.filter("gained").isEmpty():
-            return hot.filter("false").select(F.col("src").alias("id"))
-    seed = hot.join(best.filter("gained"), "hot").select(F.col("src").alias("id")).distinct()
+    endless = endless_gains(arcs)
+    seed = hot.join(endless, "hot").select(F.col("src").alias("id")).distinct()
 
     def upstream(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (

@@ -6,6 +6,7 @@ checks all of them.
 
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -228,6 +229,21 @@ def test_influence_of_three_thousand_tables(spark):
     assert all(v == pytest.approx(few[f"c{int(n[1:].split('.')[0]) % 4}.{n.split('.')[1]}"]) for n, v in got.items())
 
 
+@pytest.mark.parametrize("size, components", [(1, 30), (3, 40), (16, 4), (60, 1)])
+def test_rounds_are_logarithmic_in_the_largest_component(spark, monkeypatch, size, components):
+    arcs, want = [], set()
+    for n in range(components):
+        gains = [[-1.0, 0.5, 0.0][n % 3] / size] * size
+        arcs += [(n * size + i, n * size + (i + 1) % size, gains[i]) for i in range(size)]
+        want |= {n * size + i for i in range(size)} if gains[0] > 0 else set()
+    written = []
+    original = g.materialize
+    monkeypatch.setattr(g, "materialize", lambda df, name: written.append(name) or original(df, name))
+    got = {r.hot for r in g.endless_gains(spark.createDataFrame(arcs, "hot bigint, next bigint, gain double")).collect()}
+    assert got == want
+    assert written.count("walks") <= 2 * math.log2(size) + 5
+
+
 def test_a_cycle_of_one_but_for_rounding_ends(spark):
     edges = {("a", "b"): 3.0, ("b", "a"): 1 / 3 * (1 + 1e-12), ("c", "a"): 1.0}
     assert influence_of(spark, edges) == pytest.approx({"a": 4.0, "b": 1 / 3 + 1, "c": 4.0})
