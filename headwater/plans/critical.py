@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headwater.functions.quantile import nearest_rank
 from headwater.operators import graph as g
 from headwater.operators.runs import table_usage
 from headwater.plans.model import LineageModel
@@ -63,6 +64,6 @@ def top_critical(scores: DataFrame, limit: int = TOP) -> DataFrame:
 
 def highlighted(scores: DataFrame, quantile: float = HIGHLIGHT_QUANTILE) -> DataFrame:
     """Tables whose score reaches the nearest-rank quantile."""
-    nearest_rank = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY score)")
     scores = materialize(scores, "scores")
-    return scores.filter(F.col("score") >= scores.agg(nearest_rank).scalar())
+    threshold = nearest_rank(scores, "score", quantile)
+    return scores.filter(F.col("score") >= (0.0 if threshold is None else threshold))
