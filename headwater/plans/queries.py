@@ -21,9 +21,9 @@ from headwater.plans import critical
 from headwater.plans.model import LineageModel, apply_snapshot, build_model
 from headwater.sources import columns as cols
 from headwater.sources import derived
-from headwater.sources.events import derived_events, stream_events
+from headwater.sources.events import derived_events, stream_events, stream_lines
 from headwater.storage import materialize, new_path
-from headwater.streaming.ingest import ModelStream, RunStream
+from headwater.streaming.ingest import LineStream, ModelStream, RunStream
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -639,6 +639,20 @@ def stream_ingest_tables(w):
     return _table_rows(stream.model().table_versions())
 
 
+@query
+def stream_raw_lines(w):
+    """Raw lines that land in three ranges, numbered as they arrive."""
+    path = new_path(w.spark, "raw-lines")
+    events = materialize(derived_events(w.spark, w.sf_dir), "arrivals")
+    first, step = events.agg(F.min("seq")).first()[0], w.last_seq // 3 + 1
+    for n in range(3):
+        part = events.filter(F.col("seq").between(n * step, (n + 1) * step - 1))
+        part.repartitionByRange(LANDED_FILES, "seq").sortWithinPartitions("seq").select("raw").write.mode("append").text(path)
+    stream = LineStream(w.spark, new_path(w.spark, "lines"), first)
+    stream.start(stream_lines(w.spark, path, files_per_batch=LANDED_FILES), availableNow=True).awaitTermination()
+    return stream.events().select("seq", "raw")
+
+
 @query
 def stream_job_runs(w):
     stream = RunStream(w.spark, new_path(w.spark, "runs"))

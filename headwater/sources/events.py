@@ -9,18 +9,21 @@ from headwater.functions.chunks import running_count
 from headwater.schemas import RAW_EVENTS
 
 
-def number_lines(lines: DataFrame, start: int = 0) -> DataFrame:
-    """Give text lines a dense arrival number: file name, then place in the file.
-
-    Only one row per file split is ordered globally; the lines themselves are not sorted.
-    """
-    placed = lines.select(
+def _placed(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("value").alias("raw"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.col("_metadata.file_modification_time").alias("ts"),
-        F.monotonically_increasing_id().alias("_id"),
     )
+
+
+def number_placed(placed: DataFrame, start: int = 0) -> DataFrame:
+    """``events(seq, ts, raw)`` of lines that carry their file and split: dense numbers by file name, then place in it.
+
+    Only one row per file split is ordered globally; the lines themselves are not sorted.
+    """
+    placed = placed.withColumn("_id", F.monotonically_increasing_id())
     splits = placed.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + start)
@@ -29,6 +32,11 @@ def number_lines(lines: DataFrame, start: int = 0) -> DataFrame:
     )
 
 
+def number_lines(lines: DataFrame, start: int = 0) -> DataFrame:
+    """Give text lines a dense arrival number: file name, then place in the file."""
+    return number_placed(_placed(lines), start)
+
+
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     """``events(seq, ts, raw)`` from files of JSON lines; ``ts`` is the file's arrival time."""
     return number_lines(spark.read.text(path))
@@ -46,6 +54,12 @@ def stream_events(spark: SparkSession, path: str, fmt: str = "parquet", files_pe
     )
 
 
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """Files of JSON lines as a stream, each line with its file and split; a batch numbers them with
+    :func:`number_placed`, from where the one before ended."""
+    return _placed(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append events to a log partitioned by arrival date."""
     (

@@ -16,7 +16,8 @@ from headwater.operators.parse import FINAL_TYPES, good_events, parse_events
 from headwater.operators.runs import run_aggregates
 from headwater.plans.model import LineageModel, advance, sync_tables
 from headwater.schemas import FIELDS, RAW_EVENTS
-from headwater.storage import exists, jit_sized_methods, remove, together, write_table
+from headwater.sources.events import number_placed
+from headwater.storage import exists, jit_sized_methods, remove, together, write_counted, write_table
 from headwater.streaming.state import StateLog
 
 _HELD = "last_sig binary, last_kind string, version bigint"
@@ -145,6 +146,20 @@ class ModelStream:
         advance(none.drop("late"), write, {}, self.span, self._keep(0))
         self._mark(0, None, -1)
 
+    def start_lines(self, lines: DataFrame, **trigger) -> StreamingQuery:
+        """As :meth:`start`, for a stream of raw lines (``sources.events.stream_lines``): each batch goes on numbering
+        after the last event applied, so a batch that is repeated gives its lines the same numbers."""
+
+        def batch(placed: DataFrame, number: int) -> None:
+            with self._one_at_a_time:
+                _, last, last_batch = self._done()
+                if number > last_batch:
+                    numbered = number_placed(placed, 0 if last is None else last + 1)
+                    with jit_sized_methods(placed.sparkSession):
+                        self.apply(parse_events(numbered, sql_fallback=self.sql_fallback), number)
+
+        return lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.root}/stream").trigger(**trigger).start()
+
     # -- schema syncs -----------------------------------------------------------------------
 
     def _known_tables(self, done: int, scopes: DataFrame, specs: DataFrame) -> DataFrame:
@@ -247,6 +262,40 @@ class ModelStream:
         return late.select("seq", "ts", F.lit("arrived after a later number was applied").alias("reason"), "raw")
 
 
+class LineStream:
+    """A log of raw lines under ``root``, numbered in the order of their arrival.
+
+    A batch's numbers go on from the mark of the batch before, and its part of the log and its own mark are written over
+    when it is repeated: a replay changes nothing. Within a batch, files are taken by name.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, first: int = 0) -> None:
+        self.spark, self.root, self.first = spark, root, first
+
+    def _next(self, batch: int) -> int:
+        """The number of a batch's first line."""
+        if batch == 0:
+            return self.first
+        return self.spark.read.schema("next bigint").parquet(f"{self.root}/marks/batch={batch - 1}").first()["next"]
+
+    def _write(self, placed: DataFrame, batch: int) -> None:
+        start, path = self._next(batch), f"{self.root}/lines/batch={batch}"
+        rows = write_counted(number_placed(placed, start), path)
+        mark = self.spark.createDataFrame([(start + rows,)], "next bigint").coalesce(1)
+        mark.write.mode("overwrite").parquet(f"{self.root}/marks/batch={batch}")
+        remove(self.spark, f"{self.root}/marks/batch={batch - 2}")
+
+    def start(self, lines: DataFrame, **trigger) -> StreamingQuery:
+        """``lines`` is a stream of ``sources.events.stream_lines``; ``trigger`` goes to ``writeStream.trigger``."""
+        return lines.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.root}/stream").trigger(**trigger).start()
+
+    def events(self) -> DataFrame:
+        """``events(seq, ts, raw)`` of the finished batches."""
+        last = self.spark.read.schema("next bigint, batch bigint").parquet(f"{self.root}/marks").agg(F.max("batch")).first()[0]
+        rows = self.spark.read.schema(f"{RAW_EVENTS}, batch bigint").parquet(f"{self.root}/lines")
+        return rows.where(F.col("batch") <= (-1 if last is None else last)).drop("batch")
+
+
 def running_job_runs(events: DataFrame) -> DataFrame:
     """State of every run so far, from a stream (or a batch) of raw events."""
     parsed = good_events(parse_events(events, sql_fallback=False))

@@ -261,6 +261,7 @@ _FINAL = {
       UNION ALL
       SELECT 4, TIMESTAMP '2100-01-01 00:04:00', NULL, 'Unsupported source_type: oracle', NULL""",
     "sync_then_ingest": f"SELECT {_TABLE} FROM synced_versions",
+    "stream_raw_lines": "SELECT seq, raw FROM ol_events",
     "stream_ingest_tables": f"SELECT {_TABLE} FROM table_versions",
     "stream_job_runs": "SELECT run_id, status, started_at, finished_at FROM runs",
 }

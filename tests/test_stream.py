@@ -9,8 +9,8 @@ from test_model import random_events
 
 from headwater import build_model
 from headwater.operators.parse import good_events, parse_events
-from headwater.sources.events import stream_events
-from headwater.streaming.ingest import ModelStream, RunStream, running_job_runs
+from headwater.sources.events import _placed, stream_events, stream_lines
+from headwater.streaming.ingest import LineStream, ModelStream, RunStream, running_job_runs
 
 
 def land(events_df, path, cuts):
@@ -41,6 +41,34 @@ def test_stream_equals_batch(spark, events, tmp_path, cuts):
     assert content(stream.model()) == content(batch)
 
 
+def land_lines(rows, path, n):
+    for k in range(n):
+        part = rows.filter(f"seq % {n} = {k}")  # any order: the numbers are those of arrival
+        part.repartitionByRange(2, "seq").sortWithinPartitions("seq").select("raw").write.mode("append").text(path)
+
+
+def test_raw_lines_are_numbered_as_they_arrive(spark, events, tmp_path):
+    rows = events(random_events(random.Random(7), 50))
+    land_lines(rows, str(tmp_path / "in"), 3)
+    lines = stream_lines(spark, str(tmp_path / "in"), files_per_batch=2)
+    log = LineStream(spark, str(tmp_path / "log"), 100)
+    log.start(lines, availableNow=True).awaitTermination()
+    got = log.events().orderBy("seq").collect()
+    raw = {r.seq: r.raw for r in rows.collect()}
+    want = [raw[s] for k in range(3) for s in sorted(raw) if s % 3 == k]
+    assert [(r.seq, r.raw) for r in got] == [(100 + n, x) for n, x in enumerate(want)]
+    # A batch that is repeated takes the same numbers again.
+    files = [str(p) for p in sorted((tmp_path / "in").glob("part-*"), key=lambda p: p.stat().st_mtime_ns)]
+    log._write(_placed(spark.read.text(files[-2:])), 2)
+    assert log.events().orderBy("seq").select("seq", "raw").collect() == [r[::2] for r in got]
+
+    stream = ModelStream(spark, str(tmp_path / "model"), span=20)
+    stream.start_lines(lines, availableNow=True).awaitTermination()
+    arrived = spark.createDataFrame([(n, r.ts, r.raw) for n, r in enumerate(got)], rows.schema)
+    names = lambda m: sorted((r.tbl, r.version, r.from_seq, r.to_seq) for r in m.table_versions().collect())
+    assert names(stream.model()) == names(build_model(arrived))
+
+
 def test_running_runs(spark, events, tmp_path):
     rows = events(random_events(random.Random(4), 60))
     land(rows, str(tmp_path / "in"), [20, 40])
