@@ -50,14 +50,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, new_path(df.sparkSession, name))
 
 
+#: Whether Spark drops a query's shuffle files as soon as it has run.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A ``materialize`` for tables that nothing reads once the context is left: then they are deleted."""
+    """A ``materialize`` for tables that nothing reads once the context is left: then they are deleted.
+
+    Work of many steps would pile up the shuffle files of all of them, as Spark keeps these until the driver's memory
+    is cleaned up. Each table written here is read back from its files, so what led to it may go at once.
+    """
     root = new_path(spark, name)
     number = itertools.count()
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+
+    def put(df: DataFrame, part: str) -> DataFrame:
+        table = write_table(df, f"{root}/{part}-{next(number)}")
+        spark._jvm.System.gc()  # finds the shuffles that no plan refers to any more
+        return table
+
+    spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        yield lambda df, part: write_table(df, f"{root}/{part}-{next(number)}")
+        yield put
     finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
         remove(spark, root)
 
 
