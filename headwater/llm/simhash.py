@@ -132,6 +132,8 @@ def simhash_components(docs: DataFrame, doc_id: Column, text: Column, words: int
 NEAR_WORDS, NEAR = 5, 0.8
 #: Shingles counted at a time for the order of keys, and how many of the most common ones it knows.
 CHUNK, COMMON = 1 << 20, 1 << 16
+#: Rounds in which holders of a key meet one of those like them, at the cost of their number, before all pairs do.
+ROUNDS = 8
 #: Slots for each key in the table that tells which keys two texts may share.
 SLOTS_A_KEY = 8
 
@@ -176,7 +178,7 @@ def prefix_keys(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], sim
 
 
 def shared_keys(held: DataFrame) -> DataFrame:
-    """``(node, n, at, key)`` for the keys of ``held(node, n, keys)`` that two rows may have in common; few others.
+    """``(node, n, fp, at, key)`` for the keys of ``held(node, n, fp, keys)`` that two rows may have in common; few others.
 
     Most keys are in one text alone. A table of bounded size that is counted where the keys are tells, so those never
     travel; where it is too small, more of them do.
@@ -207,10 +209,12 @@ def shared_keys(held: DataFrame) -> DataFrame:
         for b in batches:
             at = [np.flatnonzero(slots.passes(shared.value, slots_of(keys))) for keys in b["keys"]]
             kept = [np.array(keys, dtype=np.int64)[a].tolist() for keys, a in zip(b["keys"], at)]
-            yield {"node": b["node"], "n": b["n"], "at": [a.tolist() for a in at], "key": kept}
+            yield {"node": b["node"], "n": b["n"], "fp": b["fp"], "at": [a.tolist() for a in at], "key": kept}
 
-    kept = map_texts(held, {c: held[c] for c in ("node", "n", "keys")}, rows, "node bigint, n bigint, at array<int>, key array<bigint>")
-    return kept.select("node", "n", F.explode(F.arrays_zip("at", "key")).alias("x")).select("node", "n", "x.at", "x.key")
+    columns = {c: held[c] for c in ("node", "n", "fp", "keys")}
+    kept = map_texts(held, columns, rows, "node bigint, n bigint, fp bigint, at array<int>, key array<bigint>")
+    each = kept.select("node", "n", "fp", F.explode(F.arrays_zip("at", "key")).alias("x"))
+    return each.select("node", "n", "fp", "x.at", "x.key")
 
 
 def verified(
@@ -218,13 +222,6 @@ def verified(
     put: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
     """The ``(src, dst)`` of ``pairs(a, b)`` whose whole shingle sets are ``similarity`` alike."""
-    asked = pairs.select("a").union(pairs.select("b")).distinct()
-    whose = nodes.join(asked, nodes["node"] == asked["a"], "left_semi")
-    whose = put(whose.select("node", "row.doc_id", "row.text_hash"), "asked")
-    own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
-    texts = put(own.join(whose, same_document(own, whose)).select("node", "text"), "texts")
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def alike(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         """Texts travel, as they take a third of the disk of their hashes."""
@@ -245,8 +242,25 @@ def verified(
                     out["dst"].append(b)
             yield out
 
-    columns = {c: both[c] for c in ("a", "b", "x", "y")}
-    return put(map_texts(both, columns, alike, "src bigint, dst bigint"), "alike")
+    with scratch(docs.sparkSession, "texts") as own_put:
+        asked = pairs.select("a").union(pairs.select("b")).distinct()
+        whose = nodes.join(asked, nodes["node"] == asked["a"], "left_semi")
+        whose = own_put(whose.select("node", "row.doc_id", "row.text_hash"), "asked")
+        own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+        texts = own_put(own.join(whose, same_document(own, whose)).select("node", "text"), "texts")
+        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        columns = {c: both[c] for c in ("a", "b", "x", "y")}
+        return put(map_texts(both, columns, alike, "src bigint, dst bigint"), "alike")
+
+
+def still_apart(held: DataFrame, edges: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The groups of ``edges`` as ``(node, root)``, and ``held`` with its roots for keys whose holders are in several."""
+    roots = components(edges, put)
+    grouped = held.join(roots, "node", "left").select("key", "node", "n", "at", "fp", F.coalesce("root", "node").alias("root"))
+    grouped = put(grouped, "grouped")
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return roots, put(grouped.join(mixed, "key", "left_semi"), "apart")
 
 
 def near_copies(
@@ -259,8 +273,9 @@ def near_copies(
     Texts that read alike are one from the start, so a group of exact copies costs one text. Every pair of
     ``similarity`` has a key in common (``prefix_keys``), whatever the texts' lengths. First each text meets the
     least holder of each of its keys and those of SimHash fingerprints within two bits (``links``), which joins the
-    bulk of every group at the cost of its members. Then all pairs of a key's holders that are still in different
-    groups, and whose sizes and places of the key leave room for ``similarity``, are looked at. Every pair is verified
+    bulk of every group at the cost of its members; in a few rounds, holders of a key meet one that shares a part of their fingerprint. Then
+    all pairs of a key's holders that are still in different groups, and whose sizes and places of the key leave room
+    for ``similarity``, are looked at. Every pair is verified
     on the whole shingle sets, so the groups are those of all pairs.
     Texts without words are one group.
     """
@@ -292,13 +307,15 @@ def near_copies(
     nodes = put(nodes, "nodes")
     first = put(nodes.groupBy("fp").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b")), "node").alias("f")), "fps")
     first = first.select("fp", "f.b", "f.n_b")
-    far = links(first.select("fp"), put).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b", "n_b")
-    far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a"), F.col("n_b").alias("n_a")), "dst")
+    with scratch(docs.sparkSession, "cells") as cells:
+        far = links(first.select("fp"), cells).join(first.withColumnRenamed("fp", "src"), "src").select("dst", "b", "n_b")
+        far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a"), F.col("n_b").alias("n_a")), "dst")
+        far = put(far.select("a", "b", "n_a", "n_b"), "far")
     alike = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
     # The keys of one row of each text; the others of it, however many, have the same.
     one = nodes.select(F.col("row.doc_id").alias("r_id"), F.col("row.text_hash").alias("r_hash"))
     own = table.join(one, table["doc_id"].eqNullSafe(one["r_id"]) & (table["text_hash"] == one["r_hash"]), "left_semi")
-    held = put(shared_keys(own.select("node", "n", "keys")), "held")
+    held = put(shared_keys(own.select("node", "n", "fp", "keys")), "held")
     least = held.groupBy("key").agg(
         F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")), "node").alias("l"),
         F.count(F.lit(1)).alias("holders"),
@@ -308,16 +325,27 @@ def near_copies(
     need = lambda a, b: similarity / (1 + similarity) * (F.col(a) + F.col(b)) - 1e-6
     met = held.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a")).join(least, "key")
     met = met.where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need("n_a", "n_b"))
-    by_bits = far.select("a", "b", "n_a", "n_b").unionByName(alike).where(F.least("n_a", "n_b") >= need("n_a", "n_b"))
+    by_bits = far.unionByName(alike).where(F.least("n_a", "n_b") >= need("n_a", "n_b"))
     pairs = by_bits.select("a", "b").unionByName(met.select("a", "b")).where("a <> b")
     pairs = put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     edges = verified(pairs, nodes, docs, doc_id, text, words, similarity, put)
 
-    roots = components(edges, put)
-    grouped = held.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    grouped = put(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    apart = put(grouped.join(mixed, "key", "left_semi"), "apart")
+    # Holders of a key that also agree in eight bits of the fingerprint, as most alike ones do in some, meet the first.
+    for turn in range(ROUNDS):
+        roots, apart = still_apart(held, edges, put)
+        apart = apart.withColumn("segment", F.shiftrightunsigned("fp", 8 * turn).bitwiseAND(255))
+        lead = F.min_by(F.struct(*[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")]), "node")
+        lead = apart.groupBy("key", "segment").agg(lead.alias("l")).select("key", "segment", "l.*")
+        new = apart.join(lead, ["key", "segment"]).where(F.col("root") != F.col("root_b"))
+        new = new.where(F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= need("n", "n_b"))
+        new = new.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+        new = put(new.join(pairs, ["a", "b"], "left_anti"), "new")
+        if new.isEmpty():
+            continue
+        pairs = put(pairs.unionByName(new), "pairs")
+        more = verified(new, nodes, docs, doc_id, text, words, similarity, put)
+        edges = put(edges.unionByName(more), "edges")
+    roots, apart = still_apart(held, edges, put)
     small = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "root")])
     large = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need("n_a", "n_b")
