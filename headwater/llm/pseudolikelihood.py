@@ -32,7 +32,7 @@ BLOCK, STEPS, RATE, SCORED = 32_768, 8, 0.01, 8_192
 #: Words counted or remembered at a time by a task.
 MEMORY = 1 << 20
 #: Words whose counts every task knows, the most frequent ones; the counts of others are joined.
-KNOWN = 1 << 19
+KNOWN = 1 << 21
 #: Sums of weights that reach the driver in a round.
 SUMS = 16
 

@@ -94,7 +94,7 @@ def test_scores_of_the_corpus_are_those_of_its_documents(spark, monkeypatch):
     monkeypatch.setattr(pll, "KNOWN", 40)
     model = pll.fit_windows(df, df["doc_id"], text_of(df), 2)
     apart = {r[0]: r for r in pll.score_documents(df, df["doc_id"], text_of(df), model).collect()}
-    monkeypatch.setattr(pll, "KNOWN", 1 << 19)
+    monkeypatch.setattr(pll, "KNOWN", 1 << 21)
     monkeypatch.setattr(pll, "MEMORY", 50)
     for r in pll.score_corpus(df, df["doc_id"], text_of(df), 2).collect():
         assert r[:2] == apart[r[0]][:2] and np.isclose(r[2], apart[r[0]][2], rtol=1e-3, atol=1e-3)
