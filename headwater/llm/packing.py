@@ -74,7 +74,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words = Remembered(self.word, limit)
 
@@ -98,9 +98,12 @@ class WordEncoder:
         return np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        low = text.lower()
+        if any(s in low for s in self.special):  # names of special tokens are tokens of their own
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         try:
             text.encode("latin-1")
-            text = text.lower()  # more words meet
+            text = low  # more words meet
         except UnicodeEncodeError:
             pass
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
