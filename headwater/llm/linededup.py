@@ -27,21 +27,21 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     """``(line, sites, first)`` of the lines of ``lines(line, site, place)`` that at least ``min_sites`` distinct sites
     hold; ``first`` is the least place.
 
-    Rows are first reduced, on the map side too, to one per line and site. Lines with fewer than ``min_sites`` such rows
-    cannot reach the threshold and get no sketch. The rest have a HyperLogLog sketch of their sites; those whose estimate
-    is near the threshold are counted exactly, so the outcome is that of exact counts.
+    Every line has a HyperLogLog sketch of its sites, begun on the map side and merged after the shuffle. The estimate
+    decides, but for lines where it lies within ``ERRORS`` standard errors of the threshold, and at least 1: their sites are
+    counted exactly. ``sites`` is the estimate or the exact count, whichever decided.
     """
-    held = materialize(lines.groupBy("line", "site").agg(F.min("place").alias("place")), "line-sites")
-    enough = held.groupBy("line").agg(F.count(F.lit(1)).alias("pairs"), F.min("place").alias("first"))
-    enough = materialize(enough.where(F.col("pairs") >= min_sites), "spread-firsts")
-    some = materialize(held.join(enough, "line", "left_semi").select("line", "site"), "spread-lines")
-    sketched = some.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
     margin = max(1.0, ERRORS * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    sketched = materialize(sketched, "sketched-lines")
-    near = sketched.where(F.abs(F.col("sites") - min_sites) <= margin).select("line")
-    exact = some.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
-    sites = sketched.where(F.col("sites") > min_sites + margin).union(exact.where(F.col("sites") >= min_sites))
-    return sites.join(enough, "line").select("line", "sites", "first")
+    marked = F.concat(F.lit("="), F.col("site"))  # a sketch leaves out empty strings
+    sketched = lines.groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg(marked, lg_k)).alias("sites"), F.min("place").alias("first")
+    )
+    sketched = materialize(sketched.where(F.col("sites") >= min_sites - margin), "sketched-lines")
+    clear = F.col("sites") > min_sites + margin
+    near = sketched.where(~clear).select("line", "first")
+    counted = lines.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
+    counted = counted.where(F.col("sites") >= min_sites).join(near, "line")
+    return sketched.where(clear).select("line", "sites", "first").union(counted.select("line", "sites", "first"))
 
 
 def clean_lines(

@@ -114,6 +114,17 @@ def test_sketches_near_and_far_from_the_threshold(spark):
     assert {r.name for r in found.collect()} == {"line101", "line110", "line600"}
 
 
+def test_the_sketch_decides_away_from_the_threshold(spark, monkeypatch):
+    # Without a margin, only estimates of up to one above or below the threshold are counted.
+    monkeypatch.setattr(linededup, "ERRORS", 0)
+    rows = [(n, k if k else "") for n in (1, 2, 3, 4, 5, 6, 40, 5000) for k in range(n)]
+    lines = spark.createDataFrame([(n, str(k), k or 0) for n, k in rows for _ in range(2)], "n long, site string, place int")
+    key = F.struct(F.col("n").alias("a"), F.col("n").alias("b")).alias("line")
+    found = {r.n: r.sites for r in linededup.boilerplate(lines.select(key, "site", "place"), 4).select("line.a", "sites").withColumnRenamed("a", "n").collect()}
+    assert set(found) == {4, 5, 6, 40, 5000}
+    assert [found[n] for n in (4, 5, 6)] == [4, 5, 6] and found[5000] != 5000 and abs(found[5000] - 5000) < 400
+
+
 def test_lines_of_repeated_and_no_rows(spark):
     df = docs(spark)
     got = linededup.dedup_lines(df, df["doc_id"], text_of(df), df["source"], min_sites=1)
@@ -131,6 +142,7 @@ ADDRESSES = [
     "http://example.com/en/?a=/de/", "http://a.org/fr/", "http://a.org/fr", "http://a.org/FR/", "http://org/fr/x", "a://b://c.net/d",
     "http://u@example.net:80/", "http://a.org#/fr/", "http://a.org?x/fr/", "http://ads.shop.com/", "http://shop.com/cart?x=1", "http://shop.com/cartoon",
     "http://x.porn/", "http://a.com/p?sessionid=3", "http://a.net\n/x", "http://ÜBER.net/", "http://a.com/" + "x" * 20000, "http://example.net.evil.com/en/",
+    "http://m.casino-win.shop.com/x", "http://casinonova.com/", "http://a.com/casino", "http://free-bets.org/en/", "http://a.com/?x=casino",
 ]
 
 
