@@ -16,7 +16,10 @@ SITE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/
 # Words of addresses that the method itself blocks where no site rule fits, by the place they stand in.
 DIRECTORIES = ["ad", "ads", "adserver", "banner", "banners", "login", "signin", "signup", "register", "cart", "checkout"]
 SUBDOMAINS = ["ad", "ads", "track", "tracker", "tracking", "pixel"]
-TOP_DOMAINS = ["casino", "porn", "xxx"]
+HOST_WORDS = [
+    "ads", "adserver", "adult", "bet", "bets", "betting", "casino", "casinos", "escort", "escorts", "gambling", "lottery", "poker",
+    "porn", "porno", "roulette", "sex", "slots", "viagra", "webcam", "webcams", "xxx",
+]
 PARAMETERS = ["sessionid", "phpsessid", "jsessionid"]
 
 
@@ -33,10 +36,11 @@ def site_rule(rule: str, verdict: str) -> tuple:
 
 
 def method_rules() -> list[tuple]:
-    """Patterns over ``//host/path?query``, each round one literal word."""
+    """Patterns over ``//host/path?query``, each round one literal word: a directory, a first label, a word of any part
+    of the host between marks, a parameter."""
     made = [(w, rf"^//[^?#]*/{w}(?:[/?#.]|$)") for w in DIRECTORIES]
     made += [(w, rf"^//{w}\.") for w in SUBDOMAINS]
-    made += [(w, rf"^//[^/?#]*\.{w}(?:[/:?#]|$)") for w in TOP_DOMAINS]
+    made += [(w, rf"^//(?:[^/?#]*[^a-z0-9/?#])?{w}(?:[^a-z0-9]|$)") for w in HOST_WORDS]
     made += [(w, rf"[?&]{w}=") for w in PARAMETERS]
     return [(pattern, False, "block", pattern, [w]) for w, pattern in made]
 
