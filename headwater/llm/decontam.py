@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 index of test items, asked with every passage of the training texts.
 
-Terms are pairs of neighbouring words, so that unrelated prose shares few with an item. Items are cut into parts, and the
+Terms are pairs of neighbouring words, so that unrelated prose shares few with an item; an item of one word has that
+word as its term. In scripts without spaces, each character is a word. Items are cut into parts, and the
 texts into passages twice as long that overlap by half: wherever a part lies in a text, some passage holds all of it.
 The index stands on the passage's side as the query, and scores are divided by the part's score against itself. Block-max
 WAND walks the posting lists in part order and skips every part whose bound, from the best weight of each term in its
@@ -39,8 +40,14 @@ INDEX_CHARS = 4_000_000
 HITS = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
+# Blocks of scripts written without spaces (Thai to Myanmar, Khmer, kana, Han).
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
+
+
 def words_of(text: str) -> list[str]:
-    return re.findall(r"\w+", text.lower())
+    """Runs of word characters in lower case; of scripts without spaces, single characters."""
+    return _WORD.findall(text.lower())
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -68,14 +75,16 @@ class Index:
 
 
 def build_index(items: list[tuple[int | None, str | None]]) -> Index:
-    """Index ``(item_id, text)`` rows. Items of under two words have no pair, and nothing retrieves them."""
+    """Index ``(item_id, text)`` rows. A single word is paired with the empty one; items without words are left out."""
     index = Index()
     parts: list[list[int]] = []
     pairs_of: list[tuple[int, list[str]]] = []
     for item, text in items:
         words = words_of(text or "")
-        if len(words) < 2:
+        if not words:
             continue
+        if len(words) == 1:
+            words.append("")
         index.ids.append(item)
         index.sides.append(question_and_answer(text or ""))
         starts = list(range(0, max(1, len(words) - PART // 2), PART))  # a short rest goes with the part before it
@@ -175,8 +184,13 @@ def search_text(index: Index, text: str, threshold: float = THRESHOLD) -> dict[i
     ids = np.fromiter(map(index.vocabulary.get, words, [-1] * len(words)), dtype=np.int64, count=len(words))
     pairs = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * len(index.vocabulary) + ids[1:], -1)
     spot = np.flatnonzero(pairs >= 0)
-    place = np.searchsorted(index.keys, pairs[spot])
-    real = index.keys[np.minimum(place, len(index.keys) - 1)] == pairs[spot]
+    terms = pairs[spot]
+    if "" in index.vocabulary:
+        known = np.flatnonzero(ids >= 0)
+        spot = np.concatenate([spot, known])
+        terms = np.concatenate([terms, ids[known] * len(index.vocabulary) + index.vocabulary[""]])
+    place = np.searchsorted(index.keys, terms)
+    real = index.keys[np.minimum(place, len(index.keys) - 1)] == terms
     spot, place = spot[real], place[real]
     # A pair at word i is in the passages that begin at multiples of PART from i + 2 - PASSAGE to i.
     passages: dict[int, set[int]] = {}
@@ -199,7 +213,8 @@ def find_leaks(
 
     Every passage of every text is asked; the items it retrieves are verified on the words around the passages, where
     the shares of the question's and of the answer's word runs must both reach ``required``. The answer is an item's
-    last sentence. Words are compared in lower case, without marks.
+    last sentence. Words are compared in lower case, without marks. An item of one word is in every text that holds
+    the word, and an item without words in none.
 
     Items are dealt by a hash into indexes of about ``INDEX_CHARS`` characters, so a task holds one of bounded size
     however many items there are; each index is asked in a pass of its own. Null texts match nothing, repeated rows

@@ -61,6 +61,19 @@ def test_more_items_than_an_index_holds(spark, monkeypatch):
     assert {(r[0], r[1]) for r in found.collect()} == {(i, i) for i in range(40)}
 
 
+def test_items_of_one_word_and_of_scripts_without_spaces(spark):
+    asked = "東京は日本の首都ですか。はい、東京は日本の首都です。"
+    items = [(1, "Photosynthesis!"), (2, asked), (3, "?!"), (4, "เมืองหลวงของประเทศไทยคือกรุงเทพ"), (5, "alpha beta")]
+    rows = [
+        (1, "all of photosynthesis, in short", "en", "s"), (2, "photosyntheses differ", "en", "s"), (3, "前文。" + asked + "後文", "ja", "s"),
+        (4, "日本の料理はとても美味しいと思います。", "ja", "s"), (5, "PHOTOSYNTHESIS", "en", "s"), (6, "ก เมืองหลวงของประเทศไทยคือกรุงเทพ ข", "th", "s"),
+        (7, "?!", "en", "s"), (8, "beta alpha", "en", "s"), (9, "word " * 500 + "photosynthesis " + "word " * 500, "en", "s"), (10, "", "en", "s"),
+    ]
+    df = docs(spark, rows)
+    found = d.find_leaks(df, df["doc_id"], text_of(df), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r[0], r[1]) for r in found.collect()} == {(1, 1), (3, 2), (5, 1), (6, 4), (9, 1)}
+
+
 def test_hard_tables(spark):
     df = docs(spark)
     none = spark.createDataFrame([], "item_id bigint, text string, score string")
@@ -70,8 +83,9 @@ def test_hard_tables(spark):
     )
     assert d.find_leaks(df, df["doc_id"], text_of(df), none).count() == 0
     got = d.find_leaks(df, df["doc_id"], text_of(df), some).collect()
-    assert sorted(r[0] for r in got) == [1, 10, 10] and {r[1] for r in got} == {None}
+    # Document 9 holds the item of one word.
+    assert sorted((r[0], r[1]) for r in got if r[1]) == [(9, 3)] and sorted(r[0] for r in got if r[1] is None) == [1, 10, 10]
     assert d.without_leaks(df, none).count() == df.count()
-    assert d.without_leaks(df, some).count() == df.count() - 3
+    assert d.without_leaks(df, some).count() == df.count() - 4
     empty = docs(spark, [])
     assert d.find_leaks(empty, empty["doc_id"], text_of(empty), some).count() == 0
