@@ -292,12 +292,50 @@ def set_steps(
         return _both(rows, lambda: write("sets", rows), lambda: keep("set_state", left))
 
 
+#: A table's name without namespace and schema.
+TABLE_NAME = "substr(tbl, length(namespace) + length(schema_name) + 3)"
+
+
 def newest_schemas(starts: DataFrame) -> DataFrame:
     """``(tbl, namespace, schema_name, version, fields)`` of the last version of each table in ``starts``."""
     newest = F.max_by(F.struct("namespace", "schema_name", "version", "fields"), "version")
     return starts.groupBy("tbl").agg(newest.alias("s")).select("tbl", "s.*")
 
 
+def open_tables(starts: DataFrame, closings: DataFrame) -> DataFrame:
+    """The last version of each table in ``starts`` that no row of ``closings`` ends, as its row of the table history.
+
+    A version that has a later one is not open, so the history need not be joined with itself: the last version is found
+    with one row a table from each task.
+    """
+    newest = F.max_by(F.struct("namespace", "schema_name", "version", "seq", "ts", "fields"), "version")
+    last = starts.groupBy("tbl").agg(newest.alias("s")).select("tbl", "s.*")
+    return last.join(closings.select("tbl", "version"), ["tbl", "version"], "left_anti").select(
+        "tbl",
+        "namespace",
+        "schema_name",
+        F.expr(TABLE_NAME).alias("table_name"),
+        "version",
+        F.col("seq").alias("from_seq"),
+        F.col("ts").alias("valid_from"),
+        F.lit(None).cast("bigint").alias("to_seq"),
+        F.lit(None).cast("timestamp").alias("valid_to"),
+        "fields",
+    )
+
+
+def open_transformations(jobs: DataFrame, sets: DataFrame, transformations: DataFrame) -> DataFrame:
+    """The rows of ``transformations`` of the last set of each job's last version, with the version's SQL."""
+    last = F.max_by(F.struct(F.col("version").alias("job_version"), F.col("sql").alias("job_sql")), "version")
+    versions = jobs.groupBy("job").agg(last.alias("v")).select("job", "v.*")
+    newest = sets.filter("changed").groupBy("job", "job_version").agg(F.max("set_no").alias("set_no"))
+    return (
+        transformations.join(versions.join(newest, ["job", "job_version"]), ["job", "job_version", "set_no"])
+        .withColumnRenamed("seq", "from_seq")
+        .withColumnRenamed("ts", "valid_from")
+    )
+
+
 def transformation_starts(steps: DataFrame, resolved: DataFrame) -> DataFrame:
     """Rows of every newly stored transformation set; (seq, pos) is the row's identity and order."""
     return (

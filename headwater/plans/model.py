@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +19,14 @@ class LineageModel:
     """Logs written by :func:`advance`; everything else is a lazy view over them.
 
     ``parsed`` is the event store, ``logs`` the append-only change logs, ``steps`` the version of
-    every observed table at every observation.
+    every observed table at every observation. ``open`` holds what is in force, ``tables`` and ``transformations``, where
+    that is kept as tables of its own; else it is taken from the logs when asked for.
     """
 
     parsed: DataFrame
     logs: dict[str, DataFrame]
     steps: DataFrame
+    open: dict[str, DataFrame] = field(default_factory=dict)
 
     # -- events ---------------------------------------------------------------------------
 
@@ -95,7 +97,7 @@ class LineageModel:
                 "tbl",
                 "namespace",
                 "schema_name",
-                F.expr("substr(tbl, length(namespace) + length(schema_name) + 3)").alias("table_name"),
+                F.expr(v.TABLE_NAME).alias("table_name"),
                 "version",
                 F.col("seq").alias("from_seq"),
                 F.col("ts").alias("valid_from"),
@@ -105,28 +107,21 @@ class LineageModel:
             )
         )
 
-    def attribute_versions(self) -> DataFrame:
-        return self.table_versions().select(
-            "tbl",
-            "version",
-            F.posexplode("fields").alias("ordinal", "f"),
-            "from_seq",
-            "to_seq",
-        ).select(
-            "tbl",
-            "version",
-            "ordinal",
-            F.col("f.name").alias("attr"),
-            F.col("f.data_type").alias("data_type"),
-            "from_seq",
-            "to_seq",
+    @staticmethod
+    def _attributes(tables: DataFrame, *more: str) -> DataFrame:
+        fields = tables.select("tbl", "version", F.posexplode("fields").alias("ordinal", "f"), *more)
+        return fields.select(
+            "tbl", "version", "ordinal", F.col("f.name").alias("attr"), F.col("f.data_type").alias("data_type"), *more
         )
 
+    def attribute_versions(self) -> DataFrame:
+        return self._attributes(self.table_versions(), "from_seq", "to_seq")
+
     def current_tables(self) -> DataFrame:
-        return self.table_versions().filter(F.col("to_seq").isNull())
+        return self.open["tables"] if "tables" in self.open else v.open_tables(self.logs["tables"], self.logs["closings"])
 
     def current_attributes(self) -> DataFrame:
-        return self.attribute_versions().filter(F.col("to_seq").isNull()).drop("from_seq", "to_seq")
+        return self._attributes(self.current_tables())
 
     def table_history(self) -> DataFrame:
         return self.table_versions().select(
@@ -236,13 +231,9 @@ class LineageModel:
 
     def current_transformations(self) -> DataFrame:
         """Transformations in force, with the SQL of the job version they belong to."""
-        jobs = self.job_versions().select("job", F.col("version").alias("job_version"), F.col("sql").alias("job_sql"))
-        return (
-            self.transformation_versions()
-            .filter(F.col("to_seq").isNull())
-            .drop("to_seq", "valid_to")
-            .join(jobs, ["job", "job_version"])
-        )
+        if "transformations" in self.open:
+            return self.open["transformations"]
+        return v.open_transformations(self.logs["jobs"], self.logs["sets"], self.logs["transformations"])
 
     # -- point in time ----------------------------------------------------------------------
 
@@ -334,7 +325,13 @@ def build_model(
     with jit_sized_methods(events.sparkSession):
         parsed = write("events", parse_events(events, sql_fallback=sql_fallback, canonicalize=canonicalize))
     logs, steps = advance(parsed, write, span=span)
-    return LineageModel(parsed, logs, steps)
+    model = LineageModel(parsed, logs, steps)
+    tables, transformations = together(
+        events.sparkSession,
+        lambda: write("open_tables", model.current_tables()),
+        lambda: write("open_transformations", model.current_transformations()),
+    )
+    return replace(model, open={"tables": tables, "transformations": transformations})
 
 
 def sync_tables(
@@ -370,4 +367,9 @@ def apply_snapshot(model: LineageModel, specs: DataFrame, scopes: DataFrame, seq
     logs = dict(model.logs)
     logs["tables"] = logs["tables"].unionByName(starts)
     logs["closings"] = logs["closings"].unionByName(closings)
-    return LineageModel(model.parsed, logs, model.steps.unionByName(steps))
+    synced = LineageModel(model.parsed, logs, model.steps.unionByName(steps), dict(model.open))
+    if "tables" in model.open:
+        left = model.open["tables"].join(starts.select("tbl"), "tbl", "left_anti")
+        left = left.join(closings.select("tbl", "version"), ["tbl", "version"], "left_anti")
+        synced.open["tables"] = write("open_tables", v.open_tables(starts, closings).unionByName(left))
+    return synced

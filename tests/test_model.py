@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 from simulator import Simulator
 
 from headwater import build_model
+from headwater.operators.graph import table_edges
 from headwater.operators.runs import table_usage
 from headwater.plans.critical import critical_tables, top_critical
 from headwater.sources.events import derived_events
@@ -32,6 +35,25 @@ GOLDEN = {
 }
 
 
+def test_open_rows_are_those_of_the_history(spark):
+    model = build_model(derived_events(spark, "/root/testdata/sf0.001"), span=64)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    jobs = model.job_versions().select("job", F.col("version").alias("job_version"), F.col("sql").alias("job_sql"))
+    in_force = model.transformation_versions().filter("to_seq IS NULL").drop("to_seq", "valid_to").join(jobs, ["job", "job_version"])
+    tables = model.table_versions().filter("to_seq IS NULL")
+    attributes = model.attribute_versions().filter("to_seq IS NULL").drop("from_seq", "to_seq")
+    for kept in (model, replace(model, open={})):
+        assert rows(kept.current_tables()) == rows(tables)
+        assert rows(kept.current_attributes()) == rows(attributes)
+        assert rows(kept.current_transformations()) == rows(in_force)
+    # What is in force is read from its own tables: no closed row is scanned, and nothing is joined or moved.
+    for view, name in ((model.current_tables(), "open_tables"), (model.current_transformations(), "open_transformations")):
+        assert view.inputFiles() and all(f"/{name}/" in f for f in view.inputFiles())
+        assert not {"Exchange", "Join"} & set(re.findall("Exchange|Join", view._jdf.queryExecution().executedPlan().toString()))
+    edges = table_edges(model.current_transformations(), model.current_attributes())
+    assert all("/open_t" in f for f in edges.inputFiles())
+
+
 @pytest.mark.parametrize("scale,span", [("sf0.001", 64), ("sf0.01", 1_000_000)])
 def test_golden_counts(spark, scale, span):
     model = build_model(derived_events(spark, f"/root/testdata/{scale}"), sql_fallback=False, span=span)

@@ -120,6 +120,9 @@ def test_sync_closes_and_reopens(spark, model):
     assert [(r.version, r.from_seq, r.to_seq) for r in rows] == [(1, 2, 100), (2, 200, None)]
     # An empty snapshot of a named scope closes all of it.
     scope = spark.createDataFrame([("db", "s")], "namespace string, schema_name string")
+    for synced in (first, second):
+        history = synced.table_versions().filter("to_seq IS NULL")
+        assert sorted(map(repr, synced.current_tables().collect())) == sorted(map(repr, history.collect()))
     nothing = apply_snapshot(second, table(spark, ("x", [])).filter("false"), scope, 300, "2030-03-01")
     assert [r.tbl for r in nothing.current_tables().collect()] == ["db.other.x"]
 
