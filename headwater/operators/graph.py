@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.operators.iterate import grow
-from headwater.storage import materialize, scratch
+from headwater.storage import materialize, scratch, spread
 
 #: The least relative gain of a product of weights that counts; smaller ones are rounding.
 GAIN = 1e-9
@@ -30,10 +30,10 @@ def table_edges(transformations: DataFrame, current_attributes: DataFrame) -> Da
     shares = fed.groupBy("target", "output_attribute").agg((1.0 / F.count(F.lit(1))).alias("share"))
     sizes = current_attributes.groupBy(F.col("tbl").alias("target")).agg(F.count(F.lit(1)).alias("n"))
     return (
-        fed.join(shares, ["target", "output_attribute"])
+        fed.join(spread(shares), ["target", "output_attribute"])
         .groupBy("source", "target")
         .agg(F.sum("share").alias("fed"))
-        .join(sizes, "target", "left")
+        .join(spread(sizes), "target", "left")
         .select("source", "target", (F.col("fed") / F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("weight"))
     )
 
@@ -49,20 +49,20 @@ class TableGraph:
         """Replace number columns by table names: ``name(df, source="s")`` turns ``s`` into ``source``."""
         for new, old in columns.items():
             names = self.nodes.select(F.col("id").alias(old), F.col("tbl").alias(new))
-            df = df.join(names, old).drop(old)
+            df = df.join(spread(names), old).drop(old)
         return df
 
     def current(self, starts: DataFrame | None = None) -> DataFrame:
         """Current tables; of ``starts(tbl)`` only, where given."""
         nodes = self.nodes.filter("is_current")
-        return nodes if starts is None else nodes.join(starts.select("tbl").distinct(), "tbl", "left_semi")
+        return nodes if starts is None else nodes.join(spread(starts.select("tbl").distinct()), "tbl", "left_semi")
 
 
 def table_graph(edges: DataFrame, current_tables: DataFrame) -> TableGraph:
     ends = edges.select(F.explode(F.array("source", "target")).alias("tbl")).distinct()
     current = current_tables.select("tbl").withColumn("is_current", F.lit(True))
     nodes = materialize(
-        ends.join(current, "tbl", "full_outer").select(
+        ends.join(spread(current), "tbl", "full_outer").select(
             F.monotonically_increasing_id().alias("id"),
             "tbl",
             F.coalesce("is_current", F.lit(False)).alias("is_current"),
@@ -70,8 +70,8 @@ def table_graph(edges: DataFrame, current_tables: DataFrame) -> TableGraph:
         "nodes",
     )
     numbered = (
-        edges.join(nodes.select(F.col("id").alias("src"), F.col("tbl").alias("source")), "source")
-        .join(nodes.select(F.col("id").alias("dst"), F.col("tbl").alias("target")), "target")
+        edges.join(spread(nodes.select(F.col("id").alias("src"), F.col("tbl").alias("source"))), "source")
+        .join(spread(nodes.select(F.col("id").alias("dst"), F.col("tbl").alias("target"))), "target")
         .select("src", "dst", "weight")
     )
     return TableGraph(nodes, materialize(numbered, "edges"))
@@ -84,17 +84,17 @@ def reachable(graph: TableGraph, starts: DataFrame | None = None) -> DataFrame:
     """
     links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
     asked = graph.current(starts).select(F.col("id").alias("src"))
-    seed = links.join(asked, "src", "left_semi").select(
+    seed = links.join(spread(asked), "src", "left_semi").select(
         F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1).alias("depth")
     )
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (
-            newest.join(links, F.col("node") == F.col("src"))
+            newest.join(spread(links), F.col("node") == F.col("src"))
             .filter(F.col("dst") != F.col("source"))
             .groupBy("source", F.col("dst").alias("node"))
             .agg((F.max("depth") + 1).alias("depth"))  # all of the newest are at one depth
-            .join(seen.select("source", "node"), ["source", "node"], "left_anti")
+            .join(spread(seen.select("source", "node")), ["source", "node"], "left_anti")
         )
 
     return grow(seed, step, "reach")
@@ -112,7 +112,7 @@ def downstream_trace(graph: TableGraph, pairs: DataFrame, starts: DataFrame | No
     """(start, edge_source, edge_target): the edges on or behind each current table that ``pairs`` is walked from."""
     from_start = graph.current(starts).select(F.col("id").alias("source"), F.col("id").alias("node"))
     at = pairs.select("source", "node").unionByName(from_start)
-    hops = at.join(graph.edges.select("src", "dst"), F.col("node") == F.col("src")).drop("node")
+    hops = at.join(spread(graph.edges.select("src", "dst")), F.col("node") == F.col("src")).drop("node")
     return graph.name(hops, start="source", edge_source="src", edge_target="dst")
 
 
@@ -125,10 +125,10 @@ def _best_products(seed: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
         best = seen.groupBy("source", "node").agg(F.max("w").alias("best"))
         return (
-            newest.join(edges, F.col("node") == F.col("src"))
+            newest.join(spread(edges), F.col("node") == F.col("src"))
             .groupBy("source", F.col("dst").alias("node"))
             .agg(F.max(F.col("w") * F.col("weight")).alias("w"))
-            .join(best, ["source", "node"], "left")
+            .join(spread(best), ["source", "node"], "left")
             .filter(F.col("w") > F.coalesce("best", F.lit(0.0)) * (1 + GAIN))
         )
 
@@ -147,14 +147,15 @@ def endless_gains(arcs: DataFrame) -> DataFrame:
     found = []
     while not walks.isEmpty():
         circles = walks.filter((F.col("hot") == F.col("next")) & (F.col("gain") > GAIN)).select("hot")
-        into = walks.join(circles.withColumnRenamed("hot", "next"), "next", "left_semi").select("hot")
+        into = walks.join(spread(circles.withColumnRenamed("hot", "next")), "next", "left_semi").select("hot")
         endless = materialize(circles.unionByName(into).distinct(), "endless")
         found.append(endless)
-        left = walks.join(endless, "hot", "left_anti").join(endless.withColumnRenamed("hot", "next"), "next", "left_anti")
+        left = walks.join(spread(endless), "hot", "left_anti")
+        left = left.join(spread(endless.withColumnRenamed("hot", "next")), "next", "left_anti")
         if left.filter("better").isEmpty():
             break
         ahead = left.select(F.col("hot").alias("next"), F.col("next").alias("end"), F.col("gain").alias("more"))
-        longer = left.join(ahead, "next").select("hot", F.col("end").alias("next"), (F.col("gain") + F.col("more")).alias("gain"))
+        longer = left.join(spread(ahead), "next").select("hot", F.col("end").alias("next"), (F.col("gain") + F.col("more")).alias("gain"))
         known = left.select("hot", "next", "gain", F.col("gain").alias("known"))
         best = longer.withColumn("known", F.lit(None).cast("double")).unionByName(known).groupBy("hot", "next")
         best = best.agg(F.max("gain").alias("gain"), F.max("known").alias("known"))
@@ -181,21 +182,21 @@ def diverging(edges: DataFrame) -> DataFrame:
     cold = _best_products(heads, edges.filter(F.col("weight") <= 1), "cold")
     nexts = hot.select(F.col("hot").alias("next"), F.col("src").alias("node"))
     arcs = (
-        hot.join(cold.withColumnRenamed("source", "dst"), "dst")
+        hot.join(spread(cold.withColumnRenamed("source", "dst")), "dst")
         .filter(F.col("w") > 0)
-        .join(nexts, "node")
+        .join(spread(nexts), "node")
         .select("hot", "next", (F.col("log_weight") + F.log("w")).alias("gain"))
     )
     arcs = materialize(arcs, "hot-arcs")
     endless = endless_gains(arcs)
-    seed = hot.join(endless, "hot").select(F.col("src").alias("id")).distinct()
+    seed = hot.join(spread(endless), "hot").select(F.col("src").alias("id")).distinct()
 
     def upstream(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (
-            newest.join(edges, F.col("id") == F.col("dst"))
+            newest.join(spread(edges), F.col("id") == F.col("dst"))
             .select(F.col("src").alias("id"))
             .distinct()
-            .join(seen, "id", "left_anti")
+            .join(spread(seen), "id", "left_anti")
         )
 
     return grow(seed, upstream, "diverging")
@@ -208,9 +209,10 @@ def influence(graph: TableGraph) -> DataFrame:
     infinite influence; gains of less than ``GAIN`` are taken for rounding.
     """
     endless = diverging(graph.edges)
-    starts = graph.current().select(F.col("id").alias("src")).join(endless.withColumnRenamed("id", "src"), "src", "left_anti")
+    ends = spread(endless.withColumnRenamed("id", "src"))
+    starts = graph.current().select(F.col("id").alias("src")).join(ends, "src", "left_anti")
     seed = (
-        graph.edges.join(starts, "src", "left_semi")
+        graph.edges.join(spread(starts), "src", "left_semi")
         .filter(F.col("weight") > 0)
         .select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("weight").alias("w"))
     )
@@ -219,7 +221,7 @@ def influence(graph: TableGraph) -> DataFrame:
     return (
         graph.current()
         .select(F.col("id").alias("source"))
-        .join(sums, "source", "left")
+        .join(spread(sums), "source", "left")
         .select("source", F.coalesce("influence", F.lit(0.0)).alias("influence"))
     )
 
@@ -236,7 +238,7 @@ def _lifts(tree: DataFrame, put: Put) -> list[DataFrame]:
     lifts = [tree.select("source", "node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("hops"))]
     while not lifts[-1].filter(F.col("up") != F.col("source")).isEmpty():
         again = lifts[-1].select("source", F.col("node").alias("up"), F.col("up").alias("further"), F.col("hops").alias("more"))
-        longer = lifts[-1].join(again, ["source", "up"], "left")
+        longer = lifts[-1].join(spread(again), ["source", "up"], "left")
         lifts.append(
             put(
                 longer.select(
@@ -248,66 +250,74 @@ def _lifts(tree: DataFrame, put: Put) -> list[DataFrame]:
     return lifts
 
 
-def _common_ancestors(meets: DataFrame, lifts: list[DataFrame]) -> DataFrame:
+def _common_ancestors(meets: DataFrame, lifts: list[DataFrame], put: Put) -> DataFrame:
     """``(source, node, parent)``: of each node of ``meets(source, node, at)`` the nearest common ancestor of all its ``at``.
 
     They are lifted to one depth, and then together as long as they stay apart, by jumps of falling length. Places that
-    have become one are one row, so a hub's many predecessors soon are few.
+    have become one are one row, so a hub's many predecessors soon are few, and a node whose places are one is done.
     """
     depths = lifts[-1].select("source", F.col("node").alias("at"), F.col("hops").alias("depth"))
     group = Window.partitionBy("source", "node")
 
     def up(rows: DataFrame, lift: DataFrame) -> DataFrame:
         jumps = lift.select("source", F.col("node").alias("at"), "up")
-        return rows.join(jumps, ["source", "at"], "left").withColumn("up", F.coalesce("up", "source"))
+        return rows.join(spread(jumps), ["source", "at"], "left").withColumn("up", F.coalesce("up", "source"))
 
-    rows = meets.join(depths, ["source", "at"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("bigint")))
+    rows = meets.join(spread(depths), ["source", "at"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("bigint")))
     rows = rows.withColumn("high", F.col("depth") - F.min("depth").over(group)).select("source", "node", "at", "high")
     for k, lift in enumerate(lifts):
         wanted = F.col("high").bitwiseAND(1 << k) != 0
         rows = up(rows, lift).select("source", "node", F.when(wanted, F.col("up")).otherwise(F.col("at")).alias("at"), "high")
     rows = rows.select("source", "node", "at").distinct()
-    apart = F.min("at").over(group) != F.max("at").over(group)
+    rows = put(rows.withColumn("apart", F.min("at").over(group) != F.max("at").over(group)), "level")
+    one = rows.filter(~F.col("apart")).select("source", "node", F.col("at").alias("parent"))
+    rows = rows.filter("apart").drop("apart")
     still = F.min("up").over(group) != F.max("up").over(group)
     for lift in reversed(lifts):
         moved = up(rows, lift).withColumn("still", still)
         rows = moved.select("source", "node", F.when(F.col("still"), F.col("up")).otherwise(F.col("at")).alias("at")).distinct()
-    last = up(rows, lifts[0]).withColumn("apart", apart)
-    return last.groupBy("source", "node").agg(F.min(F.when(F.col("apart"), F.col("up")).otherwise(F.col("at"))).alias("parent"))
+    return one.unionByName(up(rows, lifts[0]).groupBy("source", "node").agg(F.min("up").alias("parent")))
 
 
 def dominator_trees(graph: TableGraph, pairs: DataFrame, put: Put) -> tuple[DataFrame, list[DataFrame]]:
-    """``(source, node, parent)`` for all of ``pairs``, and the jumps in it: ``parent`` is the last table that every path
-    from ``source`` to ``node`` goes through before it.
+    """``(source, node, parent, turn)`` for all of ``pairs``, and the jumps in it: ``parent`` is the last table that every
+    path from ``source`` to ``node`` goes through before it.
 
     Begins with the trees of shortest paths. Each round, a node with several predecessors moves below the nearest common
     ancestor of these. Ancestors only ever leave, those on every path never do, and when nothing moves the rest has
-    gone. Rows are pairs and jumps in every round, however long the paths are.
+    gone. A source whose tree rests is done, the others go on, so rounds soon have few rows; none has more than pairs and
+    jumps, however long the paths are. ``turn`` is the round after which a tree rested; of the jumps, those of
+    that round and source are the tree's.
     """
     links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
     roots = pairs.select("source").distinct()
     depths = pairs.select("source", F.col("node").alias("src"), "depth").unionByName(
         roots.select("source", F.col("source").alias("src"), F.lit(0).alias("depth"))
     )
-    before = depths.join(links, "src").filter(F.col("dst") != F.col("source"))
+    before = depths.join(spread(links), "src").filter(F.col("dst") != F.col("source"))
     before = put(before.select("source", F.col("dst").alias("node"), F.col("src").alias("at"), "depth"), "before")
     first = before.groupBy("source", "node").agg(
         F.min(F.struct("depth", "at")).alias("first"), (F.count(F.lit(1)) > 1).alias("several")
     )
     tree = put(first.select("source", "node", F.col("first.at").alias("parent"), "several"), "tree")
-    meets = before.join(tree.filter("several"), ["source", "node"], "left_semi").select("source", "node", "at")
+    meets = before.join(spread(tree.filter("several")), ["source", "node"], "left_semi").select("source", "node", "at")
+    meets, tree = put(meets, "meets"), tree.drop("several")
+    rested: list[DataFrame] = []
+    jumps: list[list[DataFrame]] = []
     while True:
+        turn = F.lit(len(rested)).alias("turn")
         lifts = _lifts(tree, put)
-        moves = _common_ancestors(meets, lifts).withColumnRenamed("parent", "new")
-        moved = F.coalesce(F.col("new") != F.col("parent"), F.lit(False))
-        tree = put(
-            tree.drop("moved").join(moves, ["source", "node"], "left").select(
-                "source", "node", F.coalesce("new", "parent").alias("parent"), "several", moved.alias("moved")
-            ),
-            "tree",
-        )
-        if tree.filter("moved").isEmpty():
-            return tree, lifts
+        for k, lift in enumerate(lifts):
+            jumps[k:] = [[*(jumps[k] if k < len(jumps) else []), lift.select("*", turn)], *jumps[k + 1 :]]
+        moves = _common_ancestors(meets, lifts, put).withColumnRenamed("parent", "new")
+        moves = put(tree.join(spread(moves), ["source", "node"]).filter("new <> parent").drop("parent"), "moves")
+        restless = moves.select("source").distinct()
+        rested.append(tree.join(spread(restless), "source", "left_anti").select("*", turn))
+        if moves.isEmpty():
+            return reduce(DataFrame.unionByName, rested), [reduce(DataFrame.unionByName, parts) for parts in jumps]
+        tree = tree.join(spread(restless), "source", "left_semi").join(spread(moves), ["source", "node"], "left")
+        tree = put(tree.select("source", "node", F.coalesce("new", "parent").alias("parent")), "tree")
+        meets = put(meets.join(spread(restless), "source", "left_semi"), "meets")
 
 
 def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
@@ -318,23 +328,22 @@ def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
     computed per removed table.
     """
     with scratch(graph.nodes.sparkSession, "dominators") as put:
-        _, lifts = dominator_trees(graph, pairs, put)
+        tree, lifts = dominator_trees(graph, pairs, put)
         # Nodes less than 1, 2, 4, ... steps below each, itself included.
-        sizes = pairs.select("source", "node").unionByName(pairs.select("source", F.col("source").alias("node")).distinct())
-        sizes = sizes.withColumn("size", F.lit(1).cast("bigint"))
+        sizes = tree.select("turn", "source", "node")
+        sizes = sizes.unionByName(sizes.select("turn", "source", F.col("source").alias("node")).distinct())
+        sizes = put(sizes.withColumn("size", F.lit(1).cast("bigint")), "sizes")
         for k, lift in enumerate(lifts):
-            whole = lift.filter(F.col("hops") == 1 << k).join(sizes, ["source", "node"])
-            below = whole.groupBy("source", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-            sizes = sizes.join(below, ["source", "node"], "left").select(
-                "source", "node", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")
-            )
+            whole = lift.filter(F.col("hops") == 1 << k).join(spread(sizes), ["turn", "source", "node"])
+            below = whole.select("turn", "source", F.col("up").alias("node"), "size")
+            sizes = sizes.unionByName(below).groupBy("turn", "source", "node").agg(F.sum("size").alias("size"))
             sizes = put(sizes, "sizes")
         counted = materialize(sizes.groupBy(F.col("node").alias("id")).agg(F.sum(F.col("size") - 1).alias("lost")), "lost")
     total = reachable_pairs(pairs).scalar()
     lost = F.coalesce("lost", F.lit(0))
     return (
         graph.current()
-        .join(counted, "id", "left")
+        .join(spread(counted), "id", "left")
         .select("id", lost.alias("lost"), F.when(total > 0, lost / total).otherwise(0.0).alias("connectivity_loss"))
     )
 
@@ -345,8 +354,8 @@ def degrees(edges: DataFrame, current_tables: DataFrame) -> DataFrame:
 
     return (
         current_tables.select("tbl")
-        .join(count("target", "in_count"), "tbl", "left")
-        .join(count("source", "out_count"), "tbl", "left")
+        .join(spread(count("target", "in_count")), "tbl", "left")
+        .join(spread(count("source", "out_count")), "tbl", "left")
         .na.fill(0, ["in_count", "out_count"])
     )
 
@@ -359,32 +368,32 @@ def layers(graph: TableGraph) -> DataFrame:
     """
     links = graph.edges.select("src", "dst")
     incoming = links.select(F.col("dst").alias("id")).distinct()
-    roots = materialize(graph.current().select("id").join(incoming, "id", "left_anti"), "roots")
+    roots = materialize(graph.current().select("id").join(spread(incoming), "id", "left_anti"), "roots")
 
-    def spread(newest: DataFrame, seen: DataFrame) -> DataFrame:
+    def onward(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (
-            newest.join(links, F.col("id") == F.col("src"))
+            newest.join(spread(links), F.col("id") == F.col("src"))
             .select(F.col("dst").alias("id"))
             .distinct()
-            .join(seen, "id", "left_anti")
+            .join(spread(seen), "id", "left_anti")
         )
 
-    inside = grow(roots, spread, "rooted")
-    rooted = materialize(links.join(inside.withColumnRenamed("id", "src"), "src", "left_semi"), "rooted-edges")
+    inside = grow(roots, onward, "rooted")
+    rooted = materialize(links.join(spread(inside.withColumnRenamed("id", "src")), "src", "left_semi"), "rooted-edges")
     needed = rooted.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("needed"))
 
     # A row is one batch of resolved predecessors; a table is placed by the row that completes it.
     def place(newest: DataFrame, seen: DataFrame) -> DataFrame:
         arrived = (
             newest.filter("placed")
-            .join(rooted, F.col("id") == F.col("src"))
+            .join(spread(rooted), F.col("id") == F.col("src"))
             .groupBy(F.col("dst").alias("id"))
             .agg(F.count(F.lit(1)).alias("got"), (F.max("layer") + 1).alias("layer"))
         )
         before = seen.groupBy("id").agg(F.sum("got").alias("had"))
         return (
-            arrived.join(before, "id", "left")
-            .join(needed, "id")
+            arrived.join(spread(before), "id", "left")
+            .join(spread(needed), "id")
             .withColumn("placed", F.col("got") + F.coalesce("had", F.lit(0)) == F.col("needed"))
         )
 
@@ -393,8 +402,8 @@ def layers(graph: TableGraph) -> DataFrame:
     flagged = inside.withColumn("_rooted", F.lit(True))
     return (
         graph.current()
-        .join(placed, "id", "left")
-        .join(flagged, "id", "left")
+        .join(spread(placed), "id", "left")
+        .join(spread(flagged), "id", "left")
         .withColumn("cyclic", F.col("_rooted").isNotNull() & F.col("layer").isNull())
         .select("tbl", F.when(~F.col("cyclic"), F.coalesce("layer", F.lit(0))).alias("layer"), "cyclic")
     )

@@ -9,7 +9,7 @@ from headwater.functions.quantile import nearest_rank
 from headwater.operators import graph as g
 from headwater.operators.runs import table_usage
 from headwater.plans.model import LineageModel
-from headwater.storage import materialize, together
+from headwater.storage import materialize, spread, together
 
 # Weights of influence, connectivity and usage; length of the short list.
 ALPHA, BETA, GAMMA = 0.5, 0.3, 0.2
@@ -37,9 +37,9 @@ def critical_tables(
     # Written once: the maxima and the scores both read it.
     parts = materialize(
         graph.current()
-        .join(influence, "id", "left")
-        .join(loss, "id", "left")
-        .join(usage, "tbl", "left")
+        .join(spread(influence), "id", "left")
+        .join(spread(loss), "id", "left")
+        .join(spread(usage), "tbl", "left")
         .select(
             "tbl",
             F.coalesce("influence", F.lit(0.0)).alias("influence"),

@@ -4,6 +4,7 @@ Everything that cuts lineage is written as Parquet under the shared folder named
 ``spark.checkpoint.dir``, so a lost executor costs a re-read and never a recompute of the
 whole job. Reading the files back also gives Catalyst real sizes, which is what decides
 broadcast or shuffle joins downstream: no join in this package forces a broadcast.
+Joins inside loops, and of tables that grow with the input, are shuffled (:func:`spread`).
 """
 
 from __future__ import annotations
@@ -50,6 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, new_path(df.sparkSession, name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that shuffles both sides.
+
+    Columns of numbers and of few texts take a tenth of their memory in Parquet files or less. By file sizes, Spark would send such a
+    table whole through the driver, once for each round of a loop.
+    """
+    return df.hint("merge")
+
+
 #: Whether Spark drops a query's shuffle files as soon as it has run.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
