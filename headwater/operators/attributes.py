@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.operators.iterate import grow
-from headwater.storage import materialize
+from headwater.storage import materialize, spread
 
 
 @dataclass
@@ -28,11 +28,11 @@ class AttributeGraph:
         if starts is None:
             return nodes
         keys = [c for c in ("tbl", "attr") if c in starts.columns]
-        return nodes.join(starts.select(*keys).distinct(), keys, "left_semi")
+        return nodes.join(spread(starts.select(*keys).distinct()), keys, "left_semi")
 
     def name(self, df: DataFrame, column: str, tbl: str, attr: str) -> DataFrame:
         names = self.nodes.select(F.col("id").alias(column), F.col("tbl").alias(tbl), F.col("attr").alias(attr))
-        return df.join(names, column).drop(column)
+        return df.join(spread(names), column).drop(column)
 
 
 def attribute_graph(transformations: DataFrame, current_attributes: DataFrame) -> AttributeGraph:
@@ -43,7 +43,7 @@ def attribute_graph(transformations: DataFrame, current_attributes: DataFrame) -
     ends = used.select(F.explode(F.array(point("input"), point("output"))).alias("p")).select("p.*").distinct()
     current = current_attributes.select("tbl", "attr").withColumn("is_current", F.lit(True))
     nodes = materialize(
-        ends.join(current, ["tbl", "attr"], "full_outer").select(
+        ends.join(spread(current), ["tbl", "attr"], "full_outer").select(
             F.monotonically_increasing_id().alias("id"),
             "tbl",
             "attr",
@@ -60,8 +60,8 @@ def attribute_graph(transformations: DataFrame, current_attributes: DataFrame) -
     )
     routes = (
         used.withColumn("note", note)
-        .join(end("input", "src"), ["input_table", "input_attribute"])
-        .join(end("output", "dst"), ["output_table", "output_attribute"])
+        .join(spread(end("input", "src")), ["input_table", "input_attribute"])
+        .join(spread(end("output", "dst")), ["output_table", "output_attribute"])
         .select("src", "dst", "job", "input_table", "input_attribute", F.col("from_seq").alias("seq"), "pos", "note")
     )
     return AttributeGraph(nodes, materialize(routes, "routes"))
@@ -73,22 +73,22 @@ def downstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None
     The walk never enters a current attribute of the table it started from.
     """
     owner = graph.nodes.select(F.col("id").alias("dst"), F.col("tbl").alias("dst_tbl"), "is_current")
-    links = materialize(graph.routes.select("src", "dst").distinct().join(owner, "dst"), "links")
+    links = materialize(graph.routes.select("src", "dst").distinct().join(spread(owner), "dst"), "links")
     outside = ~(F.col("is_current") & (F.col("dst_tbl") == F.col("root_tbl")))
     roots = graph.current(starts).select(F.col("id").alias("root"), F.col("tbl").alias("root_tbl"))
     seed = (
-        roots.join(links, F.col("root") == F.col("src"))
+        roots.join(spread(links), F.col("root") == F.col("src"))
         .filter(outside)
         .select("root", "root_tbl", F.col("dst").alias("node"))
     )
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (
-            newest.join(links, F.col("node") == F.col("src"))
+            newest.join(spread(links), F.col("node") == F.col("src"))
             .filter(outside)
             .select("root", "root_tbl", F.col("dst").alias("node"))
             .distinct()
-            .join(seen.select("root", "node"), ["root", "node"], "left_anti")
+            .join(spread(seen.select("root", "node")), ["root", "node"], "left_anti")
         )
 
     walked = grow(seed, step, "downstream")
@@ -116,7 +116,7 @@ def upstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None)
         "steps-up",
     )
     asked = graph.current(starts).select(F.col("id").alias("dst"))
-    seed = steps.join(asked, "dst", "left_semi").select(
+    seed = steps.join(spread(asked), "dst", "left_semi").select(
         F.col("dst").alias("start"),
         F.col("src").alias("node"),
         F.lit(1).alias("depth"),
@@ -129,10 +129,10 @@ def upstream_attributes(graph: AttributeGraph, starts: DataFrame | None = None)
         return (
             newest.drop("note")
             .filter(F.col("node") != F.col("start"))
-            .join(steps, F.col("node") == F.col("dst"))
+            .join(spread(steps), F.col("node") == F.col("dst"))
             .groupBy("start", F.col("src").alias("node"))
             .agg(F.min(found).alias("f"), F.min(F.col("depth") + 1).alias("depth"))
-            .join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            .join(spread(seen.select("start", "node")), ["start", "node"], "left_anti")
             .select("start", "node", "depth", _rank("start", F.struct("f.rank", "f.k")).alias("rank"), "f.note")
         )
 
@@ -156,10 +156,10 @@ def impact_closure(graph: AttributeGraph, starts: DataFrame) -> DataFrame:
 
     def step(newest: DataFrame, seen: DataFrame) -> DataFrame:
         return (
-            newest.join(links, F.col("node") == F.col("src"))
+            newest.join(spread(links), F.col("node") == F.col("src"))
             .groupBy("start", F.col("dst").alias("node"))
             .agg(F.min(F.struct("rank", "id")).alias("order"), F.min(F.col("depth") + 1).alias("depth"))
-            .join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            .join(spread(seen.select("start", "node")), ["start", "node"], "left_anti")
             .select("start", "node", "depth", _rank("start", F.col("order")).alias("rank"))
         )
 
@@ -178,16 +178,16 @@ def impact_paths(graph: AttributeGraph, changes: DataFrame) -> DataFrame:
     points = changes.groupBy("report", "tbl", "attr").agg(
         F.min("place").alias("place"), F.max_by("change_type", "place").alias("change_type")
     )
-    located = points.join(graph.nodes.select("id", "tbl", "attr"), ["tbl", "attr"])
+    located = points.join(spread(graph.nodes.select("id", "tbl", "attr")), ["tbl", "attr"])
     closure = impact_closure(graph, located.select("id").distinct())
     claimed = (
-        located.join(closure, F.col("id") == F.col("start"))
+        located.join(spread(closure), F.col("id") == F.col("start"))
         .groupBy("report", "node")
         .agg(F.min(F.struct("depth", "place", "rank", F.struct("tbl", "attr", "change_type").alias("from"))).alias("c"))
         .select("report", "node", "c.*")
     )
     routes = graph.routes.groupBy("src", "dst", "job").agg(F.min(F.struct("seq", "pos")).alias("id"))
-    paths = claimed.join(routes, F.col("node") == F.col("src")).select(
+    paths = claimed.join(spread(routes), F.col("node") == F.col("src")).select(
         "report",
         "from.tbl",
         "from.attr",

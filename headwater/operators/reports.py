@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.operators.attributes import AttributeGraph, impact_paths
+from headwater.storage import spread
 
 TABLE_REPORT = ["tbl", "old_version", "new_version"]
 JOB_REPORT = ["job", "old_version", "new_version"]
@@ -31,7 +32,7 @@ def _sides(pairs: DataFrame, rows: DataFrame, key: str, version: str) -> tuple[D
     renamed = rows.withColumnRenamed(version, "_version")
     return tuple(
         pairs.withColumnRenamed(side, "_version")
-        .join(renamed, [key, "_version"])
+        .join(spread(renamed), [key, "_version"])
         .withColumnRenamed("_version", side)
         for side in ("old_version", "new_version")
     )
@@ -94,16 +95,16 @@ def job_logic_changed(pairs: DataFrame, diff: DataFrame, jobs: DataFrame, transf
     """Where only the SQL text differs: one change per output attribute of the new version."""
     sql = jobs.select("job", "version", "sql")
     texts = (
-        pairs.join(diff.select(*JOB_REPORT).distinct(), JOB_REPORT, "left_anti")
-        .join(sql.select("job", F.col("version").alias("old_version"), F.col("sql").alias("old_sql")), ["job", "old_version"])
-        .join(sql.select("job", F.col("version").alias("new_version"), F.col("sql").alias("new_sql")), ["job", "new_version"])
+        pairs.join(spread(diff.select(*JOB_REPORT).distinct()), JOB_REPORT, "left_anti")
+        .join(spread(sql.select("job", F.col("version").alias("old_version"), F.col("sql").alias("old_sql"))), ["job", "old_version"])
+        .join(spread(sql.select("job", F.col("version").alias("new_version"), F.col("sql").alias("new_sql"))), ["job", "new_version"])
         .filter(~F.col("old_sql").eqNullSafe(F.col("new_sql")))
         .select(*JOB_REPORT)
     )
     outputs = transformations.select(
         "job", F.col("job_version").alias("new_version"), "output_table", "output_attribute"
     ).distinct()
-    return texts.join(outputs, ["job", "new_version"]).select(
+    return texts.join(spread(outputs), ["job", "new_version"]).select(
         *JOB_REPORT, "output_table", "output_attribute", F.lit("LOGIC_CHANGED").alias("change_type")
     )
 
