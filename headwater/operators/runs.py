@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.operators.parse import FINAL_TYPES
+from headwater.storage import spread
 
 
 def run_aggregates(order: Column) -> list[Column]:
@@ -27,7 +28,7 @@ def job_runs(events: DataFrame, links: DataFrame) -> DataFrame:
     on the map side and never multiplied.
     """
     runs = events.groupBy("run_id").agg(*run_aggregates(F.col("seq")))
-    return links.select("job", "run_id").distinct().join(runs, "run_id")
+    return links.select("job", "run_id").distinct().join(spread(runs), "run_id")
 
 
 def sorted_job_runs(runs: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def table_usage(links: DataFrame, job_tables: DataFrame, current_tables: DataFra
     )
     current = current_tables.select("tbl", F.col("version").alias("tbl_version"))
     return (
-        reads.join(events, ["job", "version"])
-        .join(current, ["tbl", "tbl_version"])
+        reads.join(spread(events), ["job", "version"])
+        .join(spread(current), ["tbl", "tbl_version"])
         .groupBy("tbl")
         .agg(F.sum("n").alias("usage"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from headwater.functions.chunks import CLOSE, INHERIT, PROBE, SPAN, STATE, Prior, change_history
 from headwater.functions.names import signature
 from headwater.schemas import FIELDS
-from headwater.storage import together
+from headwater.storage import spread, together
 
 # Stores a DataFrame under a name and returns it read back.
 Write = Callable[[str, DataFrame], DataFrame]
@@ -310,7 +310,7 @@ def open_tables(starts: DataFrame, closings: DataFrame) -> DataFrame:
     """
     newest = F.max_by(F.struct("namespace", "schema_name", "version", "seq", "ts", "fields"), "version")
     last = starts.groupBy("tbl").agg(newest.alias("s")).select("tbl", "s.*")
-    return last.join(closings.select("tbl", "version"), ["tbl", "version"], "left_anti").select(
+    return last.join(spread(closings.select("tbl", "version")), ["tbl", "version"], "left_anti").select(
         "tbl",
         "namespace",
         "schema_name",
@@ -330,7 +330,7 @@ def open_transformations(jobs: DataFrame, sets: DataFrame, transformations: Data
     versions = jobs.groupBy("job").agg(last.alias("v")).select("job", "v.*")
     newest = sets.filter("changed").groupBy("job", "job_version").agg(F.max("set_no").alias("set_no"))
     return (
-        transformations.join(versions.join(newest, ["job", "job_version"]), ["job", "job_version", "set_no"])
+        transformations.join(spread(versions.join(spread(newest), ["job", "job_version"])), ["job", "job_version", "set_no"])
         .withColumnRenamed("seq", "from_seq")
         .withColumnRenamed("ts", "valid_from")
     )

@@ -11,7 +11,7 @@ from headwater.functions.chunks import CLOSE, PROBE, SPAN, STATE, Prior
 from headwater.operators import versions as v
 from headwater.operators.parse import good_events, parse_events
 from headwater.operators.sync import sync_removed
-from headwater.storage import jit_sized_methods, new_path, together, write_table
+from headwater.storage import jit_sized_methods, new_path, spread, together, write_table
 
 
 @dataclass(frozen=True)
@@ -42,13 +42,13 @@ class LineageModel:
     def event_log(self) -> DataFrame:
         """Every stored event; events that updated nothing have a null job link."""
         link = self.links.select("seq", F.col("job").alias("job_name"), F.col("version").alias("job_version"))
-        return self.events.select("seq", "run_id", "event_type", "event_time", "raw").join(link, "seq", "left")
+        return self.events.select("seq", "run_id", "event_type", "event_time", "raw").join(spread(link), "seq", "left")
 
     def ingest_results(self) -> DataFrame:
         """What each event did: changed the model or not, and how much it carried."""
         sets = self.logs["sets"].select("seq", F.col("changed").alias("set_changed"))
         done = (
-            self.links.join(sets, "seq", "left")
+            self.links.join(spread(sets), "seq", "left")
             .select(
                 "seq",
                 (F.col("tables_changed") | F.col("changed") | F.coalesce("set_changed", F.lit(False))).alias(
@@ -63,7 +63,7 @@ class LineageModel:
             F.when(F.col("is_final"), F.size("inputs")).otherwise(0).alias("inputs"),
             F.when(F.col("is_final"), F.size("outputs")).otherwise(0).alias("outputs"),
         )
-        return counted.join(done, "seq", "left").select(
+        return counted.join(spread(done), "seq", "left").select(
             "seq",
             F.coalesce("model_updated", F.lit(False)).alias("model_updated"),
             F.coalesce("job_changed", F.lit(False)).alias("job_changed"),
@@ -91,8 +91,8 @@ class LineageModel:
             "tbl", "version", F.col("seq").alias("closed_seq"), F.col("ts").alias("closed_ts")
         )
         return (
-            starts.join(nexts, ["tbl", "version"], "left")
-            .join(closed, ["tbl", "version"], "left")
+            starts.join(spread(nexts), ["tbl", "version"], "left")
+            .join(spread(closed), ["tbl", "version"], "left")
             .select(
                 "tbl",
                 "namespace",
@@ -153,7 +153,7 @@ class LineageModel:
             F.col("seq").alias("to_seq"),
             F.col("ts").alias("valid_to"),
         )
-        return starts.join(nexts, ["job", "version"], "left").select(
+        return starts.join(spread(nexts), ["job", "version"], "left").select(
             "job",
             "version",
             "job_namespace",
@@ -191,7 +191,7 @@ class LineageModel:
         )
         return (
             self.job_versions()
-            .join(stored, ["job", "version"], "left")
+            .join(spread(stored), ["job", "version"], "left")
             .select(
                 "job", "version", "from_seq", "to_seq", F.coalesce("n", F.lit(0)).alias("transformation_count")
             )
@@ -220,8 +220,8 @@ class LineageModel:
         )
         return (
             self.logs["transformations"]
-            .join(nexts, ["job", "job_version", "set_no"], "left")
-            .join(ends, ["job", "job_version"], "left")
+            .join(spread(nexts), ["job", "job_version", "set_no"], "left")
+            .join(spread(ends), ["job", "job_version"], "left")
             .withColumnRenamed("seq", "from_seq")
             .withColumnRenamed("ts", "valid_from")
             .withColumn("to_seq", F.coalesce("set_to", "job_to"))

@@ -63,9 +63,10 @@ class Workbench:
 
     @cached_property
     def table_diff(self) -> DataFrame:
-        versions = self.model.table_versions()
-        pairs = reports.consecutive(versions, "tbl")
-        return materialize(reports.table_version_diff(pairs, self.model.attribute_versions()), "table-diff")
+        # Rows of the log are the versions; where they end is not asked.
+        starts = self.model.logs["tables"]
+        pairs = reports.consecutive(starts, "tbl")
+        return materialize(reports.table_version_diff(pairs, self.model._attributes(starts)), "table-diff")
 
     @cached_property
     def job_diffs(self) -> tuple[DataFrame, DataFrame]:
