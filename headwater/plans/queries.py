@@ -617,26 +617,35 @@ def sync_then_ingest(w):
 # -- streams -----------------------------------------------------------------------------
 
 
-#: Files of each landed range.
-LANDED_FILES = 4
+#: Files of each landed range at least, and events of a file from which on there are more.
+LANDED_FILES, LANDED_ROWS = 4, 100_000
 
 
-def _landed(w: Workbench, slices: int) -> str:
-    """The event log landed in arrival order, ``LANDED_FILES`` files a range."""
+def landed_files(events: DataFrame, step: int, slices: int) -> int:
+    """Files of each of so many ranges of ``step`` numbers: all have the same, as a batch is a number of files."""
+    held = events.groupBy(F.floor(F.col("seq") / step).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = [r["rows"] for r in held.where(F.col("n").between(0, slices - 1)).collect()]  # one a range
+    least = min(rows) if len(rows) == slices else 0
+    return max(LANDED_FILES, least // LANDED_ROWS)
+
+
+def _landed(w: Workbench, slices: int) -> tuple[str, int]:
+    """The event log landed in arrival order, and the files of each range."""
     path = new_path(w.spark, "landing")
     events = materialize(derived_events(w.spark, w.sf_dir), "arrivals")
     step = w.last_seq // slices + 1
+    files = landed_files(events, step, slices)
     for n in range(slices):
         part = events.filter(F.col("seq").between(n * step, (n + 1) * step - 1))
-        part.repartition(LANDED_FILES).write.mode("append").parquet(path)
-    return path
+        part.repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 @query
 def stream_ingest_tables(w):
     stream = ModelStream(w.spark, new_path(w.spark, "stream"))
-    source = stream_events(w.spark, _landed(w, 3), files_per_batch=LANDED_FILES)
-    stream.start(source, availableNow=True).awaitTermination()
+    path, files = _landed(w, 3)
+    stream.start(stream_events(w.spark, path, files_per_batch=files), availableNow=True).awaitTermination()
     return _table_rows(stream.model().table_versions())
 
 
@@ -646,16 +655,18 @@ def stream_raw_lines(w):
     path = new_path(w.spark, "raw-lines")
     events = materialize(derived_events(w.spark, w.sf_dir), "arrivals")
     first, step = events.agg(F.min("seq")).first()[0], w.last_seq // 3 + 1
+    files = landed_files(events, step, 3)
     for n in range(3):
         part = events.filter(F.col("seq").between(n * step, (n + 1) * step - 1))
-        part.repartitionByRange(LANDED_FILES, "seq").sortWithinPartitions("seq").select("raw").write.mode("append").text(path)
+        part.repartitionByRange(files, "seq").sortWithinPartitions("seq").select("raw").write.mode("append").text(path)
     stream = LineStream(w.spark, new_path(w.spark, "lines"), first)
-    stream.start(stream_lines(w.spark, path, files_per_batch=LANDED_FILES), availableNow=True).awaitTermination()
+    stream.start(stream_lines(w.spark, path, files_per_batch=files), availableNow=True).awaitTermination()
     return stream.events().select("seq", "raw")
 
 
 @query
 def stream_job_runs(w):
     stream = RunStream(w.spark, new_path(w.spark, "runs"))
-    stream.start(stream_events(w.spark, _landed(w, 3), files_per_batch=LANDED_FILES), availableNow=True).awaitTermination()
+    path, files = _landed(w, 3)
+    stream.start(stream_events(w.spark, path, files_per_batch=files), availableNow=True).awaitTermination()
     return stream.runs()
