@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions.names import mask_credentials
+from headwater.storage import spread
 
 # The kinds of warehouse a sync can read.
 SOURCE_TYPES = ["postgresql", "greenplum", "clickhouse", "hadoop_spark"]
@@ -60,7 +61,7 @@ def sync_removed(specs: DataFrame, current_tables: DataFrame, scopes: DataFrame)
     """Current tables of the synced scopes that the snapshot no longer lists."""
     return (
         current_tables.join(scopes, ["namespace", "schema_name"], "left_semi")
-        .join(specs, "tbl", "left_anti")
+        .join(spread(specs), "tbl", "left_anti")
         .select("tbl", "namespace", "schema_name")
     )
 
@@ -70,7 +71,7 @@ def sync_diff(specs: DataFrame, current_tables: DataFrame, scopes: DataFrame | N
     scopes = scopes_of(specs) if scopes is None else scopes
     known = current_tables.select("tbl", F.col("fields").alias("known_fields"))
     same = F.col("known_fields").isNotNull() & ((F.size("fields") == 0) | (F.col("fields") == F.col("known_fields")))
-    listed = specs.join(known, "tbl", "left").select(
+    listed = specs.join(spread(known), "tbl", "left").select(
         "tbl", F.when(same, "unchanged").otherwise("changed").alias("status")
     )
     gone = sync_removed(specs, current_tables, scopes).select("tbl", F.lit("removed").alias("status"))

@@ -17,7 +17,7 @@ from headwater.operators.runs import run_aggregates
 from headwater.plans.model import LineageModel, advance, sync_tables
 from headwater.schemas import FIELDS, RAW_EVENTS
 from headwater.sources.events import number_placed
-from headwater.storage import exists, jit_sized_methods, remove, together, write_counted, write_table
+from headwater.storage import exists, jit_sized_methods, remove, spread, together, write_counted, write_table
 from headwater.streaming.state import StateLog
 
 _HELD = "last_sig binary, last_kind string, version bigint"
@@ -169,7 +169,7 @@ class ModelStream:
         tables = inside.unionByName(listed).dropDuplicates(["tbl"])
         state = self.states["table_state"].read(done, tables.select("tbl"))
         closed = state.where(F.col("last_kind") == CLOSE)
-        return tables.join(closed, "tbl", "left_anti")
+        return tables.join(spread(closed), "tbl", "left_anti")
 
     def sync(
         self,

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.storage import exists, remove
+from headwater.storage import exists, remove, spread
 
 
 class StateLog:
@@ -63,7 +63,7 @@ class StateLog:
             asked = asked.select(*self.keys).distinct()
             found = asked.select(self._bucket().alias("b")).distinct().limit(self.buckets).collect()
             rows = rows.where(F.col("bucket").isin([r["b"] for r in found]) if found else F.lit(False))
-            rows = rows.join(asked, self.keys, "left_semi")
+            rows = rows.join(spread(asked), self.keys, "left_semi")
         return self._newest(rows).select(*self.keys, "v.*").select(*self.columns)
 
     def _write(self, rows: DataFrame, first: int, last: int) -> None:
