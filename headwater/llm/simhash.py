@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -132,8 +133,9 @@ def simhash_components(docs: DataFrame, doc_id: Column, text: Column, words: int
 NEAR_WORDS, NEAR = 5, 0.8
 #: Shingles counted at a time for the order of keys, and how many of the most common ones it knows.
 CHUNK, COMMON = 1 << 20, 1 << 16
-#: Rounds in which holders of a key meet one of those like them, at the cost of their number, before all pairs do.
-ROUNDS = 8
+#: Rounds in which holders of a key meet some of those like them, at the cost of their number, before all pairs do, and
+#: bytes of the fingerprint that each round looks at.
+ROUNDS, BYTES = 2, 4
 #: Slots for each key in the table that tells which keys two texts may share.
 SLOTS_A_KEY = 8
 
@@ -254,13 +256,17 @@ def verified(
         return put(map_texts(both, columns, alike, "src bigint, dst bigint"), "alike")
 
 
-def still_apart(held: DataFrame, edges: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The groups of ``edges`` as ``(node, root)``, and ``held`` with its roots for keys whose holders are in several."""
-    roots = components(edges, put)
-    grouped = held.join(roots, "node", "left").select("key", "node", "n", "at", "fp", F.coalesce("root", "node").alias("root"))
-    grouped = put(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return roots, put(grouped.join(mixed, "key", "left_semi"), "apart")
+def in_several(held: DataFrame) -> DataFrame:
+    """The rows of ``held(key, root)`` whose key is held in more than one group."""
+    mixed = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return held.join(mixed, "key", "left_semi")
+
+
+def hooked(held: DataFrame, hooks: list[DataFrame]) -> DataFrame:
+    """``held`` with its roots moved along each of ``hooks(root, low)`` in turn."""
+    for hook in hooks:
+        held = held.join(hook, "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")
+    return held
 
 
 def near_copies(
@@ -273,7 +279,9 @@ def near_copies(
     Texts that read alike are one from the start, so a group of exact copies costs one text. Every pair of
     ``similarity`` has a key in common (``prefix_keys``), whatever the texts' lengths. First each text meets the
     least holder of each of its keys and those of SimHash fingerprints within two bits (``links``), which joins the
-    bulk of every group at the cost of its members; in a few rounds, holders of a key meet one that shares a part of their fingerprint. Then
+    bulk of every group at the cost of its members; in a few rounds, holders of a key meet those that share a part of their
+    fingerprint. A round only moves a group to the least one that it is linked with, which is a part of what its links join,
+    so that fewer pairs are left; all links are followed to their ends once, at the end. Before that,
     all pairs of a key's holders that are still in different groups, and whose sizes and places of the key leave room
     for ``similarity``, are looked at. Every pair is verified
     on the whole shingle sets, so the groups are those of all pairs.
@@ -300,11 +308,14 @@ def near_copies(
         docs, {"doc_id": doc_id, "text_hash": F.xxhash64(text), "text": text}, rows,
         "doc_id bigint, text_hash bigint, node bigint, fp bigint, n bigint, keys array<bigint>",
     )
-    table = put(read, "near")
-    nodes = table.groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n")
-    )
-    nodes = put(nodes, "nodes")
+    with scratch(docs.sparkSession, "keys") as own:
+        read = own(read, "read")
+        table = put(read.select("doc_id", "text_hash", "node"), "near")
+        # The keys of one row of each text; the others of it, however many, have the same.
+        firsts = [F.first(c).alias(c) for c in ("fp", "n", "keys")]
+        texts = own(read.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *firsts), "texts")
+        nodes = put(texts.drop("keys"), "nodes")
+        held = put(shared_keys(texts.drop("row")), "held")
     first = put(nodes.groupBy("fp").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b")), "node").alias("f")), "fps")
     first = first.select("fp", "f.b", "f.n_b")
     with scratch(docs.sparkSession, "cells") as cells:
@@ -312,10 +323,6 @@ def near_copies(
         far = far.join(first.select(F.col("fp").alias("dst"), F.col("b").alias("a"), F.col("n_b").alias("n_a")), "dst")
         far = put(far.select("a", "b", "n_a", "n_b"), "far")
     alike = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
-    # The keys of one row of each text; the others of it, however many, have the same.
-    one = nodes.select(F.col("row.doc_id").alias("r_id"), F.col("row.text_hash").alias("r_hash"))
-    own = table.join(one, table["doc_id"].eqNullSafe(one["r_id"]) & (table["text_hash"] == one["r_hash"]), "left_semi")
-    held = put(shared_keys(own.select("node", "n", "fp", "keys")), "held")
     least = held.groupBy("key").agg(
         F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")), "node").alias("l"),
         F.count(F.lit(1)).alias("holders"),
@@ -330,31 +337,47 @@ def near_copies(
     pairs = put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     edges = verified(pairs, nodes, docs, doc_id, text, words, similarity, put)
 
+    roots = components(edges, put)
+    looked, found, hooks = [pairs], [roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))], []
+    grouped = held.join(roots, "node", "left").select("key", "node", "n", "at", "fp", F.coalesce("root", "node").alias("root"))
+    grouped = put(in_several(grouped), "grouped")
+
+    def unseen(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b, ...)`` that were not looked at."""
+        return pairs.join(reduce(DataFrame.unionByName, [p.select("a", "b") for p in looked]), ["a", "b"], "left_anti")
+
     # Holders of a key that also agree in eight bits of the fingerprint, as most alike ones do in some, meet the first.
     for turn in range(ROUNDS):
-        roots, apart = still_apart(held, edges, put)
-        apart = apart.withColumn("segment", F.shiftrightunsigned("fp", 8 * turn).bitwiseAND(255))
+        parts = [f"struct({b} AS byte, shiftrightunsigned(fp, {8 * b}) & 255 AS bits)" for b in range(turn * BYTES, turn * BYTES + BYTES)]
+        apart = hooked(grouped, hooks).selectExpr("key", "node", "n", "at", "root", f"inline(array({', '.join(parts)}))")
         lead = F.min_by(F.struct(*[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")]), "node")
-        lead = apart.groupBy("key", "segment").agg(lead.alias("l")).select("key", "segment", "l.*")
-        new = apart.join(lead, ["key", "segment"]).where(F.col("root") != F.col("root_b"))
+        lead = apart.groupBy("key", "byte", "bits").agg(lead.alias("l")).select("key", "byte", "bits", "l.*")
+        new = apart.join(lead, ["key", "byte", "bits"]).where(F.col("root") != F.col("root_b"))
         new = new.where(F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= need("n", "n_b"))
-        new = new.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        new = put(new.join(pairs, ["a", "b"], "left_anti"), "new")
+        # The lead has the lesser number.
+        new = new.select(F.col("node_b").alias("a"), F.col("node").alias("b"), F.col("root_b").alias("x"), F.col("root").alias("y"))
+        new = put(unseen(new.distinct()), "new")
         if new.isEmpty():
             continue
-        pairs = put(pairs.unionByName(new), "pairs")
-        more = verified(new, nodes, docs, doc_id, text, words, similarity, put)
-        edges = put(edges.unionByName(more), "edges")
-    roots, apart = still_apart(held, edges, put)
+        looked.append(new)
+        more = verified(new.select("a", "b"), nodes, docs, doc_id, text, words, similarity, put)
+        found.append(more)
+        met = new.join(more, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left_semi")
+        met = met.select(F.col("x").alias("root"), "y").unionByName(met.select(F.col("y").alias("root"), F.col("x").alias("y")))
+        hook = met.groupBy("root").agg(F.min("y").alias("low")).where("low < root")
+        hooks.append(put(hook, "hook"))
+    apart = put(in_several(hooked(grouped, hooks)), "apart")
     small = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "root")])
     large = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need("n_a", "n_b")
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     rest = small.join(large, "key").where((F.col("root_a") != F.col("root_b")) & ordered & room)
     rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = put(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = put(unseen(rest), "rest")
     if not rest.isEmpty():
-        roots = components(edges.union(verified(rest, nodes, docs, doc_id, text, words, similarity, put)), put)
+        found.append(verified(rest, nodes, docs, doc_id, text, words, similarity, put))
+    if any(not more.isEmpty() for more in found[1:]):
+        roots = components(reduce(DataFrame.unionByName, found), put)
     roots = roots.withColumnRenamed("root", "group")
     return table.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("group", "node").alias("root"))
 

@@ -12,6 +12,7 @@ from llm_tables import HARD, docs, rows_of
 from headwater.llm import simhash, winnow
 from headwater.llm.common import text_of
 from headwater.llm.components import components
+from headwater.storage import materialize
 
 
 def roots(nodes, links):
@@ -137,6 +138,28 @@ def test_all_near_copies_among_many_holders_of_a_piece(spark):
     assert len(want) == 60 and got == want
 
 
+def test_rounds_write_holders_once_and_follow_links_twice(spark):
+    rng = random.Random(8)
+    template, texts = [f"t{n}" for n in range(60)], []
+    for g in range(40):
+        own = [f"o{g}x{n}" for n in range(rng.choice((8, 12)))]
+        texts += [" ".join(template + own), " ".join(template + own[:-1] + [f"e{g}"]), " ".join([*template[:-9], *own])]
+    df = docs(spark, [(n, t, "en", "s") for n, t in enumerate(texts)])
+    written = []
+
+    def put(table, name):
+        written.append((name, table.columns))
+        return materialize(table, name)
+
+    simhash.near_copies(df, df["doc_id"], text_of(df), put=put).count()
+    names = [name for name, _ in written]
+    assert sum({"key", "root"} <= set(columns) for _, columns in written) <= 2  # holders of keys with their groups
+    assert names.count("pairs") == 1 and names.count("edges") == 0
+    assert not any("keys" in columns for _, columns in written)  # they are gone before texts are compared
+    # Every run of ``components`` begins with a table of links and ends some rounds later: those at the start and the end.
+    assert names.count("links") <= 2 * 6
+
+
 def test_near_copies_of_short_texts(spark):
     rng = random.Random(6)
     texts = []
