@@ -26,6 +26,8 @@ LEAST, WITHIN = 10, 50
 TOP = 2000
 #: Words counted at a time, and different ones among them at most (they are numbered in 21 bits).
 CHUNK, DIFFERENT = 600_000, 1 << 20
+#: Phrases that are texts at the same time: the others of a chunk are numbers, and batches to and from a worker stay small.
+PHRASES = 1 << 14
 #: The table of slots has a bit for every so many bytes of text, as far as it may grow.
 BYTES_A_SLOT = 4
 
@@ -56,6 +58,11 @@ class _Words:
         self.lines.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words)))
         return len(words)
 
+    def clear(self) -> None:
+        """Counted: the next chunk is read while this object still has a name."""
+        self.number.clear()
+        self.lines.clear()
+
     def grams(self) -> np.ndarray:
         """Rows of a word and the two after it in its piece, 0 where there is none."""
         line = np.concatenate([*self.lines, np.zeros(2, dtype=np.int64)])
@@ -123,6 +130,7 @@ def frequent_slots(texts: DataFrame, bits: int, least: int) -> np.ndarray:
                 grams = words.grams()
                 pair, three = words.slots(grams, bits)
                 found += [pair[grams[1] != 0], three[grams[2] != 0]]
+                words.clear()
             yield slots.counted(np.concatenate(found), bits)
 
     counted = map_texts(texts, {"lang": texts["lang"], "text": texts["text"]}, count, slots.COUNTED)
@@ -150,14 +158,19 @@ def gram_counts(texts: DataFrame, least: int) -> DataFrame:
                 two = slots.passes(frequent, pair) & (grams[1] != 0)
                 all_three = two & slots.passes(frequent, three) & (grams[2] != 0)
                 keys = grams[0] << 42 | np.where(two, grams[1], 0) << 21 | np.where(all_three, grams[2], 0)
+                del grams, pair, three, two, all_three
                 keys, n = np.unique(keys, return_counts=True)
                 names = [w.decode("utf-8", "replace") for w in words.number]
-                first = [names[x] for x in (keys >> 42).tolist()]
-                rest = [(keys >> 21 & (1 << 21) - 1).tolist(), (keys & (1 << 21) - 1).tolist()]
-                phrases = [
-                    f"{a} {names[b]} {names[c]}" if c else f"{a} {names[b]}" if b else a for a, b, c in zip(first, *rest)
-                ]
-                yield {"lang": [lang] * len(n), "phrase": phrases, "n": n.tolist()}
+                for at in range(0, len(keys), PHRASES):
+                    some = keys[at : at + PHRASES]
+                    first, second, third = some >> 42, some >> 21 & (1 << 21) - 1, some & (1 << 21) - 1
+                    phrases = [
+                        f"{names[a]} {names[b]} {names[c]}" if c else f"{names[a]} {names[b]}" if b else names[a]
+                        for a, b, c in zip(first.tolist(), second.tolist(), third.tolist())
+                    ]
+                    yield {"lang": [lang] * len(some), "phrase": phrases, "n": n[at : at + PHRASES].tolist()}
+                words.clear()
+                del keys, n, names
 
     each = map_texts(texts, {"lang": texts["lang"], "text": texts["text"]}, rows, "lang string, phrase string, n bigint")
     return each.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))

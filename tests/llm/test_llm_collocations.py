@@ -105,6 +105,36 @@ def test_many_small_chunks_change_nothing(spark, monkeypatch):
     assert want and found(spark, rows) == want
 
 
+def test_a_worker_holds_one_chunk_and_few_texts_at_a_time(spark, monkeypatch):
+    """A chunk that has been counted is not kept while the next is read, and its phrases leave in small batches."""
+    ran = []
+    monkeypatch.setattr(c, "map_texts", lambda df, columns, rows, schema: ran.append(rows) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(c, "CHUNK", 50)
+    monkeypatch.setattr(c, "PHRASES", 16, raising=False)
+    made_words, held = [], c._Words
+
+    class Watched(held):
+        def __init__(self, lang):
+            super().__init__(lang)
+            made_words.append(self)
+
+        def add(self, text):
+            assert not any(w.lines for w in made_words if w is not self), "a chunk is held beside the next"
+            return super().add(text)
+
+    monkeypatch.setattr(c, "_Words", Watched)
+    texts = docs(spark, [(1, " ".join(f"w{i % 40}" for i in range(400)), "en", "s")]).select(
+        F.lit("en").alias("lang"), F.col("text").cast("binary").alias("text")
+    )
+    monkeypatch.setattr(c, "frequent_slots", lambda texts, bits, least: np.full(1 << max(0, bits - 3), 255, dtype=np.uint8))
+    c.gram_counts(texts, 2)
+    lines = [" ".join(f"w{i % 40}" for i in range(60)).encode() for _ in range(5)]
+    out = list(ran[-1](iter([{"lang": ["en"] * 5, "text": lines}])))
+    assert len(made_words) > 3
+    assert max(len(b["phrase"]) for b in out) <= 16
+    assert sum(n for b in out for n in b["n"]) == 300
+
+
 def test_packed_slots():
     rng = np.random.default_rng(1)
     for size, most in ((0, 5), (1, 1), (300, 1000), (50, 10**6), (2000, 2100)):
