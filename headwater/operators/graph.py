@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.operators.iterate import grow
@@ -289,13 +289,7 @@ def dominator_trees(graph: TableGraph, pairs: DataFrame, put: Put) -> tuple[Data
     jumps, however long the paths are. ``turn`` is the round after which a tree rested; of the jumps, those of
     that round and source are the tree's.
     """
-    links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
-    roots = pairs.select("source").distinct()
-    depths = pairs.select("source", F.col("node").alias("src"), "depth").unionByName(
-        roots.select("source", F.col("source").alias("src"), F.lit(0).alias("depth"))
-    )
-    before = depths.join(spread(links), "src").filter(F.col("dst") != F.col("source"))
-    before = put(before.select("source", F.col("dst").alias("node"), F.col("src").alias("at"), "depth"), "before")
+    before = put(_edges_on_walks(graph, pairs), "before")
     first = before.groupBy("source", "node").agg(
         F.min(F.struct("depth", "at")).alias("first"), (F.count(F.lit(1)) > 1).alias("several")
     )
@@ -320,25 +314,121 @@ def dominator_trees(graph: TableGraph, pairs: DataFrame, put: Put) -> tuple[Data
         meets = put(meets.join(spread(restless), "source", "left_semi"), "meets")
 
 
+#: A source's walks are held in one row if they have at most so many tables, edges, and tables on shortest paths.
+ROW_TABLES, ROW_EDGES, ROW_STEPS = 4096, 32_768, 262_144
+#: Edges in a task that works on such rows.
+TASK_EDGES = 50_000
+
+
+def _edges_on_walks(graph: TableGraph, pairs: DataFrame) -> DataFrame:
+    """``(source, node, at, depth)``: the edges ``at -> node`` on walks from each source, and the depth of ``at``."""
+    links = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
+    roots = pairs.select("source").distinct()
+    depths = pairs.select("source", F.col("node").alias("src"), "depth").unionByName(
+        roots.select("source", F.col("source").alias("src"), F.lit(0).alias("depth"))
+    )
+    before = depths.join(spread(links), "src").filter(F.col("dst") != F.col("source"))
+    return before.select("source", F.col("dst").alias("node"), F.col("src").alias("at"), "depth")
+
+
+_CHAIN, _CHAINS = "array<int>", "array<array<int>>"
+
+
+def _dominators(places: Column) -> Column:
+    """Of each table of a source, the places of those on every walk to it, itself included.
+
+    ``places`` has, for the tables by their depth, the places of their predecessors; place 0 is the source, which has none.
+    A pass goes over the tables in order and keeps what all predecessors share. The first knows only predecessors that
+    stand before, one at least, so no set is longer than the table's shortest path; sets only ever shrink, and once a
+    pass changes nothing they are the dominators.
+    """
+    nothing = F.array().cast(_CHAINS)
+
+    def one_pass(old: Column) -> Column:
+        def of_table(done: Column, befores: Column, place: Column) -> Column:
+            held = lambda p: F.when(p < F.size(done), F.get(done, p)).otherwise(F.get(old, p))
+            known = F.filter(befores, lambda p: (p < F.size(done)) | (p < F.size(old)))
+            shared = F.aggregate(
+                F.slice(known, 2, F.greatest(F.size(known) - 1, F.lit(0))),
+                F.coalesce(held(F.get(known, F.lit(0))), F.array()).cast(_CHAIN),
+                lambda kept, p: F.array_intersect(kept, held(p)).cast(_CHAIN),
+            )
+            return F.array_append(F.filter(shared, lambda p: p != place), place).cast(_CHAIN)
+
+        return F.aggregate(places, nothing, lambda done, befores: F.array_append(done, of_table(done, befores, F.size(done))).cast(_CHAINS))
+
+    length = lambda sets: F.aggregate(sets, F.lit(0).cast("bigint"), lambda n, s: n + F.size(s))
+    state = lambda sets, size: F.struct(sets.alias("sets"), size.cast("bigint").alias("size"), F.lit(False).alias("rests"))
+
+    def again(last: Column, _: Column) -> Column:
+        def told(sets: Column) -> Column:
+            size = length(sets)
+            return F.struct(sets.alias("sets"), size.alias("size"), (size == last["size"]).alias("rests"))
+
+        # A lambda over one element gives the pass a name, so it is computed once.
+        return F.when(last["rests"], last).otherwise(F.get(F.transform(F.array(one_pass(last["sets"])), told), F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(places)), state(nothing, F.lit(-1)), again)["sets"]
+
+
+def _lost_in_rows(before: DataFrame, tasks: int) -> DataFrame:
+    """``(id, lost)``: how many tables lie below each in the dominator trees of the sources of ``before``, a source a row."""
+    befores = (
+        before.repartition(tasks, "source")  # both groupings find their rows in place
+        .groupBy("source", "node")
+        .agg((F.min("depth") + 1).alias("depth"), F.collect_list("at").alias("ats"))
+        .groupBy("source")
+        .agg(F.array_sort(F.collect_list(F.struct("depth", "node", "ats"))).alias("tables"))
+    )
+    ids = F.concat(F.array("source"), F.col("tables.node"))
+    place = lambda t: (F.array_position(F.col("ids"), t) - 1).cast("int")
+    numbered = befores.withColumn("ids", ids).select(
+        "ids",
+        F.concat(F.array(F.array().cast(_CHAIN)), F.transform("tables", lambda t: F.transform(t["ats"], place))).alias("places"),
+    )
+    above = F.transform(_dominators(F.col("places")), lambda set, place: F.filter(set, lambda p: p != place))
+    rows = numbered.select("ids", F.explode(F.flatten(above)).alias("place"))
+    return rows.groupBy(F.get("ids", F.col("place")).alias("id")).agg(F.count(F.lit(1)).alias("lost"))
+
+
+def _lost_in_rounds(graph: TableGraph, pairs: DataFrame, put: Put) -> DataFrame:
+    """As :func:`_lost_in_rows`, of the sources of ``pairs``, with no source in one task."""
+    tree, lifts = dominator_trees(graph, pairs, put)
+    # Nodes less than 1, 2, 4, ... steps below each, itself included.
+    sizes = tree.select("turn", "source", "node")
+    sizes = sizes.unionByName(sizes.select("turn", "source", F.col("source").alias("node")).distinct())
+    sizes = put(sizes.withColumn("size", F.lit(1).cast("bigint")), "sizes")
+    for k, lift in enumerate(lifts):
+        whole = lift.filter(F.col("hops") == 1 << k).join(spread(sizes), ["turn", "source", "node"])
+        below = whole.select("turn", "source", F.col("up").alias("node"), "size")
+        sizes = sizes.unionByName(below).groupBy("turn", "source", "node").agg(F.sum("size").alias("size"))
+        sizes = put(sizes, "sizes")
+    return sizes.groupBy(F.col("node").alias("id")).agg(F.sum(F.col("size") - 1).alias("lost"))
+
+
 def connectivity_loss(graph: TableGraph, pairs: DataFrame) -> DataFrame:
     """(id, lost, connectivity_loss): connected pairs lost when a table's outgoing edges are removed.
 
     A pair (s, t) is lost exactly when the table lies on every path from s to t, that is, when t is below it in the
     dominator tree of s. So a table's loss is the sum of the sizes of what is below it in all trees, and no closure is
-    computed per removed table.
+    computed per removed table. Sources that reach few tables are a row each, all in one job; the trees of the others are
+    found in rounds over all of them.
     """
     with scratch(graph.nodes.sparkSession, "dominators") as put:
-        tree, lifts = dominator_trees(graph, pairs, put)
-        # Nodes less than 1, 2, 4, ... steps below each, itself included.
-        sizes = tree.select("turn", "source", "node")
-        sizes = sizes.unionByName(sizes.select("turn", "source", F.col("source").alias("node")).distinct())
-        sizes = put(sizes.withColumn("size", F.lit(1).cast("bigint")), "sizes")
-        for k, lift in enumerate(lifts):
-            whole = lift.filter(F.col("hops") == 1 << k).join(spread(sizes), ["turn", "source", "node"])
-            below = whole.select("turn", "source", F.col("up").alias("node"), "size")
-            sizes = sizes.unionByName(below).groupBy("turn", "source", "node").agg(F.sum("size").alias("size"))
-            sizes = put(sizes, "sizes")
-        counted = materialize(sizes.groupBy(F.col("node").alias("id")).agg(F.sum(F.col("size") - 1).alias("lost")), "lost")
+        before = put(_edges_on_walks(graph, pairs), "before")
+        edges = before.groupBy("source").agg(
+            F.count(F.lit(1)).alias("edges"), F.count_distinct("node").alias("tables"), F.sum(F.col("depth") + 2).alias("steps")
+        )
+        large = (F.col("tables") >= ROW_TABLES) | (F.col("edges") > ROW_EDGES) | (F.col("steps") > ROW_STEPS)
+        sizes = put(edges.select("source", "edges", large.alias("large")), "walks")
+        held = sizes.agg(F.sum(F.when(~F.col("large"), F.col("edges"))).alias("edges"), F.count_if("large").alias("large")).first()
+        rounds = sizes.filter("large").select("source")
+        small = before.join(spread(rounds), "source", "left_anti") if held["large"] else before
+        partitions = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lost = _lost_in_rows(small, max(partitions, (held["edges"] or 0) // TASK_EDGES))
+        if held["large"]:
+            lost = lost.unionByName(_lost_in_rounds(graph, pairs.join(spread(rounds), "source", "left_semi"), put))
+        counted = materialize(lost.groupBy("id").agg(F.sum("lost").alias("lost")), "lost")
     total = reachable_pairs(pairs).scalar()
     lost = F.coalesce("lost", F.lit(0))
     return (

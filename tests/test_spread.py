@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,56 @@ def test_landed_ranges_have_more_files_when_they_are_large(spark):
     # One range without rows, or with few: every range has files that all hold rows.
     assert landed_files(large.where(F.col("seq") < 2 * step), step, 3) == LANDED_FILES
     assert landed_files(large.where(F.col("seq") < 2 * step + 9), step, 3) == LANDED_FILES
+
+
+def _losses(graph):
+    found = g.connectivity_loss(graph, g.reachable(graph)).join(graph.nodes, "id")
+    return {r["tbl"]: r["lost"] for r in found.collect()}
+
+
+def _brute_force(edges):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+
+    def reach(start, without=None):
+        seen, todo = set(), [start]
+        while todo:
+            at = todo.pop()
+            for b in ahead.get(at, ()) if at != without else ():
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen - {start}
+
+    tables = {x for e in edges for x in e}
+    return {v: sum(len(reach(s) - reach(s, v)) for s in tables) for v in tables}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_loss_is_the_same_in_rows_and_in_rounds(spark, monkeypatch, seed):
+    """Random graphs with circles: all sources in rows, and only those that reach few tables."""
+    rng = random.Random(seed)
+    edges = {(f"t{rng.randrange(14)}", f"t{rng.randrange(14)}") for _ in range(18 + 4 * seed)} | {("t0", "t0")}
+    tables = sorted({x for e in edges for x in e})
+    graph = g.table_graph(
+        spark.createDataFrame([(a, b, 0.5) for a, b in edges], "source string, target string, weight double"),
+        spark.createDataFrame([(t,) for t in tables], "tbl string"),
+    )
+    expected = _brute_force(edges)
+    assert _losses(graph) == expected
+    if seed == 0:
+        monkeypatch.setattr(g, "ROW_TABLES", 5, raising=False)
+        assert _losses(graph) == expected
+
+
+def test_sources_that_reach_few_tables_need_no_rounds(graph, monkeypatch):
+    edges = [(f"chain{i}", f"chain{i + 1}") for i in range(6)] + [("root", "a0"), ("root", "b0"), ("b4", "a2")]
+    for i in range(4):
+        edges += [(f"a{i}", f"a{i + 1}"), (f"b{i}", f"b{i + 1}"), (f"a{i}", f"b{i + 1}")]
+
+    def rounds(*_):
+        raise AssertionError("the trees of small sources are found in rounds")
+
+    monkeypatch.setattr(g, "dominator_trees", rounds)
+    assert _losses(graph) == _brute_force(edges)
