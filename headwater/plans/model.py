@@ -321,13 +321,23 @@ def build_model(
 ) -> LineageModel:
     """Build the whole model from ``events(seq, ts, raw)`` in one batch."""
     root = path or new_path(events.sparkSession, "model")
-    write = lambda name, df: write_table(df, f"{root}/{name}")
+    return model_of(parsed_once(events, f"{root}/events", sql_fallback=sql_fallback, canonicalize=canonicalize), span=span, path=root)
+
+
+def parsed_once(events: DataFrame, path: str, *, sql_fallback: bool = True, canonicalize: bool = False) -> DataFrame:
+    """``events(seq, ts, raw)`` parsed and written to ``path``."""
     with jit_sized_methods(events.sparkSession):
-        parsed = write("events", parse_events(events, sql_fallback=sql_fallback, canonicalize=canonicalize))
+        return write_table(parse_events(events, sql_fallback=sql_fallback, canonicalize=canonicalize), path)
+
+
+def model_of(parsed: DataFrame, *, span: int = SPAN, path: str | None = None) -> LineageModel:
+    """Build the whole model from parsed events in one batch."""
+    root = path or new_path(parsed.sparkSession, "model")
+    write = lambda name, df: write_table(df, f"{root}/{name}")
     logs, steps = advance(parsed, write, span=span)
     model = LineageModel(parsed, logs, steps)
     tables, transformations = together(
-        events.sparkSession,
+        parsed.sparkSession,
         lambda: write("open_tables", model.current_tables()),
         lambda: write("open_transformations", model.current_transformations()),
     )

@@ -18,11 +18,11 @@ from headwater.operators import dependency as dep
 from headwater.operators import graph as g
 from headwater.operators import parse, reports, runs, sync
 from headwater.plans import critical
-from headwater.plans.model import LineageModel, apply_snapshot, build_model
+from headwater.plans.model import LineageModel, apply_snapshot, model_of, parsed_once
 from headwater.sources import columns as cols
 from headwater.sources import derived
 from headwater.sources.events import derived_events, stream_events, stream_lines
-from headwater.storage import materialize, new_path
+from headwater.storage import jit_sized_methods, materialize, new_path
 from headwater.streaming.ingest import LineStream, ModelStream, RunStream
 
 TABLES = [
@@ -37,9 +37,18 @@ class Workbench:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def arrivals(self) -> DataFrame:
+        return materialize(derived_events(self.spark, self.sf_dir), "arrivals")
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """All events, parsed: what streams and syncs ask of a workbench, without its model."""
+        return parsed_once(derived_events(self.spark, self.sf_dir), new_path(self.spark, "parsed"))
+
     @cached_property
     def model(self) -> LineageModel:
-        return build_model(derived_events(self.spark, self.sf_dir))
+        return model_of(self.parsed)
 
     @cached_property
     def graph(self) -> g.TableGraph:
@@ -85,12 +94,17 @@ class Workbench:
 
     @cached_property
     def synced(self) -> ModelStream:
+        parsed = self.parsed  # asked for first, so the last number is taken from it
         middle = F.col("seq") <= self.last_seq // 2
-        return _synced(self, middle, ~middle)
+        return _synced(self, parsed, middle, ~middle)
 
     @cached_property
     def last_seq(self) -> int:
-        return self.model.events.agg(F.max("seq")).first()[0]
+        """The number of the last good event. Where no events are parsed yet, only what makes one good is."""
+        if "parsed" in self.__dict__:
+            return parse.good_events(self.parsed).agg(F.max("seq")).first()[0]
+        with jit_sized_methods(self.spark):
+            return parse.good_events(parse.parse_events(self.arrivals)).agg(F.max("seq")).first()[0]
 
 
 _BENCHES: dict[tuple[str, str], Workbench] = {}
@@ -575,13 +589,12 @@ def sync_sources_masked(w):
     return sync.masked_sources(derived.derived_sources(w.spark, w.sf_dir)).select("source_id", "dsn")
 
 
-def _synced(w: Workbench, upto: Column, after: Column) -> ModelStream:
-    """A model of the events ``upto`` some arrival, synced with the warehouse by four sources, then of those ``after``.
+def _synced(w: Workbench, parsed: DataFrame, upto: Column, after: Column) -> ModelStream:
+    """A model of the ``parsed`` events ``upto`` some arrival, synced with the warehouse by four sources, then of those ``after``.
 
     Sources 1 to 3 read a layer each; source 3 cannot be reached the second time, and source 4 is of no known kind.
     """
     stream = ModelStream(w.spark, new_path(w.spark, "synced"))
-    parsed = w.model.parsed
     stream.apply(parsed.where(upto), 0)
     known = stream.model().current_tables()
     specs = materialize(cols.table_specs(cols.information_schema_columns(derived.derived_catalog_rows(known))), "specs")
@@ -632,7 +645,7 @@ def landed_files(events: DataFrame, step: int, slices: int) -> int:
 def _landed(w: Workbench, slices: int) -> tuple[str, int]:
     """The event log landed in arrival order, and the files of each range."""
     path = new_path(w.spark, "landing")
-    events = materialize(derived_events(w.spark, w.sf_dir), "arrivals")
+    events = w.arrivals
     step = w.last_seq // slices + 1
     files = landed_files(events, step, slices)
     for n in range(slices):
